@@ -1 +1,6 @@
 """Registered queries over the driver tables, next to their SQL equivalents."""
+
+from . import panel_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
