@@ -37,6 +37,18 @@ def pearson(x: Column, y: Column) -> Column:
     return ratio(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
 
 
+def rank_correlation(rx: Column, ry: Column) -> Column:
+    """Aggregate Pearson correlation of two average-rank columns over the same rows.
+
+    Ranks average to (n + 1) / 2, so doubled ranks need only sums of integers: exact, independent
+    of summation order, and a truly uncorrelated group is exactly zero.
+    """
+    n = F.count(rx).cast("double")
+    mean = n * (n + 1) * (n + 1)
+    vx, vy = F.sum(rx * rx * 4) - mean, F.sum(ry * ry * 4) - mean
+    return ratio(F.sum(rx * ry * 4) - mean, F.sqrt(vx * vy))
+
+
 def normal_cdf(z: Column) -> Column:
     a = F.abs(z)
     t = F.lit(1.0) / (F.lit(1.0) + F.lit(NORMAL_P) * a)

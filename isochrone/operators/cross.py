@@ -5,7 +5,8 @@ dimension. When it is given and small, one window per group is enough. Otherwise
 ordered in two levels: values are first collapsed to distinct cells (so a value shared by most rows
 is one cell), cells go into logarithmic value buckets, and each bucket starts from the totals of
 the buckets below it. The buckets are a fixed function of the value, so recomputing a lost task
-always puts a row into the same bucket.
+always puts a row into the same bucket. This reads its input more than once, so the input is
+written to the shared folder first instead of being computed again.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import rank_correlation
+from ..functions.spark import materialise
+
 MAX_WINDOW_ROWS = 1_000_000
 BUCKETS_PER_E_FOLD = 256
 ASSETS_PER_CELL = 1 << 16
@@ -40,13 +44,20 @@ def _tie_cell(df: DataFrame, tie: str) -> Column:
     return F.floor(F.col(tie) / ASSETS_PER_CELL)
 
 
-def rank_within(df: DataFrame, by: list[str], value: str, out: str, bound: int | None = None) -> DataFrame:
-    """Add the ascending rank of ``value`` inside each group, ties averaged; missing stays missing."""
+def rank_within(df: DataFrame, by: list[str], value: str, out: str, bound: int | None = None, size: str | None = None) -> DataFrame:
+    """Add the ascending rank of ``value`` inside each group, ties averaged; missing stays missing.
+
+    ``size`` also adds the number of present values of the group.
+    """
     if fits_window(bound):
         w = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
         # rank() counts the smaller values, the running range count includes the ties
         rank = (F.rank().over(w) + F.count(value).over(w)) / F.lit(2.0)
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
+        new = {out: F.when(F.col(value).isNotNull(), rank)}
+        if size:
+            new[size] = F.count(value).over(Window.partitionBy(*by))
+        return df.withColumns(new)
+    df = materialise(df, "rank")
     cells = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
@@ -55,7 +66,11 @@ def rank_within(df: DataFrame, by: list[str], value: str, out: str, bound: int |
     ranked = _below(cells, by, [F.col(value).asc()], {"_below": F.col("_n")}).select(
         *by, value, (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)).alias(out)
     )
-    return df.join(ranked, [*by, value], "left").select(*df.columns, out)
+    joined = df.join(ranked, [*by, value], "left")
+    if size:
+        sizes = df.groupBy(*by).agg(F.count(value).alias(size))
+        joined = joined.join(sizes, by)
+    return joined.select(*df.columns, out, *([size] if size else []))
 
 
 def _below(cells: DataFrame, by: list[str], order: list[Column], measures: dict[str, Column]) -> DataFrame:
@@ -94,6 +109,7 @@ def order_within(
             new[before] = F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         return df.withColumns(new)
     key = v if ascending else -v
+    df = materialise(df, "order")
     rows = df.withColumn("_t", _tie_cell(df, tie))
     cells = (
         rows.filter(v.isNotNull())
@@ -139,8 +155,6 @@ def median_within(df: DataFrame, by: list[str], value: str, tie: str, out: str,
 
 def cross_ic(df: DataFrame, by: list[str], x: str, y: str, out: str = "ic", bound: int | None = None) -> DataFrame:
     """Spearman correlation per group; missing for fewer than two pairs or a constant side."""
-    from ..functions.numeric import pearson
-
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = rank_within(rank_within(pairs, by, x, "_rx", bound), by, y, "_ry", bound)
-    return ranked.groupBy(*by).agg(pearson(F.col("_rx"), F.col("_ry")).alias(out))
+    return ranked.groupBy(*by).agg(rank_correlation(F.col("_rx"), F.col("_ry")).alias(out))

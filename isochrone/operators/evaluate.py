@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frequency import ROLLING_IC_WINDOW, check_frequency, periods_per_year
-from ..functions.numeric import pearson, ratio, safe_log
-from .cross import cross_ic
-from .panel import dense_panel
+from ..functions.numeric import pearson, rank_correlation, ratio, safe_log
+from ..functions.spark import materialise
+from .cross import cross_ic, rank_within
 from .resample import resample_first_nonzero, resample_sum_returns
 from .series import with_positions, with_windows
 
@@ -52,12 +52,16 @@ def ic_by_date(pairs: DataFrame, keys: list[str] | None = None, bound: int | Non
     return cross_ic(pairs, [*(keys or []), "ts"], "signal", "fwd", bound=bound)
 
 
-def ic_summary(ic: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, sample deviation and ratio of the IC; the positive share counts missing dates below."""
-    out = ic.groupBy(*keys).agg(
+def _ic_stats():
+    return (
         F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"),
         (F.count_if(F.col("ic") > 0) / F.count(F.lit(1))).alias("ic_positive_pct"),
     )
+
+
+def ic_summary(ic: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, sample deviation and ratio of the IC; the positive share counts missing dates below."""
+    out = ic.groupBy(*keys).agg(*_ic_stats())
     return out.withColumn("icir", ratio(F.col("ic_mean"), F.col("ic_std")))
 
 
@@ -82,10 +86,19 @@ def signal_sharpe(pairs: DataFrame, keys: list[str], frequency: str) -> DataFram
 
 
 def signal_turnover(signal: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean absolute change between consecutive panel dates; a gap breaks both differences."""
-    dense = dense_panel(signal.select(*keys, "asset", "ts", "value"), scope=keys)
-    moved = with_windows(dense, [*keys, "asset"], lambda w: {"_d": F.abs(F.col("value") - F.lag("value", 1).over(w))}, before=1)
-    return moved.groupBy(*keys).agg(F.avg("_d").alias("turnover"))
+    """Mean absolute change between consecutive panel dates; a gap breaks both differences.
+
+    Instead of filling the panel, a change counts only when the asset's previous row is on the
+    previous date of the panel's calendar.
+    """
+    calendar = with_positions(signal.select(*keys, "ts").distinct(), keys).withColumnRenamed("pos", "_date")
+    dated = signal.select(*keys, "asset", "ts", "value").join(calendar, [*keys, "ts"])
+
+    def build(w):
+        change = F.abs(F.col("value") - F.lag("value", 1).over(w))
+        return {"_d": F.when(F.lag("_date", 1).over(w) == F.col("_date") - 1, change)}
+
+    return with_windows(dated, [*keys, "asset"], build, before=1).groupBy(*keys).agg(F.avg("_d").alias("turnover"))
 
 
 def series_turnover(signal: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,20 +110,25 @@ def series_turnover(signal: DataFrame, keys: list[str]) -> DataFrame:
 def ic_decay_halflife(ic: DataFrame, keys: list[str]) -> DataFrame:
     """First lag at which the autocorrelation of the present IC values is at most one half.
 
-    Lags run to min(252, n / 2); fewer than five values give missing.
+    Lags run to min(252, n / 2); fewer than five values give missing. The IC has one row per date,
+    so a window per key is small.
     """
-    present = with_positions(ic.filter(F.col("ic").isNotNull()).select(*keys, "ts", "ic"), keys)
-    size = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 5")
+    w = Window.partitionBy(*keys)
+    present = (
+        ic.filter(F.col("ic").isNotNull()).select(*keys, "ts", "ic")
+        .withColumns({"_n": F.count(F.lit(1)).over(w), "pos": F.row_number().over(w.orderBy("ts"))})
+    )
+    top = F.least(F.lit(252), F.floor(F.col("_n") / 2).cast("int"))
     lagged = (
-        present.join(size, keys)
-        .withColumn("lag", F.explode(F.sequence(F.lit(1), F.least(F.lit(252), F.floor(F.col("_n") / 2).cast("int")))))
-        .select(*keys, "lag", "_n", (F.col("pos") + F.col("lag")).alias("pos"), F.col("ic").alias("_earlier"))
+        present.filter("_n >= 5").withColumn("lag", F.explode(F.sequence(F.lit(1), top)))
+        .select(*keys, "lag", (F.col("pos") + F.col("lag")).alias("pos"), F.col("ic").alias("_earlier"))
     )
     corr = (
         lagged.join(present.select(*keys, "pos", "ic"), [*keys, "pos"])
         .groupBy(*keys, "lag").agg(pearson(F.col("_earlier"), F.col("ic")).alias("_corr"), F.count(F.lit(1)).alias("_pairs"))
     )
-    found = corr.groupBy(*keys).agg(F.min(F.when((F.col("_corr") <= 0.5) & (F.col("_pairs") >= 3), F.col("lag"))).cast("double").alias("decay_halflife"))
+    first = F.min(F.when((F.col("_corr") <= 0.5) & (F.col("_pairs") >= 3), F.col("lag"))).cast("double")
+    found = corr.groupBy(*keys).agg(first.alias("decay_halflife"))
     return ic.select(*keys).distinct().join(found, keys, "left")
 
 
@@ -134,7 +152,7 @@ def rolling_spearman(pairs: DataFrame, keys: list[str], window: int) -> DataFram
 
     ranked = spread.withColumns({"_rx": rank("signal"), "_ry": rank("fwd")})
     scored = ranked.groupBy(*group).agg(
-        pearson(F.col("_rx"), F.col("_ry")).alias("_ic"), F.count(F.lit(1)).alias("_rows"), F.max("pos").alias("_last"), F.max("ts").alias("ts")
+        rank_correlation(F.col("_rx"), F.col("_ry")).alias("_ic"), F.count(F.lit(1)).alias("_rows"), F.max("pos").alias("_last"), F.max("ts").alias("ts")
     )
     # windows that run past the last row have no row of their own
     return scored.filter("_last = end").select(*keys, "ts", F.when(F.col("_rows") == window, F.col("_ic")).alias("rolling_ic"))
@@ -144,7 +162,8 @@ def _scorecard_inputs(signal, prices, horizons, frequency, forward_returns, scop
     check_frequency(frequency)
     scope = scope or []
     returns = forward_returns(prices, frequency) if forward_returns else log_returns_panel(prices)
-    sig = resample_first_nonzero(signal, frequency, scope=scope)
+    # a signal may be any computation: it is computed once, then read for the pairs and the turnover
+    sig = materialise(resample_first_nonzero(signal, frequency, scope=scope), "signal")
     fwd = forward_return(resample_sum_returns(returns, frequency), horizons)
     return sig, paired(sig, fwd, scope)
 
@@ -164,24 +183,28 @@ def signal_metrics_panel(
     replaces the one-period log returns.
     """
     scope = scope or []
-    sig, pairs = _scorecard_inputs(signal, prices, horizons, frequency, forward_returns, scope)
-    keys = [*scope, "horizon"]
-    ic = ic_by_date(pairs, keys, bound)
+    run = scope or ["_run"]
+    tagged = signal if scope else signal.withColumn("_run", F.lit(1))
+    sig, pairs = _scorecard_inputs(tagged, prices, horizons, frequency, forward_returns, run)
+    keys = [*run, "horizon"]
+    by = [*keys, "ts"]
+    ranked = rank_within(rank_within(pairs, by, "signal", "_rx", bound), by, "fwd", "_ry", bound)
     hit = F.when(F.signum("signal") == F.signum("fwd"), 1.0).otherwise(0.0)
-    by_date = pairs.groupBy(*keys, "ts").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(F.col("signal") * F.col("fwd")).alias("_pnl"),
+    # one row per (run, horizon, date) is all the rest needs: written once, read by every statistic
+    by_date = materialise(ranked.groupBy(*by).agg(
+        rank_correlation(F.col("_rx"), F.col("_ry")).alias("ic"), F.count(F.lit(1)).alias("_n"),
+        F.avg(F.col("signal") * F.col("fwd")).alias("_pnl"),
         F.sum(F.when(F.col("signal") != 0, hit)).alias("_hits"), F.count_if(F.col("signal") != 0).alias("_bets"),
-    )
-    sharpe = ratio(F.avg("_pnl"), F.stddev_samp("_pnl")) * F.lit(periods_per_year(frequency) ** 0.5)
+    ), "scores")
     totals = by_date.groupBy(*keys).agg(
-        F.sum("_n").alias("n_observations"), F.try_divide(F.sum("_hits"), F.sum("_bets")).alias("hit_rate"), sharpe.alias("signal_sharpe")
+        F.sum("_n").alias("n_observations"), F.try_divide(F.sum("_hits"), F.sum("_bets")).alias("hit_rate"),
+        (ratio(F.avg("_pnl"), F.stddev_samp("_pnl")) * F.lit(periods_per_year(frequency) ** 0.5)).alias("signal_sharpe"),
+        *_ic_stats(),
     )
-    turnover = signal_turnover(sig, scope or ["_all"]) if scope else signal_turnover(sig.withColumn("_all", F.lit(1)), ["_all"])
-    out = totals.join(ic_summary(ic, keys), keys, "left").join(ic_decay_halflife(ic, keys), keys, "left")
-    out = out.join(turnover, scope) if scope else out.withColumn("_all", F.lit(1)).join(turnover, "_all").drop("_all")
+    out = totals.join(ic_decay_halflife(by_date, keys), keys, "left").join(signal_turnover(sig, run), run)
     return out.select(
-        *keys, F.lit(frequency).alias("frequency"), "ic_mean", "ic_std", "icir", "ic_positive_pct", "hit_rate",
-        "signal_sharpe", "turnover", "decay_halflife", "n_observations",
+        *scope, "horizon", F.lit(frequency).alias("frequency"), "ic_mean", "ic_std", ratio(F.col("ic_mean"), F.col("ic_std")).alias("icir"),
+        "ic_positive_pct", "hit_rate", "signal_sharpe", "turnover", "decay_halflife", "n_observations",
     )
 
 

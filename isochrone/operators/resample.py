@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions.frequency import FREQUENCY_RANK, check_frequency
 from ..functions.spark import require_none
 from .panel import asof_ffill, in_range
-from .series import carry_forward, with_windows
+from .series import with_windows
 
 
 def _per_period(df: DataFrame, label: Column, agg: Column, value: str, scope: list[str]) -> DataFrame:
     return df.groupBy(*scope, "asset", label.alias("ts")).agg(agg.alias(value))
 
 
-def _all_periods(periods: DataFrame, frequency: str, value: str, scope: list[str], label: str = "start", end=None) -> DataFrame:
-    """Every period between a series' first and last (or ``end``); holes come back as missing."""
-    last = F.max("ts") if end is None else D.period_end(F.lit(end).cast("date"), frequency)
-    spans = periods.groupBy(*scope, "asset").agg(F.min("ts").alias("_a"), last.alias("_b")).filter("_a <= _b")
-    grid = spans.withColumn("ts", F.explode(D.period_sequence(F.col("_a"), F.col("_b"), frequency, label))).drop("_a", "_b")
+def _all_periods(
+    periods: DataFrame, frequency: str, value: str, scope: list[str], label: str = "start", end=None, carry: bool = False
+) -> DataFrame:
+    """Every period between a series' first and last (or ``end``); holes come back as missing, or
+    with the value before them when ``carry``.
+
+    Each row fills the hole up to the next row of its series, so the grid needs no join.
+    """
+    keys = [*scope, "asset"]
+    last = None if end is None else F.date_add(D.period_end(F.lit(end).cast("date"), frequency), 1)
+
+    def build(w):
+        new = {"_next": F.lead("ts", 1).over(w)}
+        if carry:
+            new[value] = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return new
+
+    ahead = with_windows(periods.select(*keys, "ts", value), keys, build, after=1)
+    until = F.greatest(F.coalesce("_next", F.col("ts") if last is None else last), F.col("ts"))
+    labels = F.filter(D.period_sequence(F.col("ts"), until, frequency, label), lambda d: (d == F.col("ts")) | (d < until))
+    grown = ahead.withColumn("_label", F.explode(labels))
     if end is not None:
-        grid = grid.filter(F.col("ts") <= F.lit(end).cast("date"))
-    return grid.join(periods, [*scope, "asset", "ts"], "left").select(*scope, "asset", "ts", value)
+        grown = grown.filter(F.col("_label") <= F.lit(end).cast("date"))
+    held = F.col(value) if carry else F.when(F.col("_label") == F.col("ts"), F.col(value))
+    return grown.select(*keys, F.col("_label").alias("ts"), held.alias(value))
 
 
 def resample_last(
@@ -59,7 +76,7 @@ def resample_first_nonzero(df: DataFrame, frequency: str, value: str = "value",
         return df.select(*scope, "asset", "ts", value)
     first = F.min_by(F.col(value), F.when(F.col(value) != 0, F.col("ts")))
     periods = _per_period(df, D.period_start(F.col("ts"), frequency), first, value, scope)
-    return carry_forward(_all_periods(periods, frequency, value, scope), [*scope, "asset"], [value])
+    return _all_periods(periods, frequency, value, scope, carry=True)
 
 
 def monthly_close_lagged(df: DataFrame, value: str = "value", scope: list[str] | None = None) -> DataFrame:

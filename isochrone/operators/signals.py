@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, ratio
-from .cross import order_within, rank_within, totals_within
+from .cross import order_within, rank_within
 from .panel import dense_panel
 from .resample import monthly_close_lagged
 from .series import rolling_mean, rolling_std, with_windows
@@ -69,22 +69,25 @@ def bucket_select(
 def _ranked_buckets(df: DataFrame, value: str, n_long: int, n_short: int, n_assets, scope: list[str], bound: int | None) -> DataFrame:
     """Percentile rank scaled to [-1, 1] on the selected assets, zero elsewhere."""
     by = [*scope, "ts"]
-    ranked = rank_within(df, by, value, "_rank", bound)
-    sized = totals_within(ranked, by, {"_n": F.count(value)}, bound)
+    sized = rank_within(df, by, value, "_rank", bound, size="_n")
     chosen = bucket_select(sized, n_long, n_short, n_assets, by, value, bound)
     scaled = F.col("_rank") / F.col("_n") * 2 - 1
     return chosen.select(*by, "asset", F.when(F.col("selected"), scaled).otherwise(F.lit(0.0)).alias("value"))
 
 
 def momentum_from_monthly(
-    monthly: DataFrame, formation: int = 12, skip: int = 1, n_assets: int | None = None, scope: list[str] | None = None, bound: int | None = None
+    monthly: DataFrame, formation: int = 12, skip: int = 1, n_assets: int | None = None, scope: list[str] | None = None,
+    bound: int | None = None, is_dense: bool = False,
 ) -> DataFrame:
     """Cross-sectional momentum on lagged month-end prices: past return without the last ``skip``
-    months, ranked, top and bottom decile of the universe kept."""
+    months, ranked, top and bottom decile of the universe kept.
+
+    ``is_dense`` says that the panel already has every asset on every date.
+    """
     scope = scope or []
     n = n_assets if n_assets is not None else monthly.select("asset").distinct().count()
     k = max(1, int(n * 0.1))
-    dense = dense_panel(monthly, scope=scope)
+    dense = monthly if is_dense else dense_panel(monthly, scope=scope)
     p = F.col("value")
     past = with_windows(
         dense, [*scope, "asset"],
@@ -98,13 +101,16 @@ def momentum_signal(df: DataFrame, formation: int = 12, skip: int = 1, n_assets:
     return momentum_from_monthly(monthly_close_lagged(df, scope=scope), formation, skip, n_assets, scope, bound)
 
 
-def carry_signal(rates: DataFrame, base, n_long: int = 3, n_short: int = 3, smooth: int = 1, bound: int | None = None) -> DataFrame:
+def carry_signal(
+    rates: DataFrame, base, n_long: int = 3, n_short: int = 3, smooth: int = 1, n_pairs: int | None = None, bound: int | None = None
+) -> DataFrame:
     """Rank every currency's lagged rate against the base; keep the top and bottom pairs.
 
-    ``rates(ts, asset, value)``; output assets are the quote currencies.
+    ``rates(ts, asset, value)``; output assets are the quote currencies. ``n_pairs`` is the declared
+    number of pairs (counted when not given).
     """
     lagged = with_windows(rates, ["asset"], lambda w: {"value": F.lag("value", 1).over(w)}, before=1)
-    pair_count = rates.filter(F.col("asset") != F.lit(base)).select("asset").distinct().count()
+    pair_count = n_pairs or rates.filter(F.col("asset") != F.lit(base)).select("asset").distinct().count()
     is_base = F.col("asset") == F.lit(base)
     # every pair on the union of all dates, so a date of only one leg is a missing difference
     grid = dense_panel(lagged.withColumn("_own", F.lit(True)))
@@ -135,7 +141,7 @@ def normalise_zscore(df: DataFrame, window: int = 252, scope: list[str] | None =
 def normalise_rank(df: DataFrame, by: list[str] | None = None, bound: int | None = None) -> DataFrame:
     """Average-tie percentile rank per date, scaled to (-1, 1]."""
     by = by or ["ts"]
-    sized = totals_within(rank_within(df, by, "value", "_rank", bound), by, {"_n": F.count("value")}, bound)
+    sized = rank_within(df, by, "value", "_rank", bound, size="_n")
     return sized.withColumn("value", F.col("_rank") / F.col("_n") * 2 - 1).drop("_rank", "_n")
 
 

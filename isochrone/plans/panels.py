@@ -7,16 +7,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
+from ..functions.spark import materialise
 from ..operators.panel import dense_panel
+from ..operators.series import with_windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_ROWS: dict[tuple[str, str, str], int] = {}
+
+
 def universe(spark: SparkSession, sf_dir: str, name: str) -> int:
     """Rows of a dimension table (answered from file metadata): a proven bound on a cross-section."""
-    return table(spark, sf_dir, name).count()
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _ROWS:
+        _ROWS[key] = table(spark, sf_dir, name).count()
+    return _ROWS[key]
+
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(build):
+    """Keep a panel as a written table for the rest of the session.
+
+    Everything after the panel is small next to the raw rows and reads it several times (dates,
+    assets, values), so the raw table is scanned once. The table lies in the shared folder, so
+    losing an executor does not bring the scan back. ``forget_panels`` starts over.
+    """
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), build.__name__)
+        if key not in _STORED:
+            _STORED[key] = materialise(build(spark, sf_dir), build.__name__)
+        return _STORED[key]
+
+    get.__doc__ = build.__doc__
+    get.build = build
+    return get
+
+
+def forget_panels() -> None:
+    _STORED.clear()
+    _ROWS.clear()
 
 
 def _hundredths(c: str):
@@ -41,24 +76,35 @@ def _month(c: str):
     return F.trunc(c, "month")
 
 
+@_stored
 def supp_m(spark, sf_dir) -> DataFrame:
     """Monthly unit price per supplier; the number of assets grows with the data."""
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("asset"), _month("l_shipdate").alias("ts")).agg(_unit_price().alias("value"))
 
 
+@_stored
+def supp_x(spark, sf_dir) -> DataFrame:
+    """``supp_m`` with every supplier on every month, plus ``prev``, the value of its previous row."""
+    own = with_windows(supp_m(spark, sf_dir), ["asset"], lambda w: {"prev": F.lag("value", 1).over(w)}, before=1)
+    return dense_panel(own)
+
+
+@_stored
 def supp_d(spark, sf_dir) -> DataFrame:
     """Daily unit price per supplier (rows only where something shipped)."""
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("asset"), _day("l_shipdate").alias("ts")).agg(_unit_price().alias("value"))
 
 
+@_stored
 def rate_m(spark, sf_dir) -> DataFrame:
     """Monthly average discount per supplier, used as an interest rate."""
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("asset"), _month("l_shipdate").alias("ts")).agg(_average("l_discount").alias("value"))
 
 
+@_stored
 def brand_m(spark, sf_dir) -> DataFrame:
     """Monthly unit price per brand."""
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
@@ -73,10 +119,12 @@ def _nation_orders(spark, sf_dir) -> DataFrame:
     return orders.join(customer, "c_custkey").join(nation, "n_nationkey")
 
 
+@_stored
 def nation_m(spark, sf_dir) -> DataFrame:
     return _nation_orders(spark, sf_dir).groupBy("asset", _month("o_orderdate").alias("ts")).agg(_average("o_totalprice").alias("value"))
 
 
+@_stored
 def nation_d(spark, sf_dir) -> DataFrame:
     return _nation_orders(spark, sf_dir).groupBy("asset", _day("o_orderdate").alias("ts")).agg(_average("o_totalprice").alias("value"))
 
@@ -86,11 +134,13 @@ def nation_classes(spark, sf_dir) -> DataFrame:
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("asset"), F.col("r_name").alias("cls"))
 
 
+@_stored
 def prio_d(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return orders.groupBy(F.col("o_orderpriority").alias("asset"), _day("o_orderdate").alias("ts")).agg(_average("o_totalprice").alias("value"))
 
 
+@_stored
 def event_h(spark, sf_dir) -> DataFrame:
     """Hourly average value per event type; ``ts`` is a timestamp."""
     ev = table(spark, sf_dir, "events")
@@ -162,6 +212,12 @@ def corr_sql(x: str, y: str) -> str:
     return f"CASE WHEN stddev_samp({x}) > 0 AND stddev_samp({y}) > 0 THEN covar_samp({x}, {y}) / (stddev_samp({x}) * stddev_samp({y})) END"
 
 
+def rank_corr_sql(x: str, y: str) -> str:
+    """Correlation of two average-rank columns from exact sums."""
+    m = "count(*) * (count(*) + 1.0::DOUBLE) * (count(*) + 1)"
+    return f"(sum(4 * {x} * {y}) - {m}) / nullif(sqrt((sum(4 * {x} * {x}) - {m}) * (sum(4 * {y} * {y}) - {m})), 0)"
+
+
 def div_sql(a: str, b: str) -> str:
     return f"(CASE WHEN ({b}) <> 0 THEN ({a}) / ({b}) END)"
 
