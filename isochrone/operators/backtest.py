@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frequency import TRADING_DAYS
 from ..functions.numeric import ratio, safe_log
-from .cross import totals_within
-from .panel import asof_signal, dense_panel, price_panel
+from ..functions.spark import materialise
+from .panel import asof_signal, price_panel
 from .portfolio import apply_costs, construct_portfolio
 from .series import rolling_mean, rolling_std, running, with_positions, with_windows
 
@@ -170,13 +170,15 @@ def backtest_days(
         raise ValueError("portfolio config no longer takes 'instruments'; they come from the signal.")
     scope = scope or []
     raw = signal(prices) if callable(signal) else signal
-    panel = price_panel(prices, scope=scope)
-    calendar = prices.select(*scope, "ts").distinct()
-    instruments = prices.select(*scope, "asset").distinct()
+    # each of these tables is read several times below and by the statistics: written once
+    panel = materialise(price_panel(prices, scope=scope), "prices")
+    calendar = panel.select(*scope, "ts").distinct()
+    instruments = panel.select(*scope, "asset").distinct()
     sampled = asof_signal(raw, calendar, instruments, scope)
-    book = construct_portfolio(sampled, panel, classes, scope=scope, bound=bound, **config)
+    book = materialise(construct_portfolio(sampled, panel, classes, scope=scope, bound=bound, **config), "book")
     gross = portfolio_returns(book, panel, reference_asset, scope)
-    return apply_costs(gross, book, spreads, scope=scope), book.select(*scope, "ts", "asset", "trade")
+    days = materialise(apply_costs(gross, book, spreads, scope=scope), "days")
+    return days, book.select(*scope, "ts", "asset", "trade")
 
 
 def backtest_result(days: DataFrame, traded: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, next to their SQL equivalents."""
 
-from . import panel_queries, signal_queries  # noqa: F401
+from . import panel_queries, portfolio_queries, signal_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
