@@ -45,29 +45,38 @@ def missing_runs(df: DataFrame, value: str = "close", keys: list[str] | None = N
     ).drop("_run")
 
 
-def bounded_ffill(df: DataFrame, limit: int = MAX_FILL_ROWS, value: str = "close", strict: bool = False) -> DataFrame:
+def bounded_ffill(
+    df: DataFrame, limit: int = MAX_FILL_ROWS, value: str = "close", strict: bool = False, keys: list[str] | None = None
+) -> DataFrame:
     """Fill short gaps and mark them ``fill_type='ffill'``; series with a longer gap, or missing at
     the start, are left out (or fail the call when ``strict``)."""
-    filled = limited_ffill(df, limit, value)
+    keys = keys or ["asset"]
+    filled = limited_ffill(df, limit, value, keys)
     marked = filled.withColumn("fill_type", F.when(F.col("filled"), F.lit("ffill"))).drop("filled")
-    refused = gap_violations(df, limit, value)
-    if strict:
-        require_none(refused, f"missing data gap exceeds {limit} rows")
-        return marked
-    return marked.join(refused, "asset", "left_anti")
+    return _complete(marked, value, keys, f"missing data gap exceeds {limit} rows" if strict else None)
 
 
-def source_ffill(df: DataFrame, limit: int = MAX_FILL_ROWS, value: str = "close", strict: bool = False) -> DataFrame:
+def source_ffill(
+    df: DataFrame, limit: int = MAX_FILL_ROWS, value: str = "close", strict: bool = False, keys: list[str] | None = None
+) -> DataFrame:
     """Vendor-side variant: fill up to ``limit`` rows and refuse series with anything still missing."""
-    filled = limited_ffill(df, limit, value).drop("filled")
-    rest = filled.groupBy("asset").agg(F.count_if(F.col(value).isNull()).alias("remaining")).filter("remaining > 0")
-    if strict:
-        require_none(rest, "missing values remain after forward fill")
+    keys = keys or ["asset"]
+    filled = limited_ffill(df, limit, value, keys).drop("filled")
+    return _complete(filled, value, keys, "missing values remain after forward fill" if strict else None)
+
+
+def _complete(filled: DataFrame, value: str, keys: list[str], error: str | None) -> DataFrame:
+    """Only the series without a missing value; with ``error``, none may have one."""
+    open_rows = filled.filter(F.col(value).isNull()).select(*keys).distinct()
+    if error:
+        require_none(open_rows, error)
         return filled
-    return filled.join(rest, "asset", "left_anti")
+    return filled.join(open_rows, keys, "left_anti")
 
 
-def flag_outliers(df: DataFrame, window: int = OUTLIER_WINDOW, sigma: float = OUTLIER_SIGMA, value: str = "close") -> DataFrame:
+def flag_outliers(
+    df: DataFrame, window: int = OUTLIER_WINDOW, sigma: float = OUTLIER_SIGMA, value: str = "close", keys: list[str] | None = None
+) -> DataFrame:
     """|x - rolling mean| / rolling std above ``sigma``; the window includes the row itself."""
     x = F.col(value)
 
@@ -75,10 +84,13 @@ def flag_outliers(df: DataFrame, window: int = OUTLIER_WINDOW, sigma: float = OU
         z = ratio(F.abs(x - rolling_mean(x, w, window)), rolling_std(x, w, window))
         return {"is_outlier": F.coalesce(z > sigma, F.lit(False))}
 
-    return with_windows(df, ["asset"], build, before=window - 1)
+    return with_windows(df, keys or ["asset"], build, before=window - 1)
 
 
-def clean_series(df: DataFrame, limit: int = MAX_FILL_ROWS, window: int = OUTLIER_WINDOW, version: int = 1, strict: bool = False) -> DataFrame:
+def clean_series(
+    df: DataFrame, limit: int = MAX_FILL_ROWS, window: int = OUTLIER_WINDOW, version: int = 1, strict: bool = False,
+    keys: list[str] | None = None,
+) -> DataFrame:
     """Fill, flag and stamp the cleaning version."""
-    out = flag_outliers(bounded_ffill(df, limit, strict=strict), window)
+    out = flag_outliers(bounded_ffill(df, limit, strict=strict, keys=keys), window, keys=keys)
     return out.withColumn("clean_version", F.lit(version))

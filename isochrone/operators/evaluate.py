@@ -43,13 +43,13 @@ def forward_return(returns: DataFrame, horizons: list[int], scope: list[str] | N
 
 def paired(signal: DataFrame, forward: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Rows with both sides present: ``(scope, horizon, ts, asset, signal, fwd)``."""
-    s = signal.filter(F.col("value").isNotNull()).withColumnRenamed("value", "signal")
+    s = signal.filter(F.col("value").isNotNull()).withColumnRenamed("value", "signal").drop("pos", "_move")
     shared = [c for c in (scope or []) if c in forward.columns]
     return s.join(forward.filter(F.col("fwd").isNotNull()), [*shared, "ts", "asset"])
 
 
 def ic_by_date(pairs: DataFrame, keys: list[str] | None = None, bound: int | None = None) -> DataFrame:
-    return cross_ic(pairs, [*(keys or []), "ts"], "signal", "fwd", bound=bound)
+    return cross_ic(pairs, ["ts", *(keys or [])], "signal", "fwd", bound=bound)
 
 
 def _ic_stats():
@@ -162,8 +162,12 @@ def _scorecard_inputs(signal, prices, horizons, frequency, forward_returns, scop
     check_frequency(frequency)
     scope = scope or []
     returns = forward_returns(prices, frequency) if forward_returns else log_returns_panel(prices)
+    sig = resample_first_nonzero(signal, frequency, scope=scope)
+    if frequency != "daily":
+        # resampled series have no holes, so the previous row is the previous period
+        sig = with_windows(sig, [*scope, "asset"], lambda w: {"_move": F.abs(F.col("value") - F.lag("value", 1).over(w))}, before=1)
     # a signal may be any computation: it is computed once, then read for the pairs and the turnover
-    sig = materialise(resample_first_nonzero(signal, frequency, scope=scope), "signal")
+    sig = materialise(sig, "signal")
     fwd = forward_return(resample_sum_returns(returns, frequency), horizons)
     return sig, paired(sig, fwd, scope)
 
@@ -187,7 +191,7 @@ def signal_metrics_panel(
     tagged = signal if scope else signal.withColumn("_run", F.lit(1))
     sig, pairs = _scorecard_inputs(tagged, prices, horizons, frequency, forward_returns, run)
     keys = [*run, "horizon"]
-    by = [*keys, "ts"]
+    by = ["ts", *keys]  # the date first: it sorts faster than names
     ranked = rank_within(rank_within(pairs, by, "signal", "_rx", bound), by, "fwd", "_ry", bound)
     hit = F.when(F.signum("signal") == F.signum("fwd"), 1.0).otherwise(0.0)
     # one row per (run, horizon, date) is all the rest needs: written once, read by every statistic
@@ -201,7 +205,8 @@ def signal_metrics_panel(
         (ratio(F.avg("_pnl"), F.stddev_samp("_pnl")) * F.lit(periods_per_year(frequency) ** 0.5)).alias("signal_sharpe"),
         *_ic_stats(),
     )
-    out = totals.join(ic_decay_halflife(by_date, keys), keys, "left").join(signal_turnover(sig, run), run)
+    moved = signal_turnover(sig, run) if frequency == "daily" else sig.groupBy(*run).agg(F.avg("_move").alias("turnover"))
+    out = totals.join(ic_decay_halflife(by_date, keys), keys, "left").join(moved, run)
     return out.select(
         *scope, "horizon", F.lit(frequency).alias("frequency"), "ic_mean", "ic_std", ratio(F.col("ic_mean"), F.col("ic_std")).alias("icir"),
         "ic_positive_pct", "hit_rate", "signal_sharpe", "turnover", "decay_halflife", "n_observations",
@@ -228,6 +233,7 @@ def signal_metrics_single(
     correlation, which needs at least two windows. ``bound`` limits the rows of a series.
     """
     sig, pairs = _scorecard_inputs(signal, prices, horizons, frequency, forward_returns, [])
+    pairs = materialise(pairs, "pairs")
     keys = ["asset", "horizon"]
     rolled = rolling_spearman(pairs, keys, window or ROLLING_IC_WINDOW[frequency])
     enough = F.count("rolling_ic") >= 2

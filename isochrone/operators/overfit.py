@@ -7,11 +7,12 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import missing_if_not_finite, normal_cdf, ratio
-from .cross import median_within, totals_within
+from ..functions.spark import materialise
+from .cross import median_within
 from .folds import indexed_calendar
 from .panel import benchmark_align
 from .series import running
@@ -84,17 +85,24 @@ def complete_rows(returns: DataFrame) -> DataFrame:
 
 
 def chunk_moments(returns: DataFrame, n_chunks: int) -> DataFrame:
-    """(n, sum, sum of squares) per configuration and equal time chunk; the tail that does not fill
-    a chunk is trimmed. The only pass over the returns."""
-    rows = complete_rows(returns)
-    calendar = indexed_calendar(rows)
+    """(n, sum, sum of squares) per configuration and equal time chunk, around the configuration's
+    mean ``m``; the tail that does not fill a chunk is trimmed.
+
+    The returns are reduced to one row per (configuration, chunk) in one pass; everything after
+    works on that table.
+    """
+    calendar = materialise(indexed_calendar(complete_rows(returns)), "calendar")
     size = calendar.agg(F.floor(F.count(F.lit(1)) / F.lit(n_chunks)).cast("int")).scalar()
     chunks = calendar.select("ts", F.floor(F.col("pos") / size).cast("int").alias("chunk")).filter(F.col("chunk") < n_chunks)
-    # sums around the configuration's mean keep the squares small
-    centred = totals_within(rows.join(chunks, "ts"), ["config"], {"_m": F.avg("ret")}).withColumn("_d", F.col("ret") - F.col("_m"))
-    return centred.groupBy("config", "chunk").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_d").alias("s"), F.sum(F.col("_d") * F.col("_d")).alias("q"), F.first("_m").alias("m")
+    local = returns.join(chunks, "ts").groupBy("config", "chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("ret").alias("_mean"), F.var_pop("ret").alias("_var")
     )
+    whole = Window.partitionBy("config")
+    centred = local.withColumn("m", F.sum(F.col("n") * F.col("_mean")).over(whole) / F.sum("n").over(whole))
+    shift = F.col("_mean") - F.col("m")
+    return materialise(centred.select(
+        "config", "chunk", "n", (F.col("n") * shift).alias("s"), (F.col("n") * (F.col("_var") + shift * shift)).alias("q"), "m"
+    ), "moments")
 
 
 def combination_sharpes(moments: DataFrame, combos: DataFrame) -> DataFrame:
@@ -125,18 +133,16 @@ def combos_frame(spark: SparkSession, n_chunks: int, limit: int | None = SAMPLED
 
 def best_config(scores: DataFrame, by: list[str], score: str, config: str = "config") -> DataFrame:
     """Configuration with the highest score, the first one on ties."""
-    top = scores.groupBy(*by).agg(F.max(score).alias("_top")) if by else scores.agg(F.max(score).alias("_top"))
-    if by:
-        tied = scores.join(top, by).filter(F.col(score) == F.col("_top"))
-        return tied.groupBy(*by).agg(F.min(config).alias("best_config"), F.max(score).alias(score))
-    tied = scores.filter(F.col(score) == top.scalar())
-    return tied.agg(F.min(config).alias("best_config"), F.max(score).alias(score))
+    first = F.min_by(F.struct(config, score), F.struct(-F.col(score), F.col(config))).alias("_best")
+    known = scores.filter(F.col(score).isNotNull())
+    found = known.groupBy(*by).agg(first) if by else known.agg(first)
+    return found.select(*by, F.col(f"_best.{config}").alias("best_config"), F.col(f"_best.{score}").alias(score))
 
 
 def cscv_paths(returns: DataFrame, n_chunks: int = 16, limit: int | None = SAMPLED_COMBINATIONS, bound: int | None = None) -> DataFrame:
     """Per combination: the in-sample winner, its out-of-sample Sharpe and the median of all."""
     spark = returns.sparkSession
-    scores = combination_sharpes(chunk_moments(returns, n_chunks), combos_frame(spark, n_chunks, limit))
+    scores = materialise(combination_sharpes(chunk_moments(returns, n_chunks), combos_frame(spark, n_chunks, limit)), "sharpes")
     winner = best_config(scores, ["combo"], "is_sharpe")
     chosen = winner.withColumnRenamed("best_config", "config").join(scores.select("combo", "config", "oos_sharpe"), ["combo", "config"])
     median = median_within(scores, ["combo"], "oos_sharpe", "config", "median_oos", bound)
@@ -199,12 +205,12 @@ def spa_test(benchmark: DataFrame, strategies: DataFrame, n_bootstrap: int = 100
         raise ValueError("n_bootstrap must be positive.")
     if not 0.0 < significance < 1.0:
         raise ValueError("significance must be in (0, 1).")
-    d = spa_differentials(benchmark, strategies)
-    calendar = indexed_calendar(d)
+    d = materialise(spa_differentials(benchmark, strategies), "differentials")
+    calendar = materialise(indexed_calendar(d), "calendar")
     n = calendar.agg(F.count(F.lit(1))).scalar()
     block = F.greatest(F.lit(1), F.floor(F.pow(n, F.lit(0.25))))
     counts = stationary_bootstrap(calendar, n, n_bootstrap, block, seed).groupBy("draw", F.col("idx").alias("pos")).agg(F.count(F.lit(1)).alias("_k"))
-    means = d.groupBy("config").agg(F.avg("d").alias("mean_d"))
+    means = materialise(d.groupBy("config").agg(F.avg("d").alias("mean_d")), "means")
     centred = d.join(means, "config").join(calendar, "ts").select("config", "pos", (F.col("d") - F.col("mean_d")).alias("_d0"))
     drawn = counts.join(centred, "pos").groupBy("draw", "config").agg((F.sum(F.col("_k") * F.col("_d0")) / n).alias("_mean"))
     stats = drawn.groupBy("draw").agg(F.max("_mean").alias("stat"))

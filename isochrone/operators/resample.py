@@ -64,7 +64,7 @@ def resample_sum_returns(df: DataFrame, frequency: str, value: str = "value", sc
     """Log returns summed per period; a period without any value is missing."""
     scope = scope or []
     if check_frequency(frequency) == "daily":
-        return df.select(*scope, "asset", "ts", value)
+        return df
     periods = _per_period(df, D.period_start(F.col("ts"), frequency), F.sum(value), value, scope)
     return _all_periods(periods, frequency, value, scope)
 
@@ -73,7 +73,7 @@ def resample_first_nonzero(df: DataFrame, frequency: str, value: str = "value",
     """First non-zero value of the period; without one, the previous period's value is kept."""
     scope = scope or []
     if check_frequency(frequency) == "daily":
-        return df.select(*scope, "asset", "ts", value)
+        return df
     first = F.min_by(F.col(value), F.when(F.col(value) != 0, F.col("ts")))
     periods = _per_period(df, D.period_start(F.col("ts"), frequency), first, value, scope)
     return _all_periods(periods, frequency, value, scope, carry=True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import r6
 from ..functions.spark import materialise
 from ..operators.panel import dense_panel
-from ..operators.series import with_windows
+from ..operators.series import with_positions, with_windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,10 +142,12 @@ def prio_d(spark, sf_dir) -> DataFrame:
 
 @_stored
 def event_h(spark, sf_dir) -> DataFrame:
-    """Hourly average value per event type; ``ts`` is a timestamp."""
+    """Hourly average value per event type; ``ts`` is a timestamp, ``pos`` the row index, so that
+    chained windows do not count positions again."""
     ev = table(spark, sf_dir, "events")
     hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
-    return ev.groupBy(F.col("event_type").alias("asset"), hour.alias("ts")).agg(_average("value").alias("value"))
+    hourly = ev.groupBy(F.col("event_type").alias("asset"), hour.alias("ts")).agg(_average("value").alias("value"))
+    return with_positions(hourly, ["asset"])
 
 
 def vintages(spark, sf_dir) -> DataFrame:

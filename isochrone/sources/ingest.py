@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions.frequency import publication_lag_col
 from ..functions.spark import materialise
-from ..operators.clean import clean_series, gap_violations
+from ..operators.clean import clean_series
 from .layers import LayerStore
 
 # Slack at the start of a request, and the version cleaning writes.
@@ -66,14 +66,11 @@ def incremental_ingest(store: LayerStore, landing: DataFrame, requests: DataFram
     guard = materialise(guard.select(*KEY, "accepted"), "guard")
     accepted = fetched.join(guard.filter("accepted").select(*KEY), KEY, "left_semi")
     store.replace_raw(accepted)
-    asset = F.to_json(F.struct(*KEY))
-    keyed = accepted.withColumn("asset", asset)
-    refused = materialise(gap_violations(keyed, fill_limit).select("asset"), "refused")
-    cleaned = clean_series(keyed.join(refused, "asset", "left_anti"), fill_limit)
-    store.write_adjusted(cleaned.drop("asset"), CLEAN_VERSION)
+    cleaned = materialise(clean_series(accepted, fill_limit, keys=KEY), "cleaned")
+    store.write_adjusted(cleaned, CLEAN_VERSION)
+    kept = cleaned.select(*KEY, F.lit(True).alias("_cleaned")).distinct()
     status = (
         F.when(F.col("covered"), "covered").when(F.col("accepted").isNull(), "no_data").when(~F.col("accepted"), "rejected")
-        .when(F.col("_refused"), "raw_only").otherwise("stored")
+        .when(F.col("_cleaned"), "stored").otherwise("raw_only")
     )
-    failed = refused.select(F.from_json("asset", "source string, ticker string, frequency string").alias("k")).select("k.*", F.lit(True).alias("_refused"))
-    return checked.join(guard, KEY, "left").join(failed, KEY, "left").select(*requests.columns, status.alias("status"))
+    return checked.join(guard, KEY, "left").join(kept, KEY, "left").select(*requests.columns, status.alias("status"))
