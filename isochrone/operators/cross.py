@@ -19,8 +19,9 @@ from ..functions.numeric import rank_correlation
 from ..functions.spark import materialise
 
 MAX_WINDOW_ROWS = 1_000_000
-BUCKETS_PER_E_FOLD = 256
+BUCKETS_PER_E_FOLD = 4096
 ASSETS_PER_CELL = 1 << 16
+NAME_PREFIX = 12
 
 
 def fits_window(bound: int | None) -> bool:
@@ -38,9 +39,10 @@ def value_bucket(x: Column) -> Column:
 
 
 def _tie_cell(df: DataFrame, tie: str) -> Column:
-    """Order-preserving coarse cell of the tie-break column."""
+    """Order-preserving coarse cell of the tie-break column: ranges of numeric ids, or name prefixes
+    (very wide universes should use numeric ids, whose cells have a fixed size)."""
     if isinstance(df.schema[tie].dataType, T.StringType):
-        return F.substring(F.col(tie), 1, 4)
+        return F.substring(F.col(tie), 1, NAME_PREFIX)
     return F.floor(F.col(tie) / ASSETS_PER_CELL)
 
 

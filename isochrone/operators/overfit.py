@@ -184,8 +184,9 @@ def stationary_bootstrap(positions: DataFrame, n_rows: Column, n_bootstrap: int,
     restart = (F.col("pos") == 0) | (_uniform(seed, "restart", F.col("draw"), F.col("pos")) < F.lit(1.0) / block_length)
     row = F.floor(_uniform(seed, "row", F.col("draw"), F.col("pos")) * n_rows)
     marked = draws.withColumn("_start", F.when(restart, F.struct(row.alias("row"), F.col("pos").alias("at"))))
-    day = marked.withColumn("_day", F.date_from_unix_date(F.col("pos").cast("int")))
-    last = running(day, ["draw"], {"_last": ("last", F.col("_start"))}, ts="_day")
+    # positions as seconds, so that a long series is carried forward in blocks
+    timed = marked.withColumn("_at", F.timestamp_seconds("pos"))
+    last = running(timed, ["draw"], {"_last": ("last", F.col("_start"))}, ts="_at", span="day")
     return last.select("draw", "pos", ((F.col("_last.row") + F.col("pos") - F.col("_last.at")) % n_rows).cast("int").alias("idx"))
 
 

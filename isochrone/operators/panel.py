@@ -117,32 +117,32 @@ def asof_signal(
     An instrument absent from that cross-section, or a date before any signal, gives zero.
     """
     scope = scope or []
-    latest = last_print(calendar, signal, scope=scope)
-    if scope:
-        days = latest.groupBy(*scope).agg(F.collect_list(F.struct("ts", "print_ts")).alias("_d"))
-        grid = instruments.join(days, scope)
-    else:
-        days = latest.agg(F.collect_list(F.struct("ts", "print_ts"))).scalar()
-        grid = instruments.withColumn("_d", days)
-    grid = grid.withColumn("_d", F.explode("_d")).select(
-        *scope, "asset", F.col("_d.ts").alias("ts"), F.col("_d.print_ts").alias("print_ts")
-    )
+    grid = _every_instrument(instruments, last_print(calendar, signal, scope=scope), scope)
     values = signal.select(*scope, F.col("ts").alias("print_ts"), "asset", "value")
     return grid.join(values, [*scope, "print_ts", "asset"], "left").select(
         *scope, "ts", "asset", F.coalesce("value", F.lit(0.0)).alias("value")
     )
 
 
+def _every_instrument(instruments: DataFrame, dated: DataFrame, scope: list[str]) -> DataFrame:
+    """Each instrument on each row of a per-date table: days go through one short array, the rows of
+    a day are joined by equality."""
+    days = dated.select(*scope, F.to_date("ts").alias("_day"))
+    if scope:
+        spread = instruments.join(days.groupBy(*scope).agg(F.collect_set("_day").alias("_days")), scope)
+    else:
+        spread = instruments.withColumn("_days", _days_literal(days, "_day"))
+    by_day = spread.withColumn("_day", F.explode("_days")).drop("_days")
+    return by_day.join(dated.withColumn("_day", F.to_date("ts")), [*scope, "_day"]).drop("_day")
+
+
 def asof_broadcast(series: DataFrame, calendar: DataFrame, instruments: DataFrame) -> DataFrame:
     """Single-series signal at every calendar date, given to all instruments; zero before it starts."""
     latest = last_print(calendar, series).join(
         series.select(F.col("ts").alias("print_ts"), "value"), "print_ts", "left"
     )
     value = F.when(F.col("print_ts").isNull(), F.lit(0.0)).otherwise(F.col("value"))
-    days = latest.agg(F.collect_list(F.struct("ts", value.alias("value")))).scalar()
-    return instruments.withColumn("_d", F.explode(days)).select(
-        F.col("_d.ts").alias("ts"), "asset", F.col("_d.value").alias("value")
-    )
+    return _every_instrument(instruments, latest.select("ts", value.alias("value")), []).select("ts", "asset", "value")
 
 
 def asof_ffill(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
-from ..functions.numeric import pearson
+from ..functions.numeric import ratio
 from .series import running
 
 # Labels and order of the summary, and the low-count flag.
@@ -22,6 +24,7 @@ SUMMARY_ROWS = (
     ("Turnover", "turnover_annual", "number"),
 )
 LOW_N = 20
+MAX_MATRIX_COLUMNS = 2000
 
 
 def aligned_returns(returns: DataFrame) -> DataFrame:
@@ -78,15 +81,37 @@ def summary_table(stats: DataFrame, keys: list[str]) -> DataFrame:
     return stats.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.position", "_r.label", "_r.value")
 
 
-def corr_matrix(df: DataFrame, key: str = "asset", value: str = "value") -> DataFrame:
+def _chunk_products(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairwise-complete counts, sums and products of one month's columns."""
+    wide = pdf.pivot(index="ts", columns="asset", values="x")
+    here = wide.notna().to_numpy(float)
+    z = wide.fillna(0.0).to_numpy()
+    s, q = z.T @ here, (z * z).T @ here
+    i, j = np.triu_indices(wide.shape[1])
+    names = wide.columns.to_numpy()
+    return pd.DataFrame({
+        "a": names[i], "b": names[j], "n": (here.T @ here)[i, j], "sa": s[i, j], "sb": s[j, i], "qa": q[i, j], "qb": q[j, i], "p": (z.T @ z)[i, j],
+    })
+
+
+def corr_matrix(df: DataFrame, key: str = "asset", value: str = "value", max_columns: int = MAX_MATRIX_COLUMNS) -> DataFrame:
     """Pairwise-complete Pearson correlation of the series of a panel, both triangles.
 
-    All pairs of columns are the result itself. Dates are the join key, and each pair is combined
-    map-side into one small aggregate, so no group is gathered.
+    A report over at most ``max_columns`` series (checked). Months are reduced to matrix products
+    side by side, and only those are added up; values are centred first to keep the sums exact.
     """
-    rows = df.filter(F.col(value).isNotNull()).select("ts", F.col(key).alias("a"), F.col(value).alias("x"))
-    other = rows.select("ts", F.col("a").alias("b"), F.col("x").alias("y"))
-    half = rows.join(other, "ts").filter("a <= b").groupBy("a", "b").agg(pearson(F.col("x"), F.col("y")).alias("corr"))
+    present = df.filter(F.col(value).isNotNull())
+    means = present.groupBy(key).agg(F.avg(value).alias("_m"))
+    width = means.count()
+    if width > max_columns:
+        raise ValueError(f"a correlation matrix of {width} series is wider than {max_columns}.")
+    rows = present.join(means, key).select(F.trunc("ts", "month").alias("month"), "ts", F.col(key).alias("asset"), (F.col(value) - F.col("_m")).alias("x"))
+    kind = df.schema[key].dataType.simpleString()
+    parts = rows.groupBy("month").applyInPandas(_chunk_products, f"a {kind}, b {kind}, n double, sa double, sb double, qa double, qb double, p double")
+    n, sa, sb, qa, qb, p = (F.sum(c) for c in ("n", "sa", "sb", "qa", "qb", "p"))
+    half = parts.groupBy("a", "b").agg(
+        F.when(n > 1, ratio(p - sa * sb / n, F.sqrt(F.greatest((qa - sa * sa / n) * (qb - sb * sb / n), F.lit(0.0))))).alias("corr")
+    )
     return half.unionByName(half.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
 
 

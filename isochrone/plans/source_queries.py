@@ -30,7 +30,7 @@ def store_series(spark, sf):
 
 
 def new_store(spark):
-    return Y.LayerStore(spark, shared_dir(spark, "layers"))
+    return Y.LayerStore(spark, shared_dir(spark, "layers"), buckets=4)
 
 
 # --- landing ----------------------------------------------------------------------------------
@@ -336,9 +336,9 @@ def dependency_cycles(spark, sf):
     return R.dependency_cycles(cycle_edges(spark, sf))
 
 
-@query("used_by", ctes(EDGES) + "SELECT dst AS name, string_agg(DISTINCT src, ',' ORDER BY src) AS users FROM ed GROUP BY 1")
+@query("used_by", ctes(EDGES) + 'SELECT DISTINCT dst AS name, src AS "user" FROM ed')
 def used_by(spark, sf):
-    return R.used_by(edges(spark, sf)).select("name", F.array_join("users", ",").alias("users"))
+    return R.used_by(edges(spark, sf))
 
 
 @query("used_by_transitive", f"WITH RECURSIVE ed AS ({EDGES[1]}), cl AS (SELECT src, dst FROM ed UNION SELECT cl.src, ed.dst FROM cl JOIN ed ON ed.src = cl.dst) SELECT dst AS name, src AS user FROM cl".replace("AS user", 'AS "user"'))

@@ -1,8 +1,9 @@
 """Layered tables: immutable raw, versioned adjusted, replaceable derived.
 
 One partitioned dataset per layer holds all series; ``source``, ``frequency`` (and ``version``)
-are folders, the ticker is a column. Writes rebalance by those folders, so a dominant source is
-written by several tasks.
+are folders, the ticker is a column. Inside them series are spread over hash buckets, so replacing
+a few series rewrites only their buckets and not a whole source. Writes rebalance by folder, so a
+dominant one is written by several tasks.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.spark import require_none
 
 LAYERS = {
-    "raw": ["source", "frequency"],
-    "adjusted": ["source", "frequency", "version"],
-    "derived": ["frequency"],
+    "raw": ["source", "frequency", "bucket"],
+    "adjusted": ["source", "frequency", "version", "bucket"],
+    "derived": ["frequency", "bucket"],
 }
 SERIES_KEY = {
     "raw": ["source", "ticker", "frequency"],
@@ -24,11 +25,23 @@ SERIES_KEY = {
 }
 
 
+def _check_close(df: DataFrame) -> None:
+    if "close" not in df.columns:
+        raise ValueError("a stored series needs a 'close' column.")
+
+
 class LayerStore:
     """Raw, adjusted and derived series under one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def _bucketed(self, df: DataFrame, layer: str) -> DataFrame:
+        name = F.col("name" if layer == "derived" else "ticker")
+        return df.withColumn("bucket", F.pmod(F.hash(name), F.lit(self.buckets)))
+
+    def _stored(self, layer: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(layer))
 
     def path(self, layer: str) -> str:
         if layer not in LAYERS:
@@ -43,10 +56,6 @@ class LayerStore:
         return True
 
     def _write(self, df: DataFrame, layer: str, mode: str) -> None:
-        if "close" not in df.columns:
-            raise ValueError("a stored series needs a 'close' column.")
-        if "version" in df.columns:
-            require_none(df.filter("version < 0").select("version").limit(1), "version must be >= 0")
         folders = LAYERS[layer]
         (
             df.hint("rebalance", *folders).write.mode(mode).partitionBy(*folders)
@@ -55,17 +64,19 @@ class LayerStore:
 
     def write_raw(self, df: DataFrame) -> None:
         """Append new series; a series that is already stored is refused."""
-        key = SERIES_KEY["raw"]
+        _check_close(df)
+        key, df = SERIES_KEY["raw"], self._bucketed(df, "raw")
         if self.exists("raw"):
-            stored = self.spark.read.parquet(self.path("raw")).select(*key)
-            require_none(df.select(*key).distinct().join(stored, key, "left_semi"), "raw series already exist")
+            new = df.select(*key, "bucket").distinct()
+            require_none(new.join(self._stored("raw"), [*key, "bucket"], "left_semi").select(*key), "raw series already exist")
         self._write(df, "raw", "append")
 
     def _replace(self, df: DataFrame, layer: str) -> None:
         """Replace exactly the given series; others in the same folders are kept."""
-        key = SERIES_KEY[layer]
+        _check_close(df)
+        key, df = SERIES_KEY[layer], self._bucketed(df, layer)
         if self.exists(layer):
-            stored = self.spark.read.parquet(self.path(layer))
+            stored = self._stored(layer)
             touched = df.select(*LAYERS[layer]).distinct()
             kept = stored.join(touched, LAYERS[layer], "left_semi").join(df.select(*key).distinct(), key, "left_anti")
             df = df.unionByName(kept, allowMissingColumns=True)
@@ -83,10 +94,18 @@ class LayerStore:
     def write_derived(self, df: DataFrame) -> None:
         self._replace(df, "derived")
 
-    def read(self, layer: str, where: Column | None = None, version: int | str | None = None) -> DataFrame:
-        """Rows of a layer. ``where`` prunes folders and is pushed into the scan; in the adjusted
-        layer ``version`` is a number or ``"latest"``."""
-        df = self.spark.read.parquet(self.path(layer))
+    def read(
+        self, layer: str, where: Column | None = None, version: int | str | None = None, series: str | None = None
+    ) -> DataFrame:
+        """Rows of a layer. ``where`` prunes folders and is pushed into the scan; ``series`` (a ticker,
+        or the name of a derived series) reads only its bucket; in the adjusted layer ``version`` is a
+        number or ``"latest"``."""
+        df = self._stored(layer)
+        if series is not None:
+            name = "name" if layer == "derived" else "ticker"
+            bucket = F.pmod(F.hash(F.lit(series)), F.lit(self.buckets))
+            df = df.filter((F.col("bucket") == bucket) & (F.col(name) == series))
+        df = df.drop("bucket")
         df = df if where is None else df.filter(where)
         if version == "latest":
             newest = latest_version(df)
@@ -94,7 +113,7 @@ class LayerStore:
         return df if version is None else df.filter(F.col("version") == version)
 
     def read_derived(self, name: str, frequency: str) -> DataFrame:
-        df = self.read("derived", (F.col("frequency") == frequency) & (F.col("name") == name))
+        df = self.read("derived", F.col("frequency") == frequency, series=name)
         if df.isEmpty():
             raise LookupError(f"no derived series {name}_{frequency}")
         return df
@@ -105,7 +124,7 @@ class LayerStore:
         for name in [layer] if layer else LAYERS:
             if not self.exists(name):
                 continue
-            df = self.spark.read.parquet(self.path(name))
+            df = self._stored(name)
             source = F.col("name") if name == "derived" else F.col("source")
             ticker = F.lit(None).cast("string") if name == "derived" else F.col("ticker")
             version = F.col("version").cast("int") if name == "adjusted" else F.lit(None).cast("int")

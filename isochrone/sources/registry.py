@@ -57,8 +57,8 @@ def unresolved_refs(edges: DataFrame, variables: DataFrame) -> DataFrame:
 
 
 def used_by(edges: DataFrame) -> DataFrame:
-    """Direct users of each name, sorted."""
-    return edges.groupBy(F.col("dst").alias("name")).agg(F.sort_array(F.collect_set("src")).alias("users"))
+    """Direct users as ``(name, user)`` rows: a popular name may have too many for one list."""
+    return edges.select(F.col("dst").alias("name"), F.col("src").alias("user")).distinct()
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
@@ -178,11 +178,11 @@ def derived_cache(
     """
     lo, hi = F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")
     wanted = (F.col("ts") >= lo) & (F.col("ts") <= hi)
-    mine = (F.col("frequency") == frequency) & (F.col("name") == name)
+    mine = F.col("frequency") == frequency
     if not force_refresh and store.exists("derived"):
-        kept = store.read("derived", mine & (F.col("range_start") <= lo) & (F.col("range_end") >= hi))
+        kept = store.read("derived", mine & (F.col("range_start") <= lo) & (F.col("range_end") >= hi), series=name)
         if not kept.isEmpty():
             return kept.filter(wanted), True
     rows = compute().filter(wanted).withColumns({"name": F.lit(name), "frequency": F.lit(frequency), "range_start": lo, "range_end": hi})
     store.write_derived(rows)
-    return store.read("derived", mine).filter(wanted), False
+    return store.read("derived", mine, series=name).filter(wanted), False

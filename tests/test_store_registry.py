@@ -14,7 +14,7 @@ from isochrone.sources import registry as R
 
 @pytest.fixture
 def store(spark):
-    return Y.LayerStore(spark, shared_dir(spark, "test-layers"))
+    return Y.LayerStore(spark, shared_dir(spark, "test-layers"), buckets=2)
 
 
 def _series(spark, ticker, first, last, source="yahoo", frequency="daily", price=100.0):
@@ -119,7 +119,7 @@ def _vars(spark, names):
 def test_catalogue_graph(spark):
     e = _edges(spark, CHAIN)
     v = _vars(spark, [("R", "raw"), ("T", "transformed"), ("D", "derived"), ("D2", "derived")])
-    assert {r.name: r.users for r in R.used_by(e).collect()} == {"R": ["T"], "T": ["D", "D2"]}
+    assert {(r.name, r.user) for r in R.used_by(e).collect()} == {("R", "T"), ("T", "D"), ("T", "D2")}
     assert {(r.name, r.user) for r in R.used_by_transitive(e).collect()} == {("R", "T"), ("R", "D"), ("R", "D2"), ("T", "D"), ("T", "D2")}
     tree = {tuple(r.path): r.depth for r in R.variable_lineage(e, v).filter("root = 'D'").collect()}
     assert tree == {("D",): 0, ("D", "T"): 1, ("D", "T", "R"): 2}
