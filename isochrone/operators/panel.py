@@ -197,7 +197,7 @@ def benchmark_align(benchmark: DataFrame, strategies: DataFrame) -> DataFrame:
     """
     bench = benchmark.select("ts", missing_if_not_finite(F.col("ret")).alias("bench")).filter("bench is not null")
     strat = strategies.withColumn("ret", missing_if_not_finite(F.col("ret")))
-    n = strat.select("config").distinct().count()
+    n = strat.agg(F.count_distinct("config")).scalar()
     complete = strat.groupBy("ts").agg(F.count("ret").alias("_n")).filter(F.col("_n") == n).select("ts")
     return strat.join(complete, "ts", "left_semi").join(bench, "ts").select("ts", "config", "ret", "bench")
 

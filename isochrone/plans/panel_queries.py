@@ -25,7 +25,7 @@ START, END = "1996-01-01", "1998-12-31"
     ("k", "SELECT asset, ts, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i FROM d WHERE isodow(ts) < 6"),
     ("n", "SELECT a.asset, a.ts, b.ts AS plus5, c.ts AS minus3 FROM k a LEFT JOIN k b ON a.asset = b.asset AND b.i = a.i + 5 LEFT JOIN k c ON a.asset = c.asset AND c.i = a.i - 3")) +
     f"SELECT asset, {sday()}, {sday('plus5')}, {sday('minus3')}, {sday('ts + (5 - isodow(ts))::INT', 'week_label')}, {sday('last_day(ts)', 'month_label')}, "
-    f"{sday('last_day(date_trunc(chr(113)||chr(117)||chr(97)||chr(114)||chr(116)||chr(101)||chr(114), ts) + INTERVAL 2 MONTH)', 'quarter_label')} FROM n WHERE plus5 IS NOT NULL AND minus3 IS NOT NULL")
+    f"{sday("last_day(date_trunc('quarter', ts) + INTERVAL 2 MONTH)", 'quarter_label')} FROM n WHERE plus5 IS NOT NULL AND minus3 IS NOT NULL")
 def business_calendar(spark, sf):
     o = S.table(spark, sf, "orders")
     b = o.groupBy(F.col("o_orderpriority").alias("asset")).agg(F.min(F.to_date("o_orderdate")).alias("first"), F.max(F.to_date("o_orderdate")).alias("last"))

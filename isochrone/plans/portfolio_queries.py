@@ -6,6 +6,10 @@ asset classes.
 
 from __future__ import annotations
 
+import itertools
+import re
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import backtest as B
@@ -396,7 +400,7 @@ def walk_forward_rolling(spark, sf):
     source = S.nation_m(spark, sf).join(folds, "ts").select("fold", "ts", "asset", "value")
 
     def signal(px):
-        back = F.row_number().over(FD_window(["fold", "asset"]))
+        back = F.row_number().over(Window.partitionBy("fold", "asset").orderBy(F.desc("ts")))
         seen = px.withColumn("_back", back).filter(F.col("_back") <= TRAIN).drop("_back")
         return rank_signal(seen, ["fold"], n)
 
@@ -405,11 +409,6 @@ def walk_forward_rolling(spark, sf):
     return _rounded(B.backtest_result(days.join(test, ["fold", "ts"]), traded.join(test, ["fold", "ts"]), ["fold"]))
 
 
-def FD_window(keys):
-    from pyspark.sql import Window
-    return Window.partitionBy(*keys).orderBy(F.desc("ts"))
-
-
 def cpcv_steps(n_groups=N_GROUPS, k=K_TEST):
     combos = " UNION ALL ".join(f"SELECT {p} AS path, {g} AS grp" for p, c in enumerate(_combos(n_groups, k)) for g in c)
     base, rest = "((n - 1) // {g})".format(g=n_groups), "((n - 1) % {g})".format(g=n_groups)
@@ -420,7 +419,6 @@ def cpcv_steps(n_groups=N_GROUPS, k=K_TEST):
 
 
 def _combos(n_groups, k, limit=FD.MAX_COMBINATIONS):
-    import itertools
     return list(itertools.islice(itertools.combinations(range(n_groups), k), limit))
 
 
@@ -443,7 +441,6 @@ def cpcv_path_steps():
 
 def _renamed(steps, prefix):
     """The steps with their own names prefixed, so two copies fit into one query."""
-    import re
     names = [k for k, _ in steps]
     pattern = re.compile(r"(?<=FROM )(" + "|".join(names) + r")\b|(?<=JOIN )(" + "|".join(names) + r")\b")
     out = [(f"{prefix}{k}", pattern.sub(lambda m: prefix + m.group(0), v)) for k, v in steps]

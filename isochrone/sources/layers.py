@@ -8,11 +8,14 @@ dominant one is written by several tasks.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spark import require_none
 
+# Error conditions of a path that does not exist or holds no files yet.
+ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 LAYERS = {
     "raw": ["source", "frequency", "bucket"],
     "adjusted": ["source", "frequency", "version", "bucket"],
@@ -49,10 +52,14 @@ class LayerStore:
         return f"{self.root}/{layer}"
 
     def exists(self, layer: str) -> bool:
+        """Whether the layer has been written. Any other failure to read it is passed on: taking it
+        for an empty layer would lose the series that a replacement has to keep."""
         try:
-            self.spark.read.parquet(self.path(layer))
-        except Exception:
-            return False
+            self._stored(layer)
+        except AnalysisException as e:
+            if e.getCondition() in ABSENT:
+                return False
+            raise
         return True
 
     def _write(self, df: DataFrame, layer: str, mode: str) -> None:

@@ -34,6 +34,16 @@ def test_raw_is_immutable(spark, store):
         store.write_raw(a.drop("close"))
 
 
+def test_missing_layer_is_not_a_broken_one(spark, store):
+    assert not store.exists("raw")
+    store.write_raw(_series(spark, "SPY", date(2024, 1, 1), date(2024, 1, 3)).limit(0))
+    assert not store.exists("raw")
+    store.write_raw(_series(spark, "SPY", date(2024, 1, 1), date(2024, 1, 3)))
+    assert store.exists("raw") and store.read("raw", series="SPY").count() == 3 and store.read("raw", series="TLT").count() == 0
+    with pytest.raises(ValueError, match="unknown layer"):
+        store.exists("gold")
+
+
 def test_versions_are_numeric(spark, store):
     a = _series(spark, "SPY", date(2024, 1, 1), date(2024, 1, 10))
     for v in (1, 3, 2, 10):
