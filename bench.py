@@ -1,6 +1,6 @@
 """Time the headline queries; prints one JSON line.
 
-Every query runs once to warm up and then three times; the median counts. Panels are built before,
+Every query runs once to warm up and then twice; the median counts. Panels are built before,
 and their build time is reported as ``panels``.
 """
 
@@ -45,7 +45,7 @@ def main() -> None:
         getattr(panels, build)(spark, sf_dir)
     overfit_queries.brand_returns(spark, sf_dir)
     timings["panels"] = round(time.perf_counter() - started, 3)
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     for name in names:
         runs = []
         for i in range(repeats + 1):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -27,10 +28,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage without relying on any executor staying alive: the result is a plain file scan.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
+    return read_shared(df.sparkSession, write_shared(df, name), df.schema)
+
+
+def write_shared(df: DataFrame, name: str) -> str:
+    path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def read_shared(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """A table of the shared folder, or None when it has been cleared away."""
+    try:
+        df = spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return None
+    return df if df.inputFiles() else None
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:

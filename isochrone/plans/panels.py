@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..functions.spark import materialise
+from ..functions.spark import read_shared, write_shared
 from ..operators.panel import dense_panel
 from ..operators.series import with_positions, with_windows
 
@@ -27,7 +27,7 @@ def universe(spark: SparkSession, sf_dir: str, name: str) -> int:
     return _ROWS[key]
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], tuple] = {}
 
 
 def _stored(build):
@@ -35,14 +35,18 @@ def _stored(build):
 
     Everything after the panel is small next to the raw rows and reads it several times (dates,
     assets, values), so the raw table is scanned once. The table lies in the shared folder, so
-    losing an executor does not bring the scan back. ``forget_panels`` starts over.
+    losing an executor does not bring the scan back; it is built again when the folder was cleared.
+    ``forget_panels`` starts over, e.g. after the raw tables changed.
     """
 
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), build.__name__)
-        if key not in _STORED:
-            _STORED[key] = materialise(build(spark, sf_dir), build.__name__)
-        return _STORED[key]
+        kept = read_shared(spark, *_STORED[key]) if key in _STORED else None
+        if kept is not None:
+            return kept
+        panel = build(spark, sf_dir)
+        _STORED[key] = (write_shared(panel, build.__name__), panel.schema)
+        return read_shared(spark, *_STORED[key])
 
     get.__doc__ = build.__doc__
     get.build = build

@@ -29,6 +29,18 @@ def test_query_equals_sql(spark, name):
     assert got == canon([c[0] for c in cur.description], cur.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables not present")
+def test_panels_are_kept_and_rebuilt(spark):
+    from isochrone.plans import panels
+
+    first = panels.prio_d(spark, DATA)
+    assert panels.prio_d(spark, DATA).inputFiles() == first.inputFiles()
+    for key in [k for k in panels._STORED if k[2] == "prio_d"]:
+        panels._STORED[key] = ("/tmp/isochrone-no-such-folder", panels._STORED[key][1])
+    again = panels.prio_d(spark, DATA)
+    assert again.exceptAll(first).count() == 0 and again.count() == first.count()
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables not present")
 def test_entry(spark):
     df = entry_module.entry(spark)
