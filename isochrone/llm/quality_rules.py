@@ -49,7 +49,7 @@ POLICIES = {
     "prose-1": (*BASE, "symbols", "capitals"),
     "prose-2": tuple(r.name for r in RULES),
 }
-POLICY = "prose-2"
+POLICY = "prose-1"
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals")
 

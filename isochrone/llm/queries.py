@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality_rules, simhash
+from . import licences, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,7 +77,7 @@ DOCUMENTS_SQL = "(SELECT doc_id, text FROM documents)"
 
 
 @query("op5_quality_rules", f"""
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 63 = 0 AS kept, failed
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 23 = 0 AS kept, failed
 FROM ({LEDGER_SQL.format(source=DOCUMENTS_SQL)}) x
 """)
 def op5(spark, sf_dir):
@@ -124,6 +124,85 @@ def op8(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op1_quality_classifier")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def _url_sql() -> str:
+    """Rules, links and the rounds of propagation as one query."""
+    fits = lambda text: f"((host = '{text[: text.index('/')]}' OR ends_with(host, '.{text[: text.index('/')]}')) AND starts_with(path, '{text[text.index('/'):]}'))"
+    longest = sorted(url_filter.RULES, key=lambda r: -len(r[1]))
+    rule = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in longest) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{v}'" for v, t in longest) + " END"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    d, threshold = url_filter.DAMPING, url_filter.THRESHOLD
+    rounds = ["r0 AS (SELECT kind, host, seed AS rank FROM seeds)"]
+    for i in range(url_filter.ROUNDS):
+        rounds.append(f"""r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(part) AS rank FROM (
+          SELECT kind, dst AS host, share * rank * {d}::DOUBLE AS part FROM shares JOIN r{i} r USING (kind) WHERE r.host = src
+          UNION ALL SELECT kind, host, seed * (1 - {d}::DOUBLE) FROM seeds) q GROUP BY kind, host)""")
+    return rf"""
+WITH u AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, {lower.format("regexp_extract(rest, '^[^/?#]*', 0, 's')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
+j AS MATERIALIZED (SELECT page_id, html, host, path, {rule} AS rule, {verdict} AS rule_verdict FROM p),
+hosts AS (SELECT host, count(*) AS pages, count(*) FILTER (rule_verdict = 'allow') AS allowed, count(*) FILTER (rule_verdict = 'block') AS blocked FROM j WHERE host <> '' GROUP BY host),
+l AS (SELECT host AS src, {lower.format("substr(link, 4)")} AS dst, count(*) AS n FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*[a-z]+(://[^/?#"''\s>]+)', 1)) AS link FROM j) q GROUP BY ALL),
+a AS (SELECT host AS src, regexp_replace(host, '^[^.]*\.', '') AS dst FROM hosts),
+b AS (SELECT src, dst, n FROM l UNION ALL SELECT src, dst, 1 FROM a UNION ALL SELECT dst, src, 1 FROM a),
+edges AS (SELECT src, dst, sum(n) AS n FROM b WHERE src <> dst AND src IN (SELECT host FROM hosts) AND dst IN (SELECT host FROM hosts) GROUP BY ALL),
+flow AS (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
+seeds AS MATERIALIZED (SELECT 'trust' AS kind, host, allowed::DOUBLE AS seed FROM hosts UNION ALL SELECT 'distrust', host, blocked::DOUBLE FROM hosts),
+shares AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM flow
+  UNION ALL SELECT kind, host, host, 1.0::DOUBLE FROM seeds WHERE (kind, host) NOT IN (SELECT (kind, src) FROM flow)),
+{", ".join(rounds)},
+final AS (SELECT host, sum(CASE kind WHEN 'trust' THEN rank ELSE 0 END) AS trust, sum(CASE kind WHEN 'distrust' THEN rank ELSE 0 END) AS distrust FROM r{url_filter.ROUNDS} GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(rule_verdict, CASE WHEN round(distrust - trust - {threshold}::DOUBLE * pages, 6) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN (SELECT * FROM hosts JOIN final USING (host)) h ON j.host = h.host
+"""
+
+
+@query("op3_url_filter", _url_sql())
+def op3(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def _licence_sql() -> str:
+    """Phrases and templates as small tables, joined to the places of their words."""
+    base = ", ".join(f"({b}, '{label}', {len(p.split())}, {i}, '{w}')" for b, (p, label) in enumerate(licences.PHRASES) for i, w in enumerate(p.split()))
+    rows = []
+    for t, (label, text, key) in enumerate(licences.TEMPLATES):
+        words, inside = text.split(), key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(inside)] == inside)
+        rows += [f"({t}, '{label}', {i}, '{w}', {int(at <= i < at + len(inside))})" for i, w in enumerate(words) if w in licences.VOCABULARY]
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b(b, label, size, p, w) AS (VALUES {base}),
+t(t, label, p, w, k) AS (VALUES {", ".join(rows)}),
+h AS MATERIALIZED (SELECT row_id, pos, w FROM (SELECT row_id, unnest(w) AS w, unnest(range(0, len(w))) AS pos FROM d) q WHERE w IN (SELECT w FROM b UNION SELECT w FROM t)),
+base AS (SELECT row_id, b.b, any_value(label) AS label, pos - p AS s FROM h JOIN b USING (w) GROUP BY row_id, b.b, pos - p HAVING count(*) = any_value(size)),
+based AS (SELECT row_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY row_id),
+sizes AS (SELECT t, count(*) AS n, sum(k) AS keys FROM t GROUP BY t),
+found AS (SELECT row_id, t.t, any_value(label) AS label, count(*) AS hit, sum(k) AS keyed FROM h JOIN t USING (w) GROUP BY row_id, t.t, pos - p),
+kept AS (SELECT row_id, label, hit / n AS share FROM found JOIN sizes USING (t) WHERE keyed = keys AND hit / n >= {licences.SCORE}::DOUBLE),
+own AS (SELECT row_id, list(DISTINCT label) AS labels, max(share) AS share FROM kept GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(based.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(based.labels, []), coalesce(own.labels, [])))), ',') AS labels,
+  greatest(coalesce(share, 0.0::DOUBLE), CASE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)::DOUBLE AS score
+FROM d LEFT JOIN based USING (row_id) LEFT JOIN own USING (row_id)
+"""
+
+
+@query("op4_licence_scan", _licence_sql())
+def op4(spark, sf_dir):
+    return licences.scan_documents(table(spark, sf_dir, "documents")).drop("matches")
+
+
+
 def register(queries: dict, oracles: dict) -> None:
     """Add the queries of this subpackage and the pipeline over its operators."""
     import corpus_pipeline
