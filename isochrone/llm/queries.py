@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
+from . import imatch, licences, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,6 +203,16 @@ def op4(spark, sf_dir):
 
 
 
+@query("op6_imatch")
+def op6(spark, sf_dir):
+    rows = imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", imatch.printed(F.col("hashes")).alias("fingerprint"), imatch.printed(F.col("edited_hashes")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), imatch.likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+    )
+
+
+
 def register(queries: dict, oracles: dict) -> None:
     """Add the queries of this subpackage and the pipeline over its operators."""
     import corpus_pipeline
