@@ -6,7 +6,7 @@
 3. ``solve`` is branch and bound. A node takes the largest piece left, enumerates the undominated
    fillings of the room beside it, and applies one as often as the counts allow. A branch ends when its
    waste exceeds what the wanted number of sequences leaves; best-fit decreasing gives the incumbent.
-   The search stops at the lower bound or after ``nodes`` nodes, and then returns the best it has: every
+   The search stops at the lower bound or after ``EFFORT`` steps, and then returns the best it has: every
    piece is packed in any case.
 4. Pieces of a length are numbered (counts per hash bucket, then row numbers inside a bucket, so a
    length shared by a third of all rows is spread over many tasks) and the number says where it goes.
@@ -22,6 +22,7 @@ columns are not read. Texts of any length are handled whole, in pieces of ``capa
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Runs of characters whose ids a worker keeps; the table is emptied when full.
 KNOWN_RUNS = 200_000
+#: Steps of the branch-and-bound search.
+EFFORT = 1_500_000
 #: Rows of a length that one task numbers, on average.
 BUCKET_ROWS = 2048
 
@@ -144,8 +147,19 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
     return [(f, n) for bins in open_bins.values() for f, n in bins]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, most: int = 24, steps: int = 4000) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Undominated fillings of ``room`` as (waste, filling), least waste first.
+class _Effort:
+    """Steps the search may still take: a bound on its time that is the same on every machine."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spend(self, steps: int = 1) -> bool:
+        self.left -= steps
+        return self.left > 0
+
+
+def fillings(counts: dict[int, int], lengths: list[int], room: int, effort: _Effort, most: int = 16, steps: int = 600) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """Undominated fillings of ``room`` as (waste, filling), least waste first; ``lengths`` ascending.
 
     Pieces are tried from the longest; a filling is dominated when a longer piece that is not in it could
     take the place of one or two of its pieces. Enumeration ends after ``most`` fillings or ``steps`` steps.
@@ -154,105 +168,115 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, most: int =
     budget = [steps]
 
     def dominated(filling, waste) -> bool:
+        if not waste:
+            return False
         used = dict(filling)
-        parts = [x for x, n in filling for _ in range(min(n, 2))]
-        sums = set(parts) | {a + b for i, a in enumerate(parts) for b in parts[i + 1 :]}
-        return waste > 0 and any(counts[x] > used.get(x, 0) for s in sums for x in range(s + 1, s + waste + 1) if x in counts)
-
-    def go(i: int, left: int, filling: tuple) -> None:
+        parts = [x for x, n in filling for _ in range(min(n, 2))][-6:]
+        for s in {*parts, *(a + b for i, a in enumerate(parts) for b in parts[i + 1 :])}:
+            i = bisect.bisect_right(lengths, s)
+            while i < len(lengths) and lengths[i] <= s + waste:
+                if counts[lengths[i]] > used.get(lengths[i], 0):
+                    return True
+                i += 1
+        return False
+
+    def go(i: int, left: int, filling: tuple) -> bool:
+        """Fill ``left`` with lengths up to the i-th; False ends the enumeration."""
         budget[0] -= 1
-        if budget[0] < 0 or len(found) >= most:
-            return
-        while i < len(lengths) and lengths[i] > left:
-            i += 1
-        if left == 0 or i == len(lengths):
+        i = min(i, bisect.bisect_right(lengths, left) - 1)
+        if left == 0 or i < 0:
             if not dominated(filling, left):
                 found[filling] = left
-            return
+            return budget[0] > 0 and len(found) < most and not (left == 0 and len(found) >= 4)
         x = lengths[i]
         for k in range(min(left // x, counts[x]), -1, -1):
-            go(i + 1, left - k * x, (*filling, (x, k)) if k else filling)
-            if budget[0] < 0 or len(found) >= most or (found and min(found.values()) == 0 and len(found) >= 4):
-                return
-
-    import bisect
-
-    # the longest that fits with an exact partner first: a single piece or a pair without waste
-    for x in lengths:
-        if x <= room and len(found) < most // 2:
-            rest = room - x
-            if rest == 0:
-                found[((x, 1),)] = 0
-            elif rest in counts and (rest != x or counts[x] >= 2) and rest <= x:
-                found[((x, 1), (rest, 1)) if rest != x else ((x, 2),)] = 0
-    first = bisect.bisect_left([-x for x in lengths], -room)
-    if len(found) < most:
-        go(first, room, ())
-    return sorted(((w, f) for f, w in found.items()), key=lambda p: (p[0], len(p[1])))
-
-
-def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+            if not go(i - 1, left - k * x, (*filling, (x, k)) if k else filling):
+                return False
+        return budget[0] > 0
+
+    # an exact partner, or an exact pair of partners, leaves no waste
+    at = bisect.bisect_right(lengths, room) - 1
+    for i in range(at, max(at - 64, -1), -1):
+        x, rest = lengths[i], room - lengths[i]
+        if rest == 0:
+            found[((x, 1),)] = 0
+        elif rest < x and rest in counts:
+            found[((x, 1), (rest, 1))] = 0
+        elif rest == x and counts[x] > 1:
+            found[((x, 2),)] = 0
+        if len(found) >= 4:
+            break
+    if not found:
+        go(at, room, ())
+    effort.spend(steps - budget[0] + 20 * len(found) + len(lengths) // 8 + 64)
+    return sorted(((w, f) for f, w in found.items()), key=lambda p: (p[0], sum(n for _, n in p[1])))
+
+
+def _search(counts: dict[int, int], capacity: int, allowed: int, effort: _Effort):
+    """A packing whose waste is at most ``allowed``, or None when there is none or the effort is spent."""
+    left, waste, plan = dict(counts), 0, []
+
+    def options():
+        x = max(left)
+        left[x] -= 1
+        own = {y: n for y, n in left.items() if n}
+        left[x] += 1
+        found = fillings(own, sorted(own), capacity - x, effort)
+        return [x, iter(found or [(capacity - x, ())]), None]
+
+    # an explicit stack of (largest piece, choices still to try, the choice applied)
+    stack = [options()]
+    while stack and effort.spend():
+        x, tries, applied = stack[-1]
+        if applied:
+            need, times, w = applied
+            for y, k in need.items():
+                left[y] = left.get(y, 0) + k * times
+            waste -= w * times
+            plan.pop()
+            stack[-1][2] = None
+        choice = next(tries, None)
+        if choice is None:
+            stack.pop()
+            continue
+        w, filling = choice
+        need = dict(filling)
+        need[x] = need.get(x, 0) + 1
+        times = min(left[y] // k for y, k in need.items())
+        if waste + w > allowed:
+            continue
+        if w:
+            times = min(times, (allowed - waste) // w)
+        for y, k in need.items():
+            left[y] -= k * times
+            if not left[y]:
+                del left[y]
+        waste += w * times
+        plan.append((tuple(sorted(need.items(), reverse=True)), times))
+        stack[-1][2] = (need, times, w)
+        if not left:
+            return list(plan)
+        stack.append(options())
+    return None
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Fillings and how many sequences have each, using as few sequences as found."""
     counts = {x: n for x, n in counts.items() if n}
     if not counts:
         return []
-    best = best_fit(counts, capacity)
-    size, bound = sum(n for _, n in best), lower_bound(counts, capacity)
+    size_of = lambda plan: sum(n for _, n in plan)
     total = sum(x * n for x, n in counts.items())
-    budget = nodes
-    while size > bound and budget > 0:
-        allowed = (size - 1) * capacity - total  # waste that one sequence less leaves
-        left = dict(counts)
-        # an explicit stack: (choices still to try, the choice applied, waste and sequences before it)
-        stack: list[list] = []
-        waste, plan, done = 0, [], False
-
-        def options(left=left):
-            lengths = sorted(left, reverse=True)
-            x = lengths[0]
-            left[x] -= 1
-            own = {y: n for y, n in left.items() if n}
-            left[x] += 1
-            found = fillings(own, sorted(own, reverse=True), capacity - x)
-            return x, iter(found or [(capacity - x, ())])
-
-        stack.append([*options(), None])
-        while stack and budget > 0:
-            budget -= 1
-            x, tries, applied = stack[-1]
-            if applied:
-                need, times, w = applied
-                for y, k in need.items():
-                    left[y] = left.get(y, 0) + k * times
-                waste -= w * times
-                plan.pop()
-                stack[-1][2] = None
-            choice = next(tries, None)
-            if choice is None:
-                stack.pop()
-                continue
-            w, filling = choice
-            need = dict(filling)
-            need[x] = need.get(x, 0) + 1
-            times = min(left[y] // k for y, k in need.items())
-            if waste + w > allowed:
-                continue
-            if w:
-                times = min(times, (allowed - waste) // w)
-            for y, k in need.items():
-                left[y] -= k * times
-                if not left[y]:
-                    del left[y]
-            waste += w * times
-            plan.append((tuple(sorted(need.items(), reverse=True)), times))
-            stack[-1][2] = (need, times, w)
-            if not left:
-                done = True
-                break
-            stack.append([*options(), None])
-        if not done:
+    best, bound, budget = best_fit(counts, capacity), lower_bound(counts, capacity), _Effort(effort)
+    # one descent without a bound on the waste, then searches that must save at least one sequence
+    allowed = capacity * sum(counts.values())
+    while size_of(best) > bound:
+        plan = _search(counts, capacity, allowed, budget)
+        if plan and size_of(plan) < size_of(best):
+            best = plan
+        elif allowed < size_of(best) * capacity - total:
             break
-        best, size = list(plan), sum(n for _, n in plan)
+        allowed = (size_of(best) - 1) * capacity - total
     return best
 
 
@@ -271,7 +295,7 @@ def _places(plan) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "sequence", "often", "offset"), table.T, strict=True))
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = 20_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, effort: int = EFFORT) -> DataFrame:
     """``parts`` with ``sequence_id`` and ``offset``; ``parts`` must be a stored table (it is read twice)."""
     spark = parts.sparkSession
     total = parts.count()
@@ -280,7 +304,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = 20_000) -> Dat
     counted = stored(salted.groupBy("length", "bucket").agg(F.count("*").alias("n")), "packing-counts")
     # at most one row per length: the whole problem, whatever the number of documents
     lengths = {int(r["length"]): int(r["n"]) for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = spark.sparkContext.broadcast(_places(solve(lengths, capacity, nodes)))
+    places = spark.sparkContext.broadcast(_places(solve(lengths, capacity, effort)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
