@@ -23,6 +23,7 @@ columns are not read. Texts of any length are handled whole, in pieces of ``capa
 from __future__ import annotations
 
 import bisect
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -35,42 +36,87 @@ from .common import require, stored, text_of
 
 CAPACITY = 2048
 END_ID = 0
-#: Runs of characters whose ids a worker keeps; the table is emptied when full.
-KNOWN_RUNS = 200_000
+#: Runs of characters whose ids a worker keeps in each of two generations.
+KNOWN_RUNS = 400_000
 #: Steps of the branch-and-bound search.
 EFFORT = 1_500_000
 #: Rows of a length that one task numbers, on average.
 BUCKET_ROWS = 2048
 
-_tokenizers: dict[str, tuple] = {}
+_encoders: dict[str, _Encoder] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+class _Encoder:
+    """Ids of runs of non-space characters, remembered in two generations: when the newer one is full it
+    replaces the older, so runs in steady use stay and memory is bounded."""
+
+    PUNCTUATION = b".,;:!?*#$%&|()-"
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _split(self, run: bytes) -> tuple[bytes, bytes]:
+        """Letters and the punctuation after them, which have their own ids; else the run and nothing."""
+        core = run.rstrip(self.PUNCTUATION)
+        if core.isalpha():  # ASCII letters
+            return core.lower(), run[len(core) :]
+        if len(core) < len(run) and core.decode("utf-8", "replace").isalpha():
+            return core, run[len(core) :]
+        return run, b""
+
+    def _encode(self, parts: list[bytes]) -> None:
+        from array import array
+
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in some], add_special_tokens=False), strict=True):
+                ids = array("I", e.ids)
+                if sys.byteorder != "little":
+                    ids.byteswap()
+                self.new[part] = ids.tobytes()
+
+    def learn(self, runs: set[bytes]) -> None:
+        new, old = self.new, self.old
+        missing = []
+        for r in runs.difference(new):
+            ids = old.get(r)
+            if ids is None:
+                missing.append(r)
+            else:
+                new[r] = ids
+        if missing:
+            halves = {r: self._split(r) for r in missing}
+            parts = {p for pair in halves.values() for p in pair if p}.difference(new)
+            for p in [p for p in parts if p in old]:
+                new[p] = old[p]
+                parts.discard(p)
+            self._encode(list(parts))
+            for r, (core, rest) in halves.items():
+                if rest or r != core:
+                    new[r] = new[core] + (new[rest] if rest else b"")
+        if len(new) > KNOWN_RUNS:
+            self.old, self.new = new, {r: new[r] for r in runs}
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
-    tokenizer, known = _tokenizer(path)
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    encoder = _encoders[path]
     for text in texts:
         runs = text.encode("utf-8", "surrogatepass").split()
-        new = list(set(runs).difference(known))
-        if new:
-            if len(known) + len(new) > KNOWN_RUNS:
-                known.clear()
-                new = list(set(runs))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for run, e in zip(part, tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False), strict=True):
-                    known[run] = np.asarray(e.ids, "<u4").tobytes()
-        yield b"".join(map(known.__getitem__, runs))
+        try:
+            yield b"".join(map(encoder.new.__getitem__, runs))
+        except KeyError:
+            encoder.learn(set(runs))
+            yield b"".join(map(encoder.new.__getitem__, runs))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, licences, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
+from . import html_extraction, imatch, licences, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,6 +213,13 @@ def op6(spark, sf_dir):
 
 
 
+@query("op7_html_extraction")
+def op7(spark, sf_dir):
+    texts = html_extraction.extract(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+
 def register(queries: dict, oracles: dict) -> None:
     """Add the queries of this subpackage and the pipeline over its operators."""
     import corpus_pipeline
