@@ -37,6 +37,11 @@ def count_words(text: Column) -> Column:
     return F.size(split_words(text)).cast("long")
 
 
+def carried(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, so that none can clash with a column of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def require(df: DataFrame, *columns: str) -> None:
     """Fail early, with the names, when columns are missing."""
     missing = [c for c in columns if c not in df.columns]

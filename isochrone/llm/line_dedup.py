@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, require, split_words, stored, text_of
+from .common import SPACE_CHARS, carried, require, split_words, stored, text_of
 from .components import connected_components
 
 GRAM = 5
@@ -70,12 +70,22 @@ def buckets(lines: DataFrame) -> DataFrame:
     return minima.select("line", F.explode(bands).alias("bucket"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used inside."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def grams(text: Column) -> Column:
     """Hashes of the distinct runs of ``GRAM`` characters; a shorter text is one run."""
     # four bytes a character: a run is found without counting characters from the start
-    wide = F.encode(text, "UTF-32")
     last = F.greatest(F.length(text) - F.lit(GRAM), F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * GRAM)))))
+    return _bound(F.encode(text, "UTF-32"), lambda wide: F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * GRAM))))))
+
+
+def near_equal(a: Column, b: Column) -> Column:
+    """Whether the Jaccard similarity of the character runs of two texts reaches ``SIMILARITY``."""
+    return _bound(F.struct(grams(a).alias("x"), grams(b).alias("y")), lambda s: _bound(
+        F.size(F.array_intersect(s["x"], s["y"])), lambda common: common >= SIMILARITY * (F.size(s["x"]) + F.size(s["y"]) - common) - 1e-9))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -83,9 +93,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("line").alias("a"), F.col("key").alias("key_a"), F.col("norm").alias("norm_a"))
     right = texts.select(F.col("line").alias("b"), F.col("key").alias("key_b"), F.col("norm").alias("norm_b"))
     both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
-    both = both.withColumn("grams_a", grams(F.col("norm_a"))).withColumn("grams_b", grams(F.col("norm_b")))
-    both = both.withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
-    return both.where(F.col("common") >= SIMILARITY * (F.size("grams_a") + F.size("grams_b") - F.col("common")) - 1e-9).select("a", "b", "key_a", "key_b")
+    return both.where(near_equal(F.col("norm_a"), F.col("norm_b"))).select("a", "b", "key_a", "key_b")
 
 
 def line_components(lines: DataFrame) -> DataFrame:
@@ -131,11 +139,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; documents that had words and lose them all go."""
     per = removed_lines(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "removed")
-    own = docs.withColumn("own_hash", F.xxhash64(text_of()))
+    own = docs.select(carried(docs), "doc_id", "text", F.xxhash64(text_of()).alias("own_hash"))
     joined = own.join(per, own["doc_id"].eqNullSafe(per["gone_id"]) & (own["own_hash"] == per["gone_hash"]), "left")
     parts = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "removed")
-    joined = joined.withColumn("new_text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")))
-    joined = joined.where(F.col("removed").isNull() | (F.size(split_words(F.col("new_text"))) > 0))
-    new = {"text": F.col("new_text").alias("text"), "n_chars": F.when(F.col("removed").isNull(), F.col("n_chars") if "n_chars" in docs.columns else None).otherwise(F.length("new_text")).alias("n_chars")}
-    return joined.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    same = F.col("removed").isNull()
+    joined = joined.withColumn("new_text", F.when(same, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")))
+    joined = joined.where(same | (F.size(split_words(F.col("new_text"))) > 0))
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    out["text"] = F.col("new_text")
+    if "n_chars" in out:
+        out["n_chars"] = F.when(same, out["n_chars"]).otherwise(F.length("new_text")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[out[c].alias(c) for c in docs.columns])

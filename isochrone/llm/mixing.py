@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, require, text_of
+from .common import carried, count_words, require, text_of
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -59,18 +59,18 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``."""
+    """doc_id, source, size, source_size, target, copies of every document, and the document as ``row``."""
     require(docs, "doc_id", "text", "source")
-    sized = docs.withColumn("mix_size", count_words(text_of()))
-    sizes = sized.groupBy("source").agg(F.sum("mix_size").alias("size"))
-    targets = source_targets(sizes, weights, budget, cap).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
-    joined = sized.join(targets, sized["source"].eqNullSafe(targets["mix_source"]))
-    whole = F.floor("mix_rate")
-    copies = whole + F.when(draw(F.col("doc_id"), seed) < F.col("mix_rate") - whole, 1).otherwise(0)
-    return joined.withColumn("mix_copies", copies.cast("long")).drop("mix_source", "mix_rate")
+    sized = docs.select("doc_id", "source", count_words(text_of()).alias("size"), carried(docs))
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("size"))
+    targets = source_targets(sizes, weights, budget, cap).select(F.col("source").alias("of_source"), "source_size", "target", "rate")
+    joined = sized.join(targets, sized["source"].eqNullSafe(targets["of_source"]))
+    whole = F.floor("rate")
+    copies = whole + F.when(draw(F.col("doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
+    return joined.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), "row")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """Every document as many times as it is taken, columns as they were."""
-    mixed = mix(docs, **options)
-    return mixed.where("mix_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).drop("col")
+    taken = mix(docs, **options).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

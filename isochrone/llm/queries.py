@@ -115,7 +115,7 @@ FROM sized JOIN r ON sized.source IS NOT DISTINCT FROM r.source
 """)
 def op10(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 @query("op8_best_fit_packing")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import require, stored, text_of
+from .common import carried, require, stored, text_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -232,7 +232,6 @@ def unique_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     classes = near_duplicates(docs, radius)
     chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("fp")).select(F.col("component_id").alias("keep_id"), F.col("fp").alias("keep_fp"))
-    printed = docs.withColumn("keep_own", _fingerprint(text_of()))
-    hit = printed.join(chosen, printed["doc_id"].eqNullSafe(chosen["keep_id"]) & (printed["keep_own"] == chosen["keep_fp"]))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return hit.select(*own).dropDuplicates(["doc_id"])
+    printed = docs.select(carried(docs), "doc_id", _fingerprint(text_of()).alias("own"))
+    hit = printed.join(chosen, printed["doc_id"].eqNullSafe(chosen["keep_id"]) & (printed["own"] == chosen["keep_fp"]))
+    return hit.dropDuplicates(["doc_id"]).select("row.*")
