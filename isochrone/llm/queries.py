@@ -144,7 +144,7 @@ def _url_sql() -> str:
     for i in range(url_filter.ROUNDS):
         rounds.append(f"""r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(part) AS rank FROM (
           SELECT kind, dst AS host, share * rank * {d}::DOUBLE AS part FROM shares JOIN r{i} r USING (kind) WHERE r.host = src
-          UNION ALL SELECT kind, host, seed * (1 - {d}::DOUBLE) FROM seeds) q GROUP BY kind, host)""")
+          UNION ALL SELECT kind, host, seed FROM seeds) q GROUP BY kind, host)""")
     return rf"""
 WITH u AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, html, {lower.format("regexp_extract(rest, '^[^/?#]*', 0, 's')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
@@ -156,8 +156,7 @@ b AS (SELECT src, dst, n FROM l UNION ALL SELECT src, dst, 1 FROM a UNION ALL SE
 edges AS (SELECT src, dst, sum(n) AS n FROM b WHERE src <> dst AND src IN (SELECT host FROM hosts) AND dst IN (SELECT host FROM hosts) GROUP BY ALL),
 flow AS (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
 seeds AS MATERIALIZED (SELECT 'trust' AS kind, host, allowed::DOUBLE AS seed FROM hosts UNION ALL SELECT 'distrust', host, blocked::DOUBLE FROM hosts),
-shares AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM flow
-  UNION ALL SELECT kind, host, host, 1.0::DOUBLE FROM seeds WHERE (kind, host) NOT IN (SELECT (kind, src) FROM flow)),
+shares AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM flow),
 {", ".join(rounds)},
 final AS (SELECT host, sum(CASE kind WHEN 'trust' THEN rank ELSE 0 END) AS trust, sum(CASE kind WHEN 'distrust' THEN rank ELSE 0 END) AS distrust FROM r{url_filter.ROUNDS} GROUP BY host)
 SELECT page_id, j.host, path, rule, coalesce(rule_verdict, CASE WHEN round(distrust - trust - {threshold}::DOUBLE * pages, 6) > 0 THEN 'block' ELSE 'allow' END) AS verdict

@@ -7,8 +7,9 @@
    map-side, so a hot host costs one row per task and target.
 3. ``propagate``: trust flows along the edges from hosts with allowed pages, distrust flows against them
    from hosts with blocked pages (who links to blocked pages is suspect). Both are personalised PageRank
-   in units of pages; a host without outgoing edges keeps what it has. Each round is one equi-join and
-   one aggregation, written to the shared folder.
+   in units of pages (divided by 1 - damping): a seed counts in full, and every host passes on ``DAMPING``
+   of what it has, shared over its edges. Each round is one equi-join and one aggregation, written to the
+   shared folder.
 4. A host is blocked when its distrust exceeds its trust by more than ``THRESHOLD`` per page of its own.
 
 Defined results: a NULL url, or one without ``://``, has empty host and path, matches no rule and is
@@ -96,12 +97,11 @@ def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     out = flow.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     share = flow.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share"))
     seeds = stored(seeds, "url-seeds")
-    ends = seeds.join(out.select("kind", F.col("src").alias("host")), ["kind", "host"], "left_anti").select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("share"))
-    share = stored(share.unionByName(ends), "url-shares")
+    share = stored(share, "url-shares")
     rank = seeds.select("kind", "host", F.col("seed").alias("rank"))
     for _ in range(rounds):
         moved = share.join(rank.where("rank > 0").withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("part"))
-        parts = moved.unionByName(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("part")))
+        parts = moved.unionByName(seeds.select("kind", "host", F.col("seed").alias("part")))
         rank = stored(parts.groupBy("kind", "host").agg(F.sum("part").alias("rank")), "url-rank")
     return rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
 
