@@ -23,7 +23,6 @@ columns are not read. Texts of any length are handled whole, in pieces of ``capa
 from __future__ import annotations
 
 import bisect
-import sys
 import zlib
 from collections.abc import Iterator
 
@@ -59,6 +58,11 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id ends a unit of the pre-tokenizer.
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.closing[i] = token.endswith("</w>")
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -72,15 +76,30 @@ class _Encoder:
         return run, b""
 
     def _encode(self, parts: list[bytes]) -> None:
-        from array import array
-
+        texts = [p.decode("utf-8", "replace") for p in parts]
+        words = [i for i, t in enumerate(texts) if t.isalpha()]
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            blocks = [some[i : i + 64] for i in range(0, len(some), 64)]
+            for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in b) for b in blocks], add_special_tokens=False), strict=True):
+                # a word of letters is one unit, and only the last token of a unit is marked as its end
+                ids = np.asarray(e.ids, "<u4")
+                ends = np.flatnonzero(self.closing[ids]) + 1
+                if len(ends) != len(block) or ends[-1] != len(ids):
+                    self._encode_each([parts[i] for i in block])
+                    continue
+                data, first = ids.tobytes(), 0
+                for i, end in zip(block, (4 * ends).tolist(), strict=True):
+                    self.new[parts[i]] = data[first:end]
+                    first = end
+        letters = set(words)
+        self._encode_each([p for i, p in enumerate(parts) if i not in letters])
+
+    def _encode_each(self, parts: list[bytes]) -> None:
         for i in range(0, len(parts), 4096):
             some = parts[i : i + 4096]
             for part, e in zip(some, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in some], add_special_tokens=False), strict=True):
-                ids = array("I", e.ids)
-                if sys.byteorder != "little":
-                    ids.byteswap()
-                self.new[part] = ids.tobytes()
+                self.new[part] = np.asarray(e.ids, "<u4").tobytes()
 
     def learn(self, runs: set[bytes]) -> None:
         new, old = self.new, self.old
