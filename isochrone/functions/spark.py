@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,12 +17,23 @@ def is_date(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.DateType)
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (local tests) gets a temporary folder.
+    A session with executors of its own must have that setting: a folder of one machine is invisible
+    to the others. Only a local session without it gets a temporary folder, deleted at exit.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        root = _local[0]
     return f"{root.rstrip('/')}/isochrone/{name}-{uuid.uuid4().hex}"
 
 
@@ -40,10 +54,11 @@ def write_shared(df: DataFrame, name: str) -> str:
 def read_shared(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """A table of the shared folder, or None when it has been cleared away."""
     try:
-        df = spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return None
-    return df if df.inputFiles() else None
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:

@@ -12,9 +12,6 @@ from ..functions.numeric import logit
 from .cross import rank_within
 from .series import with_positions
 
-# Fixed value: how many combinations are evaluated unless the caller asks for more.
-MAX_COMBINATIONS = 50
-
 
 def indexed_calendar(df: DataFrame) -> DataFrame:
     """Distinct dates with their 0-based index ``pos``."""
@@ -34,7 +31,7 @@ def walk_forward_folds(calendar: DataFrame, train: int, test: int, mode: str = "
     """``(fold, ts, is_test)``: test rows of fold k start at ``train + k * test``; history runs from
     row 0 (expanding) or from the ``train`` rows before the test block (rolling)."""
     if mode not in ("expanding", "rolling"):
-        raise ValueError("mode must be 'expanding' or 'rolling'.")
+        raise ValueError(f"unknown fold mode {mode!r}: expanding and rolling exist")
     placed = indexed_calendar(calendar)
     folds = placed.agg(F.floor((F.count(F.lit(1)) - train) / F.lit(test)).cast("int")).scalar()
     test_fold = F.floor((F.col("pos") - train) / F.lit(test)).cast("int")
@@ -45,15 +42,16 @@ def walk_forward_folds(calendar: DataFrame, train: int, test: int, mode: str = "
     return out.select("fold", "ts", (F.col("pos") >= train + F.col("fold") * test).alias("is_test"))
 
 
-def combinations_table(spark: SparkSession, n_groups: int, k_test: int, limit: int | None = MAX_COMBINATIONS) -> DataFrame:
-    """``(path, grp)``: the groups held out by each combination, in lexicographic order.
+def combinations_table(spark: SparkSession, n_groups: int, k_test: int, limit: int | None = None) -> DataFrame:
+    """``(path, grp)``: the groups held out by each combination, in lexicographic order; the first
+    ``limit`` combinations when the caller asks for fewer than all.
 
     A parameter table: its size depends on the fold settings only, never on the data.
     """
     if n_groups < 2:
-        raise ValueError("n_groups must be >= 2.")
+        raise ValueError(f"{n_groups} group(s) cannot be split into held-out and other groups")
     if not 1 <= k_test <= n_groups:
-        raise ValueError("k_test must satisfy 1 <= k_test <= n_groups.")
+        raise ValueError(f"{k_test} of {n_groups} groups cannot be held out")
     combos = itertools.islice(itertools.combinations(range(n_groups), k_test), limit)
     rows = [(path, group) for path, combo in enumerate(combos) for group in combo]
     return spark.createDataFrame(rows, "path int, grp int")
@@ -73,7 +71,7 @@ def cpcv_groups(calendar: DataFrame, n_groups: int) -> DataFrame:
     return sized.select("ts", "pos", F.when(F.col("pos") > 0, group.cast("int")).alias("grp"))
 
 
-def cpcv_folds(calendar: DataFrame, n_groups: int = 10, k_test: int = 2, limit: int | None = MAX_COMBINATIONS) -> DataFrame:
+def cpcv_folds(calendar: DataFrame, n_groups: int = 10, k_test: int = 2, limit: int | None = None) -> DataFrame:
     """``(path, ts, pos, is_test)`` for every combination and calendar row."""
     spark = calendar.sparkSession
     groups = cpcv_groups(calendar, n_groups)
@@ -85,13 +83,13 @@ def cpcv_folds(calendar: DataFrame, n_groups: int = 10, k_test: int = 2, limit:
     )
 
 
-def in_sample_dates(folds: DataFrame) -> DataFrame:
-    """Train rows of each path with ``is_tail``: the last max(2, min(20, n / 2)) of them; paths with
-    fewer than eight train rows are left out."""
+def in_sample_dates(folds: DataFrame, tail_rows: int = 20, least_rows: int = 8) -> DataFrame:
+    """Train rows of each path with ``is_tail``: the last max(2, min(``tail_rows``, n / 2)) of them;
+    paths with fewer than ``least_rows`` train rows have no in-sample statistic and are left out."""
     train = folds.filter(~F.col("is_test")).select("path", "ts")
-    n = train.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 8")
+    n = train.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_rows)
     placed = with_positions(train, ["path"]).join(n, "path")
-    tail = F.greatest(F.lit(2), F.least(F.lit(20), F.floor(F.col("_n") / 2).cast("int")))
+    tail = F.greatest(F.lit(2), F.least(F.lit(tail_rows), F.floor(F.col("_n") / 2).cast("int")))
     return placed.select("path", "ts", (F.col("pos") >= F.col("_n") - tail).alias("is_tail"))
 
 

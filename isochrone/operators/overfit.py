@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import itertools
-import math
+import random
 from statistics import NormalDist
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +16,10 @@ from .folds import indexed_calendar
 from .panel import benchmark_align
 from .series import running
 
-# Constants of the expected maximum Sharpe, and the sampled combination count.
+# Constants of the expected maximum Sharpe.
 EULER_GAMMA = 0.5772
 EULER_E = 2.718
 PROBABILITY_FLOOR = 1e-12
-SAMPLED_COMBINATIONS = 100
 HASH_DIGITS = 8
 
 
@@ -37,7 +35,7 @@ def sample_moments(returns: DataFrame, keys: list[str], ret: str = "ret") -> Dat
 def expected_max_sharpe(n_trials: int) -> float:
     """Expected best Sharpe of ``n_trials`` worthless trials (zero for one)."""
     if n_trials <= 0:
-        raise ValueError("n_trials must be a positive integer.")
+        raise ValueError(f"{n_trials} trials: at least one is needed")
     if n_trials == 1:
         return 0.0
 
@@ -61,19 +59,15 @@ def deflated_sharpe(returns: DataFrame, n_trials: int | None = None, ret: str =
     return m.withColumn("dsr", dsr)
 
 
-def cscv_combinations(n_chunks: int, limit: int | None = SAMPLED_COMBINATIONS, seed: int = 0) -> list[tuple[int, ...]]:
-    """Training-chunk combinations: all of them, or ``limit`` drawn by a seeded generator.
-
-    Depends on the settings only.
-    """
+def cscv_combinations(n_chunks: int, limit: int | None = None, seed: int = 0) -> list[tuple[int, ...]]:
+    """Training-chunk combinations in lexicographic order: all of them, or a seeded sample of ``limit``
+    when the caller asks for one. Depends on the settings only."""
     if n_chunks < 2 or n_chunks % 2:
-        raise ValueError("n_partitions must be an even integer >= 2.")
-    total = math.comb(n_chunks, n_chunks // 2)
-    every = itertools.combinations(range(n_chunks), n_chunks // 2)
-    if limit is None or total <= limit:
-        return list(every)
-    drawn = set(np.random.default_rng(seed).choice(total, size=limit, replace=False).tolist())
-    return [combo for i, combo in enumerate(every) if i in drawn]
+        raise ValueError(f"{n_chunks} chunks cannot be halved: an even number from 2 on is needed")
+    every = list(itertools.combinations(range(n_chunks), n_chunks // 2))
+    if limit is None or len(every) <= limit:
+        return every
+    return [every[i] for i in sorted(random.Random(seed).sample(range(len(every)), limit))]
 
 
 def complete_rows(returns: DataFrame) -> DataFrame:
@@ -85,50 +79,64 @@ def complete_rows(returns: DataFrame) -> DataFrame:
 
 
 def chunk_moments(returns: DataFrame, n_chunks: int) -> DataFrame:
-    """(n, sum, sum of squares) per configuration and equal time chunk, around the configuration's
-    mean ``m``; the tail that does not fill a chunk is trimmed.
+    """One row per configuration: ``chunks``, an array of (n, sum, sum of squares) per equal time chunk
+    around the configuration's mean ``m``; the tail that does not fill a chunk is trimmed.
 
-    The returns are reduced to one row per (configuration, chunk) in one pass; everything after
-    works on that table.
+    The returns are reduced to one row per (configuration, chunk) in one pass; everything after works on
+    the arrays. Refuses fewer than two configurations or two rows per chunk.
     """
-    calendar = materialise(indexed_calendar(complete_rows(returns)), "calendar")
-    size = calendar.agg(F.floor(F.count(F.lit(1)) / F.lit(n_chunks)).cast("int")).scalar()
-    chunks = calendar.select("ts", F.floor(F.col("pos") / size).cast("int").alias("chunk")).filter(F.col("chunk") < n_chunks)
-    local = returns.join(chunks, "ts").groupBy("config", "chunk").agg(
+    if n_chunks < 2 or n_chunks % 2:
+        raise ValueError(f"{n_chunks} chunks cannot be halved: an even number from 2 on is needed")
+    complete = complete_rows(returns)
+    calendar = materialise(indexed_calendar(complete), "calendar")
+    rows = calendar.count()
+    if rows < 2 * n_chunks:
+        raise ValueError(f"{rows} complete dates do not give {n_chunks} chunks of two rows")
+    chunks = calendar.select("ts", F.floor(F.col("pos") / (rows // n_chunks)).cast("int").alias("chunk")).filter(F.col("chunk") < n_chunks)
+    local = complete.join(chunks, "ts").groupBy("config", "chunk").agg(
         F.count(F.lit(1)).alias("n"), F.avg("ret").alias("_mean"), F.var_pop("ret").alias("_var")
     )
     whole = Window.partitionBy("config")
     centred = local.withColumn("m", F.sum(F.col("n") * F.col("_mean")).over(whole) / F.sum("n").over(whole))
     shift = F.col("_mean") - F.col("m")
-    return materialise(centred.select(
-        "config", "chunk", "n", (F.col("n") * shift).alias("s"), (F.col("n") * (F.col("_var") + shift * shift)).alias("q"), "m"
-    ), "moments")
+    parts = centred.select(
+        "config", F.struct("chunk", F.col("n").cast("double").alias("n"), (F.col("n") * shift).alias("s"), (F.col("n") * (F.col("_var") + shift * shift)).alias("q")).alias("part"), "m"
+    )
+    moments = materialise(parts.groupBy("config").agg(F.sort_array(F.collect_list("part")).alias("chunks"), F.first("m").alias("m")), "moments")
+    if moments.limit(2).count() < 2:
+        raise ValueError("one configuration alone cannot be overfitted: at least two are needed")
+    return moments
 
 
-def combination_sharpes(moments: DataFrame, combos: DataFrame) -> DataFrame:
+def combination_sharpes(moments: DataFrame, combos: DataFrame, n_chunks: int) -> DataFrame:
     """In- and out-of-sample Sharpe of every configuration under every combination.
 
-    ``combos(combo, chunk, is_train)``. The moments are tiny next to the returns, which are not read again.
+    A combination is a bit mask of training chunks. Every configuration expands its own masks in its own
+    task; ``combos(combo, mask)``, as many rows as the settings have combinations, numbers them.
     """
-    side = moments.join(combos, "chunk").groupBy("combo", "config").agg(
-        *[F.sum(F.when(F.col("is_train") == flag, F.col(c))).alias(f"{name}_{c}") for flag, name in ((True, "is"), (False, "oos")) for c in ("n", "s", "q")],
-        F.first("m").alias("_m"),
-    )
+    half = n_chunks // 2
+    masks = moments.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(2**n_chunks - 1)))).filter(F.bit_count("mask") == half)
+    numbered = masks.join(F.broadcast(combos), "mask")
+
+    def side(name, flag):
+        test = f"(shiftright(mask, {n_chunks - 1} - x.chunk) & 1) = {flag}"
+        return F.expr(f"aggregate(filter(chunks, x -> {test}), struct(0D AS n, 0D AS s, 0D AS q), (a, x) -> struct(a.n + x.n AS n, a.s + x.s AS s, a.q + x.q AS q))").alias(name)
+
+    sides = numbered.select("combo", "config", "m", side("is", 1), side("oos", 0))
 
     def sharpe(name):
-        n, s, q = (F.col(f"{name}_{c}") for c in ("n", "s", "q"))
+        n, s, q = (F.col(f"{name}.{c}") for c in ("n", "s", "q"))
         var = (q - s * s / n) / (n - 1)
-        value = ratio(F.col("_m") + s / n, F.sqrt(F.greatest(var, F.lit(0.0)))) * F.lit(252.0**0.5)
+        value = ratio(F.col("m") + s / n, F.sqrt(F.greatest(var, F.lit(0.0)))) * F.lit(252.0**0.5)
         return F.coalesce(value, F.lit(float("-inf")))
 
-    return side.select("combo", "config", sharpe("is").alias("is_sharpe"), sharpe("oos").alias("oos_sharpe"))
+    return sides.select("combo", "config", sharpe("is").alias("is_sharpe"), sharpe("oos").alias("oos_sharpe"))
 
 
-def combos_frame(spark: SparkSession, n_chunks: int, limit: int | None = SAMPLED_COMBINATIONS) -> DataFrame:
-    rows = [
-        (i, chunk, chunk in combo) for i, combo in enumerate(cscv_combinations(n_chunks, limit)) for chunk in range(n_chunks)
-    ]
-    return spark.createDataFrame(rows, "combo int, chunk int, is_train boolean")
+def combos_frame(spark: SparkSession, n_chunks: int, limit: int | None = None) -> DataFrame:
+    """``(combo, mask)``: the first chunk is the highest bit. A parameter table."""
+    rows = [(i, sum(1 << (n_chunks - 1 - c) for c in combo)) for i, combo in enumerate(cscv_combinations(n_chunks, limit))]
+    return spark.createDataFrame(rows, "combo int, mask int")
 
 
 def best_config(scores: DataFrame, by: list[str], score: str, config: str = "config") -> DataFrame:
@@ -139,17 +147,17 @@ def best_config(scores: DataFrame, by: list[str], score: str, config: str = "con
     return found.select(*by, F.col(f"_best.{config}").alias("best_config"), F.col(f"_best.{score}").alias(score))
 
 
-def cscv_paths(returns: DataFrame, n_chunks: int = 16, limit: int | None = SAMPLED_COMBINATIONS, bound: int | None = None) -> DataFrame:
+def cscv_paths(returns: DataFrame, n_chunks: int = 16, limit: int | None = None, bound: int | None = None) -> DataFrame:
     """Per combination: the in-sample winner, its out-of-sample Sharpe and the median of all."""
     spark = returns.sparkSession
-    scores = materialise(combination_sharpes(chunk_moments(returns, n_chunks), combos_frame(spark, n_chunks, limit)), "sharpes")
+    scores = materialise(combination_sharpes(chunk_moments(returns, n_chunks), combos_frame(spark, n_chunks, limit), n_chunks), "sharpes")
     winner = best_config(scores, ["combo"], "is_sharpe")
     chosen = winner.withColumnRenamed("best_config", "config").join(scores.select("combo", "config", "oos_sharpe"), ["combo", "config"])
     median = median_within(scores, ["combo"], "oos_sharpe", "config", "median_oos", bound)
     return chosen.join(median, "combo").select("combo", "config", "is_sharpe", "oos_sharpe", "median_oos")
 
 
-def pbo_cscv(returns: DataFrame, n_chunks: int = 16, limit: int | None = SAMPLED_COMBINATIONS, bound: int | None = None) -> DataFrame:
+def pbo_cscv(returns: DataFrame, n_chunks: int = 16, limit: int | None = None, bound: int | None = None) -> DataFrame:
     """Probability of backtest overfitting: share of combinations whose in-sample winner ends below
     the out-of-sample median."""
     paths = cscv_paths(returns, n_chunks, limit, bound)
@@ -158,15 +166,6 @@ def pbo_cscv(returns: DataFrame, n_chunks: int = 16, limit: int | None = SAMPLED
     )
 
 
-def check_pbo_inputs(returns: DataFrame, n_chunks: int = 16) -> None:
-    """Refuse too few configurations or rows."""
-    cscv_combinations(n_chunks, 1)
-    if returns.select("config").distinct().count() < 2:
-        raise ValueError("at least 2 parameter configurations are required.")
-    if complete_rows(returns).select("ts").distinct().count() < 2 * n_chunks:
-        raise ValueError("too few rows for the requested number of partitions.")
-
-
 def _uniform(seed: int, salt: str, draw: Column, pos: Column) -> Column:
     """Uniform number in [0, 1) fixed by (seed, salt, draw, position)."""
     key = F.concat_ws("|", F.lit(str(seed)), F.lit(salt), draw.cast("string"), pos.cast("string"))
@@ -197,15 +196,16 @@ def spa_differentials(benchmark: DataFrame, strategies: DataFrame) -> DataFrame:
 
 
 def spa_test(benchmark: DataFrame, strategies: DataFrame, n_bootstrap: int = 1000, significance: float = 0.05, seed: int = 0) -> DataFrame:
-    """Superior predictive ability of the best strategy over the benchmark.
+    """Superior predictive ability of the best strategy over the benchmark. Without any date common to
+    all, statistic and p-value are NULL and nothing is rejected.
 
     A draw's mean is the differential weighted by how often each row was drawn, so the resampled
     indices are counted per row first and only those counts meet the strategies.
     """
     if n_bootstrap <= 0:
-        raise ValueError("n_bootstrap must be positive.")
+        raise ValueError(f"{n_bootstrap} draws: at least one is needed")
     if not 0.0 < significance < 1.0:
-        raise ValueError("significance must be in (0, 1).")
+        raise ValueError(f"a significance of {significance} is not between 0 and 1")
     d = materialise(spa_differentials(benchmark, strategies), "differentials")
     calendar = materialise(indexed_calendar(d), "calendar")
     n = calendar.agg(F.count(F.lit(1))).scalar()
@@ -218,6 +218,6 @@ def spa_test(benchmark: DataFrame, strategies: DataFrame, n_bootstrap: int = 100
     observed = means.agg(F.max("mean_d")).scalar()
     best = best_config(means, [], "mean_d").select("best_config", F.col("mean_d").alias("statistic"))
     p = stats.agg(((F.lit(1.0) + F.count_if(F.col("stat") >= observed)) / F.lit(n_bootstrap + 1.0)).alias("p_value"))
-    return best.withColumn("p_value", p.scalar()).withColumn(
-        "reject_null", (F.col("p_value") < significance) & (F.col("statistic") > 0)
+    return best.withColumn("p_value", F.when(F.col("statistic").isNotNull(), p.scalar())).withColumn(
+        "reject_null", F.coalesce((F.col("p_value") < significance) & (F.col("statistic") > 0), F.lit(False))
     )

@@ -12,12 +12,9 @@ from .series import carry_forward, running, with_positions
 
 
 def utc_normalise(df: DataFrame, column: str = "ts") -> DataFrame:
-    """Any date or timestamp column becomes ``timestamp`` (UTC session zone), in time order."""
-    return (
-        df.withColumn("timestamp", F.col(column).cast("timestamp"))
-        .drop(*([] if column == "timestamp" else [column]))
-        .sort("timestamp")
-    )
+    """Any date or timestamp column becomes ``timestamp`` (UTC session zone). Rows are not ordered: time
+    order is a matter of windows and of sinks, which sort inside their partitions."""
+    return df.withColumn("timestamp", F.col(column).cast("timestamp")).drop(*([] if column == "timestamp" else [column]))
 
 
 def in_range(df: DataFrame, start, end, ts: str = "ts") -> DataFrame:

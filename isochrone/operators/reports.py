@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,6 @@ SUMMARY_ROWS = (
     ("Turnover", "turnover_annual", "number"),
 )
 LOW_N = 20
-MAX_MATRIX_COLUMNS = 2000
 
 
 def aligned_returns(returns: DataFrame) -> DataFrame:
@@ -81,38 +78,23 @@ def summary_table(stats: DataFrame, keys: list[str]) -> DataFrame:
     return stats.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.position", "_r.label", "_r.value")
 
 
-def _chunk_products(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairwise-complete counts, sums and products of one month's columns."""
-    wide = pdf.pivot(index="ts", columns="asset", values="x")
-    here = wide.notna().to_numpy(float)
-    z = wide.fillna(0.0).to_numpy()
-    s, q = z.T @ here, (z * z).T @ here
-    i, j = np.triu_indices(wide.shape[1])
-    names = wide.columns.to_numpy()
-    return pd.DataFrame({
-        "a": names[i], "b": names[j], "n": (here.T @ here)[i, j], "sa": s[i, j], "sb": s[j, i], "qa": q[i, j], "qb": q[j, i], "p": (z.T @ z)[i, j],
-    })
+def corr_matrix(df: DataFrame, pairs: DataFrame | None = None, key: str = "asset", value: str = "value") -> DataFrame:
+    """Pairwise-complete Pearson correlation ``(a, b, corr)`` of the series of a panel.
 
-
-def corr_matrix(df: DataFrame, key: str = "asset", value: str = "value", max_columns: int = MAX_MATRIX_COLUMNS) -> DataFrame:
-    """Pairwise-complete Pearson correlation of the series of a panel, both triangles.
-
-    A report over at most ``max_columns`` series (checked). Months are reduced to matrix products
-    side by side, and only those are added up; values are centred first to keep the sums exact.
+    With ``pairs(a, b)`` only those are computed: the panel is joined to the wanted pairs, then to the
+    partner's rows, and reduced map-side. Without, every two series that share a date are, in both
+    orders; that report has as many rows as pairs. Values are centred first to keep the sums exact.
     """
     present = df.filter(F.col(value).isNotNull())
     means = present.groupBy(key).agg(F.avg(value).alias("_m"))
-    width = means.count()
-    if width > max_columns:
-        raise ValueError(f"a correlation matrix of {width} series is wider than {max_columns}.")
-    rows = present.join(means, key).select(F.trunc("ts", "month").alias("month"), "ts", F.col(key).alias("asset"), (F.col(value) - F.col("_m")).alias("x"))
-    kind = df.schema[key].dataType.simpleString()
-    parts = rows.groupBy("month").applyInPandas(_chunk_products, f"a {kind}, b {kind}, n double, sa double, sb double, qa double, qb double, p double")
-    n, sa, sb, qa, qb, p = (F.sum(c) for c in ("n", "sa", "sb", "qa", "qb", "p"))
-    half = parts.groupBy("a", "b").agg(
-        F.when(n > 1, ratio(p - sa * sb / n, F.sqrt(F.greatest((qa - sa * sa / n) * (qb - sb * sb / n), F.lit(0.0))))).alias("corr")
-    )
-    return half.unionByName(half.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
+    rows = present.join(means, key).select("ts", F.col(key).alias("_key"), (F.col(value) - F.col("_m")).alias("_x"))
+    left = rows.select("ts", F.col("_key").alias("a"), F.col("_x").alias("x"))
+    right = rows.select("ts", F.col("_key").alias("b"), F.col("_x").alias("y"))
+    both = left.join(right, "ts") if pairs is None else left.join(pairs.select("a", "b").distinct(), "a").join(right, ["ts", "b"])
+    x, y, n = F.col("x"), F.col("y"), F.count(F.lit(1))
+    var = lambda c: F.sum(c * c) - F.sum(c) * F.sum(c) / n
+    corr = ratio(F.sum(x * y) - F.sum(x) * F.sum(y) / n, F.sqrt(F.greatest(var(x) * var(y), F.lit(0.0))))
+    return both.groupBy("a", "b").agg(F.when(n > 1, corr).alias("corr"))
 
 
 def signal_heatmap_table(df: DataFrame, assets: list[str], value: str = "value") -> DataFrame:

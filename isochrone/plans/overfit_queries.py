@@ -11,7 +11,7 @@ from . import panels as S
 from .panels import ctes, div_sql, edge, ln_sql, rnd_sql
 from .registry import query
 
-N_CHUNKS, N_BOOT, SEED = 16, 200, 7
+N_CHUNKS, N_BOOT, SEED = 16, 1000, 7
 
 
 @S._stored
@@ -64,12 +64,12 @@ def _cscv_steps(limit):
         ("pt", "SELECT bw.combo, bw.config, bw.is_sharpe, sc.oos_sharpe, bw.median_oos FROM bw JOIN sc ON sc.combo = bw.combo AND sc.config = bw.config")]
 
 
-@query("cscv_paths", ctes(*RETURNS, *_cscv_steps(100)) + f"SELECT combo, config, {rnd_sql('is_sharpe')} AS is_sharpe, {rnd_sql('oos_sharpe')} AS oos_sharpe, {rnd_sql('median_oos')} AS median_oos FROM pt")
+@query("cscv_paths", ctes(*RETURNS, *_cscv_steps(None)) + f"SELECT combo, config, {rnd_sql('is_sharpe')} AS is_sharpe, {rnd_sql('oos_sharpe')} AS oos_sharpe, {rnd_sql('median_oos')} AS median_oos FROM pt")
 def cscv_paths(spark, sf):
     return edge(O.cscv_paths(brand_returns(spark, sf), N_CHUNKS))
 
 
-@query("pbo_cscv", ctes(*RETURNS, *_cscv_steps(100)) + f"SELECT {rnd_sql('avg(CASE WHEN oos_sharpe < median_oos THEN 1.0 ELSE 0.0 END)')} AS pbo, count(*) AS n_trials FROM pt")
+@query("pbo_cscv", ctes(*RETURNS, *_cscv_steps(None)) + f"SELECT {rnd_sql('avg(CASE WHEN oos_sharpe < median_oos THEN 1.0 ELSE 0.0 END)')} AS pbo, count(*) AS n_trials FROM pt")
 def pbo_cscv(spark, sf):
     return edge(O.pbo_cscv(brand_returns(spark, sf), N_CHUNKS))
 

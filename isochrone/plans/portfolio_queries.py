@@ -25,7 +25,7 @@ from .registry import query
 
 VOL_WINDOW, TARGET, GROSS, NET = 6, 0.10, 2.0, 0.20
 TRAIN, TEST = 36, 12
-N_GROUPS, K_TEST = 6, 2
+N_GROUPS, K_TEST = 10, 2
 REFERENCE = "NATION_0"
 
 
@@ -418,13 +418,13 @@ def cpcv_steps(n_groups=N_GROUPS, k=K_TEST):
         ("fo", "SELECT p.path, g.ts, g.i, c.grp IS NOT NULL AS is_test FROM pa p CROSS JOIN gp g LEFT JOIN cb c ON c.path = p.path AND c.grp = g.grp")]
 
 
-def _combos(n_groups, k, limit=FD.MAX_COMBINATIONS):
+def _combos(n_groups, k, limit=None):
     return list(itertools.islice(itertools.combinations(range(n_groups), k), limit))
 
 
-@query("cpcv_folds", ctes("nation_m", *cpcv_steps(10, 2)) + f"SELECT CAST(path AS INTEGER) AS path, {sday()}, is_test FROM fo")
+@query("cpcv_folds", ctes("nation_m", *cpcv_steps(12, 3)) + f"SELECT CAST(path AS INTEGER) AS path, {sday()}, is_test FROM fo")
 def cpcv_folds(spark, sf):
-    return edge(FD.cpcv_folds(S.nation_m(spark, sf), 10, 2), "path", "ts", "is_test")
+    return edge(FD.cpcv_folds(S.nation_m(spark, sf), 12, 3), "path", "ts", "is_test")
 
 
 def cpcv_path_steps():
@@ -447,7 +447,6 @@ def _renamed(steps, prefix):
     return [("dy" if prefix == "o_" and k == "o_dy" else k, v) for k, v in out]
 
 
-@S._stored
 def cpcv_table(spark, sf):
     """Out-of-sample and in-sample Sharpe per path."""
     n, scope = bound(spark, sf), ["path"]

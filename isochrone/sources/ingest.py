@@ -61,7 +61,10 @@ def incremental_ingest(store: LayerStore, landing: DataFrame, requests: DataFram
     # decisions are written down before the layers they were read from change
     checked = materialise(checked, "coverage")
     wanted = checked.filter(~F.col("covered")).select(*KEY, "start", "end")
-    fetched = materialise(landing.join(wanted, KEY).filter(F.col("ts").between(F.col("start"), F.col("end"))).drop("start", "end"), "fetched")
+    asked = wanted.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("start").alias("_start"), F.col("end").alias("_end"))
+    # a landed row is taken once, however many overlapping requests ask for it
+    inside = [F.col(k) == F.col(f"_{k}") for k in KEY] + [F.col("ts") >= F.col("_start"), F.col("ts") <= F.col("_end")]
+    fetched = materialise(landing.join(asked, inside, "left_semi"), "fetched")
     guard = superset_guard(stored if have else fetched.limit(0), fetched)
     guard = materialise(guard.select(*KEY, "accepted"), "guard")
     accepted = fetched.join(guard.filter("accepted").select(*KEY), KEY, "left_semi")

@@ -79,7 +79,7 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges left after repeatedly removing names nothing points to or that point to nothing.
 
-    Empty for a valid catalogue, so the costly closure below then has nothing to do.
+    Empty for a valid catalogue, so the search below then has nothing to do.
     """
     core = materialise(edges.select("src", "dst").distinct(), "core")
     size = core.count()
@@ -94,9 +94,42 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return core
 
 
+def _colours(edges: DataFrame) -> DataFrame:
+    """``(name, colour)``: the largest name from which each name can be reached, itself included."""
+    names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
+    now = materialise(names.withColumn("colour", F.col("name")), "colours")
+    while True:
+        sent = edges.join(now.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg(F.max("colour").alias("_new"))
+        step = now.join(sent, "name", "left").select("name", F.greatest("colour", "_new").alias("colour"), (F.col("_new") > F.col("colour")).alias("_changed"))
+        step = materialise(step, "colours")
+        now = step.select("name", "colour")
+        if step.filter("_changed").isEmpty():
+            return now
+
+
 def dependency_cycles(edges: DataFrame) -> DataFrame:
-    """Names lying on a cycle."""
-    return transitive_closure(cyclic_core(edges)).filter("src = dst").select(F.col("src").alias("name"))
+    """Names lying on a cycle.
+
+    Every name is coloured by the largest name that reaches it. Going back from that name inside its
+    colour finds its strongly connected part; those parts are taken out and the rest is trimmed and
+    coloured again. Tables hold names and edges, never pairs of names joined by a path.
+    """
+    core = cyclic_core(edges)
+    found = core.select(F.col("src").alias("name")).limit(0)
+    while not core.isEmpty():
+        colour = _colours(core)
+        ends = core.join(colour.toDF("src", "_c"), "src").join(colour.toDF("dst", "_d"), "dst")
+        inner = materialise(ends.filter("_c = _d").select("src", "dst", F.col("_c").alias("colour")), "inner")
+        part = fresh = materialise(colour.filter("name = colour"), "part")
+        while not fresh.isEmpty():
+            back = inner.join(fresh.select(F.col("name").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("name"), "colour").distinct()
+            fresh = materialise(back.join(part, ["name", "colour"], "left_anti"), "part")
+            part = part.unionByName(fresh)
+        inside = inner.join(part.toDF("src", "colour"), ["src", "colour"], "left_semi").join(part.toDF("dst", "colour"), ["dst", "colour"], "left_semi")
+        found = found.union(inside.select("src").distinct())
+        gone = part.select("name")
+        core = cyclic_core(core.join(gone.withColumnRenamed("name", "src"), "src", "left_anti").join(gone.withColumnRenamed("name", "dst"), "dst", "left_anti"))
+    return found
 
 
 def used_by_transitive(edges: DataFrame) -> DataFrame:

@@ -16,8 +16,23 @@ SAMPLE = ["ic_by_date", "carry_signal", "resample_last", "risk_parity_weights",
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
-    assert len(entry_module.queries()) >= 136
+    from isochrone.plans import ORACLES, QUERIES
+
+    assert set(QUERIES) == set(ORACLES) and len(QUERIES) >= 136
+    assert set(QUERIES) <= set(entry_module.queries()) and set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_a_shared_folder_is_needed_off_one_machine():
+    from types import SimpleNamespace
+
+    from isochrone.functions.spark import shared_dir
+
+    session = lambda master, root: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: root), sparkContext=SimpleNamespace(master=master))
+    for master in ("local-cluster[3,2,3000]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError, match="share"):
+            shared_dir(session(master, None), "x")
+    assert shared_dir(session("yarn", "hdfs://a/b"), "x").startswith("hdfs://a/b/isochrone/x-")
+    assert shared_dir(session("local[4]", None), "x").startswith("/tmp/")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables not present")

@@ -211,7 +211,8 @@ def test_fold_tables(spark):
     paths = FD.cpcv_folds(cal(42), 4, 2)
     assert paths.select("path").distinct().count() == 6
     assert {r.n for r in FD.cpcv_groups(cal(42), 4).filter("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()} == {10, 11}
-    assert FD.combinations_table(spark, 12, 4).select("path").distinct().count() == FD.MAX_COMBINATIONS
+    assert FD.combinations_table(spark, 12, 4).select("path").distinct().count() == 495
+    assert FD.combinations_table(spark, 12, 4, limit=50).select("path").distinct().count() == 50
     with pytest.raises(ValueError):
         FD.combinations_table(spark, 4, 5)
 
@@ -244,12 +245,30 @@ def test_pbo_alternating_configs(spark, series):
     df = series({"x": a, "y": -a}).select("ts", F.col("asset").alias("config"), F.col("value").alias("ret"))
     assert O.pbo_cscv(df, 16, bound=2).collect()[0].pbo > 0.5
     assert O.pbo_cscv(df, 4, None).collect()[0].n_trials == 6
-    with pytest.raises(ValueError, match="configurations"):
-        O.check_pbo_inputs(df.filter("config = 'x'"))
+    assert O.pbo_cscv(df, 16).collect()[0].n_trials == 12870 and O.pbo_cscv(df, 16, limit=40).collect()[0].n_trials == 40
+    with pytest.raises(ValueError, match="one configuration"):
+        O.pbo_cscv(df.filter("config = 'x'"))
     with pytest.raises(ValueError, match="even"):
-        O.cscv_combinations(5)
-    with pytest.raises(ValueError, match="too few rows"):
-        O.check_pbo_inputs(df.filter("ts < date '2024-01-20'"))
+        O.pbo_cscv(df, 5)
+    with pytest.raises(ValueError, match="complete dates"):
+        O.pbo_cscv(df.filter("ts < date '2024-01-20'"))
+
+
+def test_spa_without_common_dates(series):
+    strat = series({"a": [0.1, 0.2], "b": [0.3, 0.1]}).select("ts", F.col("asset").alias("config"), F.col("value").alias("ret"))
+    bench = series({"m": [0.1, 0.1]}, start=date(2030, 1, 1)).select("ts", F.col("value").alias("ret"))
+    row = O.spa_test(bench, strat, 20).collect()[0]
+    assert row.statistic is None and row.p_value is None and row.reject_null is False
+
+
+def test_corr_matrix_of_wanted_pairs(spark, series):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3, 50))
+    df = series({"a": x[0], "b": x[1], "c": [*x[2][:49], None]})
+    every = {(r.a, r.b): r.corr for r in RP.corr_matrix(df).collect()}
+    assert len(every) == 9 and math.isclose(every["a", "b"], np.corrcoef(x[0], x[1])[0, 1]) and math.isclose(every["c", "a"], np.corrcoef(x[0][:49], x[2][:49])[0, 1])
+    some = {(r.a, r.b): r.corr for r in RP.corr_matrix(df, spark.createDataFrame([("a", "c"), ("b", "b")], "a string, b string")).collect()}
+    assert set(some) == {("a", "c"), ("b", "b")} and math.isclose(some["a", "c"], every["a", "c"]) and math.isclose(some["b", "b"], 1.0)
 
 
 def test_spa_winner(series):

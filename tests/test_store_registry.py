@@ -106,6 +106,15 @@ def test_ingest_statuses(spark, store):
     assert again == {"NEW": "covered"}
 
 
+def test_overlapping_requests_store_each_row_once(spark, store):
+    landing = _series(spark, "NEW", date(2024, 1, 1), date(2024, 3, 29))
+    asked = spark.createDataFrame([("yahoo", "NEW", "daily", a, b) for a, b in ((date(2024, 1, 1), date(2024, 2, 15)), (date(2024, 2, 1), date(2024, 2, 20)), (date(2024, 1, 1), date(2024, 2, 15)))], "source string, ticker string, frequency string, start date, end date")
+    assert {r.status for r in I.incremental_ingest(store, landing, asked).collect()} == {"stored"}
+    for layer in ("raw", "adjusted"):
+        rows = store.read(layer).filter("ticker = 'NEW'")
+        assert rows.count() == rows.select("ts").distinct().count() == landing.filter("ts <= date '2024-02-20'").count()
+
+
 def test_key_hygiene(spark):
     t = spark.createDataFrame([("EURUSD=X",), ("BRK-B",), ("BRK.B",), ("^GSPC",)], "ticker string")
     assert {r.k for r in t.select(L.sanitise_key(F.col("ticker")).alias("k")).collect()} == {"EURUSD_X", "BRK_B", "_GSPC"}
