@@ -25,6 +25,7 @@ HEADLINE = [
 def main() -> None:
     from pyspark.sql import SparkSession
 
+    from isochrone.functions.spark import scratch_folder
     from isochrone.plans import QUERIES, panels, portfolio_queries, overfit_queries
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -36,7 +37,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
         # the bench data is small: keep all cores busy instead of merging shuffle partitions up to 1 MB
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        .config("spark.driver.memory", "16g").getOrCreate()
+        .config("spark.driver.memory", "16g").config("spark.checkpoint.dir", f"file://{scratch_folder()}").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     timings: dict[str, float] = {}

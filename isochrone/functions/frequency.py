@@ -16,7 +16,7 @@ TRADING_DAYS = 252.0
 
 def check_frequency(frequency: str) -> str:
     if frequency not in PERIODS_PER_YEAR:
-        raise ValueError(f"Unknown frequency: {frequency!r}. Must be one of {sorted(FREQUENCIES)}.")
+        raise ValueError(f"Unknown frequency {frequency!r}; there are {', '.join(sorted(FREQUENCIES))}")
     return frequency
 
 

@@ -31,12 +31,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _local:
-            _local.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+            _local.append(scratch_folder())
         root = _local[0]
     return f"{root.rstrip('/')}/isochrone/{name}-{uuid.uuid4().hex}"
 
 
+def scratch_folder() -> str:
+    """A new local folder for one run's intermediates, deleted at exit; for local sessions only."""
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table once into the shared folder and read it back.
 

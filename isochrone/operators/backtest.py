@@ -167,7 +167,7 @@ def backtest_days(
     """
     config = dict(config or {})
     if "instruments" in config:
-        raise ValueError("portfolio config no longer takes 'instruments'; they come from the signal.")
+        raise ValueError("instruments are those of the signal, not a portfolio setting")
     scope = scope or []
     raw = signal(prices) if callable(signal) else signal
     # each of these tables is read several times below and by the statistics: written once
@@ -191,6 +191,6 @@ def backtest(days: DataFrame, traded: DataFrame, train_window: int, test_window:
     calendar = days.select("ts").distinct()
     rows = calendar.count()
     if rows < train_window + test_window:
-        raise ValueError(f"Need at least train_window + test_window ({train_window + test_window}) calendar rows; got {rows}.")
+        raise ValueError(f"{rows} calendar rows are too few for {train_window} to train and {test_window} to test")
     test = calendar.orderBy(F.desc("ts")).limit(test_window)
     return days.join(test, "ts", "left_semi"), traded.join(test, "ts", "left_semi")

@@ -30,7 +30,7 @@ def forward_return(returns: DataFrame, horizons: list[int], scope: list[str] | N
     """The one-period return ``horizon + 1`` rows ahead (the extra row is the execution lag), for
     all horizons in one pass: ``(scope, horizon, ts, asset, fwd)``."""
     if not horizons or min(horizons) <= 0:
-        raise ValueError("horizon must be a positive integer.")
+        raise ValueError("a horizon counts rows ahead: it must be positive")
     scope = scope or []
     ahead = with_windows(
         returns, [*scope, "asset"], lambda w: {f"_h{h}": F.lead("value", h + 1).over(w) for h in horizons}, after=max(horizons) + 1

@@ -22,7 +22,7 @@ DEFAULT_IMPACT_COEFFICIENT = 10.0
 def realised_vol(prices: DataFrame, window: int = 60, scope: list[str] | None = None) -> DataFrame:
     """Annualised rolling deviation of log returns, carried forward: adds ``vol``."""
     if window <= 1:
-        raise ValueError("vol_window must be > 1.")
+        raise ValueError("vol_window: volatility needs at least two returns")
     keys = [*(scope or []), "asset"]
     p = F.col("value")
     ret = with_windows(prices, keys, lambda w: {"_r": safe_log(p) - safe_log(F.lag(p, 1).over(w))}, before=1)
@@ -86,7 +86,7 @@ def risk_parity_weights(
 def gross_limit(weights: DataFrame, limit: float, scope: list[str] | None = None, bound: int | None = None) -> DataFrame:
     """Scale each date down to ``sum |w| <= limit``."""
     if limit <= 0:
-        raise ValueError("gross_limit must be > 0.")
+        raise ValueError(f"a gross limit of {limit} leaves nothing to hold")
     sized = totals_within(weights, [*(scope or []), "ts"], {"_gross": F.sum(F.abs("weight"))}, bound)
     scale = F.least(F.lit(1.0), F.coalesce(ratio(F.lit(limit), F.col("_gross")), F.lit(1.0)))
     return sized.withColumn("weight", F.col("weight") * scale).drop("_gross")
@@ -98,7 +98,7 @@ def net_limit(weights: DataFrame, limit: float, scope: list[str] | None = None,
     Each weight gives up what the larger ones before it left over. Equal weights: later asset first.
     """
     if limit < 0:
-        raise ValueError("net_limit must be >= 0.")
+        raise ValueError(f"a net limit of {limit} cannot be met")
     if limit == float("inf"):
         return weights
     by = [*(scope or []), "ts"]
@@ -136,7 +136,7 @@ def construct_portfolio(
     elif method == "risk_parity":
         sized = risk_parity_weights(signals, prices, classes, target_vol, vol_window, scope, bound, strict)
     else:
-        raise ValueError("sizing_method must be 'vol_target' or 'risk_parity'.")
+        raise ValueError("unknown sizing_method: vol_target and risk_parity exist")
     return trades(net_limit(gross_limit(sized, gross, scope, bound), net, scope, bound), scope)
 
 
@@ -162,7 +162,7 @@ def trade_cost_bps(
 ) -> Column:
     """Spread plus market impact of one trade; no trade costs nothing, adv must be positive."""
     if model not in ("linear", "sqrt"):
-        raise ValueError("market_impact_model must be 'linear' or 'sqrt'.")
+        raise ValueError(f"unknown impact model {model!r}: linear and sqrt exist")
     share = F.abs(size) / adv
     impact = F.lit(coefficient) * (share if model == "linear" else F.sqrt(share))
     refused = F.raise_error(F.lit("adv must be > 0 for non-zero trades.")).cast("double")

@@ -10,10 +10,12 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 
 @pytest.fixture(scope="session")
 def spark():
+    from isochrone.functions.spark import scratch_folder
+
     session = (
         SparkSession.builder.master("local[4]").appName("isochrone-tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"file://{scratch_folder()}").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
