@@ -75,7 +75,7 @@ def test_targets_equal_brute_force(spark, seed):
         assert r["target"] == pytest.approx(want[r["source"]], rel=1e-9, abs=1e-9)
 
 
-def test_is_near_its_target_and_repeats(spark):
+def test_mix_is_near_its_target_and_repeats(spark):
     rng = random.Random(5)
     docs = documents(spark, awkward() + [(100 + i, prose(rng, rng.randint(1, 40)), rng.choice(["a", "b", "c"])) for i in range(3000)])
     first = mixing.mix(docs)
