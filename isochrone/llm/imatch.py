@@ -89,11 +89,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, text_hash, next_text: of the next document by descending ``doc_id``, after the last
-    the first.
+    """block, place, doc_id, text, next_text: of the next document by descending ``doc_id``, after the
+    last the first.
 
-    Ids are cut into blocks at quantiles; windows run inside blocks, and only the first row of each
-    block is looked at to join one block to the next.
+    Ids are cut into blocks at quantiles; windows run inside blocks, and only the first text of each
+    block is looked at to join one block to the next. Texts are shuffled once and not written.
     """
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     total = docs.count()
@@ -106,15 +106,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.col("text_hash"), F.col("text")]
     inside = Window.partitionBy("block").orderBy(*order)
     rows = rows.withColumn("block", where.cast("int"))
-    marked = rows.withColumns({"next_text": F.lead("text").over(inside), "place": F.row_number().over(inside)})
-    marked = stored(marked.select("block", "place", "doc_id", "text_hash", "text", "next_text"), "imatch-order")
-    firsts = marked.where("place = 1").select(F.col("block").alias("first_block"), F.col("text").alias("first_text"))
-    # one row per block, at most MOST_BLOCKS + 1: the block before each, and for the last the first
+    # one text per block, at most MOST_BLOCKS + 1: the first of the block after each, for the last the first
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not("doc_id").alias("down"), "text_hash", "text"))
+    firsts = rows.groupBy("block").agg(first.alias("first")).select(F.col("block").alias("first_block"), F.col("first.text").alias("first_text"))
     around = Window.orderBy(F.col("first_block").desc())
     every = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = firsts.select(F.col("first_block").alias("block"), F.coalesce(F.lead("first_text").over(around), F.first("first_text").over(every)).alias("block_next"))
-    tails = marked.where("next_text IS NULL").join(following, "block").select("doc_id", "text_hash", "text", F.col("block_next").alias("next_text"), "block", "place")
-    return marked.where("next_text IS NOT NULL").select(tails.columns).unionByName(tails)
+    following = stored(firsts.select(F.col("first_block").alias("block"), F.coalesce(F.lead("first_text").over(around), F.first("first_text").over(every)).alias("block_next")), "imatch-firsts")
+    marked = rows.withColumns({"next_text": F.lead("text").over(inside), "place": F.row_number().over(inside)})
+    return marked.join(F.broadcast(following), "block").select("block", "place", "doc_id", "text", F.coalesce("next_text", "block_next").alias("next_text"))
 
 
 def edited(text: Column, following: Column) -> Column:
