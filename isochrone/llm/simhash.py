@@ -214,24 +214,34 @@ def fingerprint_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     return sent.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id of every row: the smallest doc_id reachable over links."""
-    printed = stored(fingerprints(docs), "simhash")
+def _classes(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp, text_hash of every row, and fp, component (smallest fingerprint), component_id."""
+    require(docs, "doc_id", "text")
+    printed = stored(docs.select("doc_id", _fingerprint(text_of()).alias("fp"), F.xxhash64(text_of()).alias("text_hash")), "simhash")
     points = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-points")
     groups = connected_components(fingerprint_links(points, radius)).select(F.col("node").alias("fp"), "component")
     named = points.join(groups, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = stored(named.join(least, "component").select("fp", "component_id"), "simhash-classes")
-    return printed.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return printed, stored(named.join(least, "component").select("fp", "component", "component_id"), "simhash-classes")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, component, component_id of every row: the smallest fingerprint and the smallest doc_id
+    reachable over links."""
+    printed, classes = _classes(docs, radius)
+    return printed.join(classes, "fp").select("doc_id", "fp", "component", "component_id")
 
 
 def unique_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each group: the one with the smallest ``doc_id``; of repeated rows one stays.
 
-    Rows are matched by ``doc_id`` and fingerprint. If a group has no ``doc_id`` at all, it keeps one row.
+    Groups are told apart by their component, not by an id: groups without any ``doc_id`` keep one row
+    each, and so do groups whose smallest ids are equal.
     """
-    classes = near_duplicates(docs, radius)
-    chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("fp")).select(F.col("component_id").alias("keep_id"), F.col("fp").alias("keep_fp"))
-    printed = docs.select(carried(docs), "doc_id", _fingerprint(text_of()).alias("own"))
-    hit = printed.join(chosen, printed["doc_id"].eqNullSafe(chosen["keep_id"]) & (printed["own"] == chosen["keep_fp"]))
-    return hit.dropDuplicates(["doc_id"]).select("row.*")
+    printed, classes = _classes(docs, radius)
+    spot = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "text_hash")
+    first = printed.join(classes, "fp").groupBy("component").agg(F.min(spot).alias("first"))
+    chosen = first.select("component", F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"))
+    own = docs.select(carried(docs), "doc_id", F.xxhash64(text_of()).alias("own_hash"))
+    hit = own.join(chosen, own["doc_id"].eqNullSafe(chosen["keep_id"]) & (own["own_hash"] == chosen["keep_hash"]))
+    return hit.dropDuplicates(["component"]).select("row.*")

@@ -141,3 +141,11 @@ def test_anchored_shingles_cover_long_runs(spark):
     rows = [(1, run), (2, run[:60] + "X" + run[60:]), (3, re.sub(".", "z", run[:40]))]
     got = {r["doc_id"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
     assert got == {1, 3}
+
+
+def test_unique_documents_without_or_with_repeated_ids(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 60) for _ in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[5]), (None, texts[5]), (6, texts[5])]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.unique_documents(documents(spark, rows)).collect())
+    assert got == sorted([("None", texts[0]), ("None", texts[1]), ("None", texts[2]), ("7", texts[3]), ("7", texts[4]), ("6", texts[5])])
