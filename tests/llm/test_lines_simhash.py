@@ -149,3 +149,22 @@ def test_unique_documents_without_or_with_repeated_ids(spark):
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[5]), (None, texts[5]), (6, texts[5])]
     got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.unique_documents(documents(spark, rows)).collect())
     assert got == sorted([("None", texts[0]), ("None", texts[1]), ("None", texts[2]), ("7", texts[3]), ("7", texts[4]), ("6", texts[5])])
+
+
+def test_line_candidates_by_length(spark):
+    rng = random.Random(13)
+    pairs = [("Introduction", "(Introduction"), ("All rights reserved to us", "All rights reserved to us.")]
+    for size in (12, 20, 40, 80, 200):
+        while sum(len(p[0]) // 10 == size // 10 for p in pairs) < 100:
+            a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(size)).strip()
+            a = " ".join(a.split())
+            b = rng.choice([a + rng.choice(".;!"), rng.choice("(-*") + a, a + " et", a[:-1] + "Q"])
+            if near(a, b):
+                pairs.append((a, b))
+    lines = spark.createDataFrame([(i, t, x) for i, p in enumerate(pairs) for t, x in enumerate(p)], "pair int, side int, norm string")
+    placed = line_dedup.buckets(lines).join(lines.select("pair", "side", line_dedup.line_hash().alias("line")), "line")
+    found = {r["pair"] for r in placed.groupBy("pair", "bucket").agg(F.countDistinct("side").alias("n")).where("n = 2").select("pair").distinct().collect()}
+    assert {0, 1} <= found
+    for size in (1, 2, 4, 8, 20):
+        own = [i for i, p in enumerate(pairs) if len(p[0]) // 10 == size]
+        assert len(own) >= 50 and len(found & set(own)) >= 0.98 * len(own), size
