@@ -16,7 +16,8 @@ Pages are read inside their task, in Arrow batches; nothing is shuffled. The mod
 numbers and is sent with the function.
 
 Defined results: NULL or empty html gives empty text; text outside any element counts as a block of the
-page; unclosed and stray tags are repaired by the usual rules (a new paragraph ends the open one);
+page; unclosed and stray tags are repaired by the usual rules (a new paragraph ends the open one, text or
+any element that can't stand in a head ends it); formulas and fallback content of objects are text;
 nesting of any depth and pages of any length are handled without recursion; repeated rows get the same
 text; a NULL url is carried; an empty table gives an empty result; other columns are not read.
 """
@@ -36,14 +37,17 @@ from .common import require
 
 #: Elements without content of their own; elements whose content is never text; elements that break text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas head textarea title xmp".split())
+RAW = frozenset("script style noscript template iframe svg canvas textarea title xmp".split())
+#: Raw elements that take the rest of the page if they are never closed; the others are then ordinary ones.
+TAKES_REST = frozenset("script style textarea".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html hgroup li main menu nav ol p pre section select option button summary table tbody td tfoot th thead tr ul caption legend label".split())
 #: A start tag of the first kind ends an open paragraph; the others end an open element of their kind.
 ENDS_P = BLOCK - frozenset("html body button label option select legend caption td th tr tbody thead tfoot".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# a quote opens a value only right after "="
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)|[^>])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -89,6 +93,7 @@ def parse(page: str) -> Tree:
     tree = Tree()
     stack = [("html", 0)]  # block elements, and inline ones that matter ("a")
     links = 0
+    unclosed: set[str] = set()
 
     def put(text: str) -> None:
         at = stack[-1][1]
@@ -139,16 +144,15 @@ def parse(page: str) -> Tree:
             continue
         if tag in VOID:
             continue
-        if tag in RAW:
+        if tag in RAW and tag not in unclosed:
             if not m[3].endswith("/"):
-                # </title> and the like; a raw element that is never closed takes the rest, head ends at body
-                stop = re.compile(r"<body\b" if tag == "head" else rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-                if tag == "head":
-                    close_head = re.compile(r"</head\s*>", re.I).search(page, pos)
-                    stop = min((x for x in (stop, close_head) if x), key=lambda x: x.start(), default=None)
-                    pos = (stop.end() if stop is close_head else stop.start()) if stop else size
-                else:
-                    pos = stop.end() if stop else size
+                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+                if stop:
+                    pos = stop.end()
+                elif tag in TAKES_REST:
+                    pos = size
+                else:  # no later one is closed either
+                    unclosed.add(tag)
             continue
         if tag in BLOCK:
             if tag == "html":

@@ -158,6 +158,19 @@ def test_parse_repairs_markup():
     assert blocks("") == [] and blocks("<div>" * 5000 + "deep") == ["deep"]
 
 
+def test_parse_keeps_text_behind_odd_markup():
+    blocks = lambda page: [html_extraction.block_text(t, i) for t in [html_extraction.parse(page)] for i in range(len(t.tag)) if t.text[i]]
+    assert blocks("<p><img alt=Bob's src=x.jpg></p><p>He didn't go home.</p><p>It's late.</p>") == ["He didn't go home.", "It's late."]
+    assert blocks("<p title = 'x>y' data-a=\"it's>\">c</p><a href=a=\"b>d</a>") == ["c", "d"]
+    assert blocks("<head><title>t</title><meta name=a><style>z</style><p>one</p><p>two") == ["one", "two"]
+    assert blocks("<head><title>t</title></head><body>in") == ["in"]
+    for tag in ("noscript", "svg", "canvas", "template", "iframe", "xmp"):
+        assert blocks(f"<p>a</p><{tag}><p>b</p><{tag}><p>c</p>") == ["a", "b", "c"]
+        assert blocks(f"<p>a</p><{tag}>raw</{tag}><p>c</p>") == ["a", "c"]
+    assert blocks("<p>if <math><mi>x</mi>=<mn>1</mn></math> then <object>text</object> end</p>") == ["if x=1 then text end"]
+    assert blocks("<p>a</p><textarea>b") == blocks("<p>a</p><script>b") == blocks("<p>a</p><style>b") == ["a"]
+
+
 def test_decode_is_the_best_consistent_choice():
     rng = np.random.default_rng(0)
     for _ in range(40):
