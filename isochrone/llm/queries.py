@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, imatch, licences, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
+from . import centroid_clusters, fill_in_middle, html_extraction, imatch, licences, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,6 +219,58 @@ def op7(spark, sf_dir):
 
 
 
+def _cluster_sql() -> str:
+    """The rounds unrolled: distances of all vectors to all centroids, then floors of the means."""
+    c = centroid_clusters
+    rounds = []
+    for i in range(c.ROUNDS + 1):
+        rounds.append(f"""a{i} AS MATERIALIZED (SELECT n, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, k := k)) AS best FROM (
+          SELECT n, vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{i}) q GROUP BY n)""")
+        if i < c.ROUNDS:
+            rounds.append(f"""m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY p) AS c FROM (
+          SELECT best.k AS k, p, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best, unnest(v) AS x, unnest(range({c.DIMENSIONS})) AS p FROM a{i}) q GROUP BY ALL) r GROUP BY k),
+        c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))""")
+    last = c.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({c.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {c.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT k, v AS c FROM (SELECT v, row_number() OVER (ORDER BY sha256('{c.SEED}:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS k FROM kept) q WHERE k < {c.CLUSTERS}),
+{", ".join(rounds)}
+SELECT vec_id, best.k::INTEGER AS "cluster", best.d AS distance, (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} ON best.k = c{last}.k
+"""
+
+
+@query("op11_centroid_clusters", _cluster_sql())
+def op11(spark, sf_dir):
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_token_files")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_files.write_files(docs, TOKENIZER)
+    return token_files.read_files(spark, manifest, docs.schema["doc_id"].dataType.simpleString())
+
+
+@query("op13_fill_in_middle", r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, n, form, t, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid) ELSE concat('<S>', suf, '<P>', pre, '<M>', mid) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+""")
+def op13(spark, sf_dir):
+    rows = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def register(queries: dict, oracles: dict) -> None:
     """Add the queries of this subpackage and the pipeline over its operators."""
     import corpus_pipeline
