@@ -161,10 +161,54 @@ def test_line_candidates_by_length(spark):
             b = rng.choice([a + rng.choice(".;!"), rng.choice("(-*") + a, a + " et", a[:-1] + "Q"])
             if near(a, b):
                 pairs.append((a, b))
-    lines = spark.createDataFrame([(i, t, x) for i, p in enumerate(pairs) for t, x in enumerate(p)], "pair int, side int, norm string")
-    placed = line_dedup.buckets(lines).join(lines.select("pair", "side", line_dedup.line_hash().alias("line")), "line")
-    found = {r["pair"] for r in placed.groupBy("pair", "bucket").agg(F.countDistinct("side").alias("n")).where("n = 2").select("pair").distinct().collect()}
+    left, right = (line_dedup.sketch([p[side] for p in pairs])[1] for side in (0, 1))
+    found = {i for i in range(len(pairs)) if (left[i] == right[i]).any()}
     assert {0, 1} <= found
     for size in (1, 2, 4, 8, 20):
         own = [i for i, p in enumerate(pairs) if len(p[0]) // 10 == size]
         assert len(own) >= 50 and len(found & set(own)) >= 0.98 * len(own), size
+
+
+def test_minima_bits_allow_every_near_pair(spark):
+    rng = random.Random(14)
+    pairs = []
+    while len(pairs) < 400:
+        a = " ".join(prose(rng, rng.randint(3, 60)).split())
+        b = edited(rng, a, 1)
+        if near(a, b):
+            pairs.append((a, b))
+    sides = [line_dedup.sketch([p[side] for p in pairs]) for side in (0, 1)]
+    rows = [(i, sides[0][2][i].tolist(), sides[1][2][i].tolist()) for i in range(len(pairs))]
+    got = spark.createDataFrame(rows, "i int, x array<long>, y array<long>").select(line_dedup.agreeing("x", "y").alias("n"), line_dedup.agreeing("x", "x").alias("own")).collect()
+    nibbles = lambda v: [v % 2**64 >> 4 * i & 15 for i in range(16)]
+    want = [sum(a == b for u, v in zip(r[1], r[2], strict=True) for a, b in zip(nibbles(u), nibbles(v), strict=True)) for r in rows]
+    # places beyond the last minimum are always equal
+    assert [r["n"] for r in got] == [w - 64 + line_dedup.BANDS * line_dedup.ROWS for w in want] and {r["own"] for r in got} == {line_dedup.BANDS * line_dedup.ROWS}
+    assert sum(r["n"] < line_dedup.LEAST_AGREEING for r in got) <= 1
+    for side in (0, 1):
+        assert sides[side][0].tolist() == [len(grams(p[side])) for p in pairs]
+
+
+def test_large_buckets_are_paired_by_rare_runs(spark, monkeypatch):
+    """Lines that are alike but not near-equal, with a few links hidden among them."""
+    monkeypatch.setattr(line_dedup, "SMALL_BUCKET", 4)
+    rng = random.Random(15)
+    base = prose(rng, 30)
+    lines = [base + " " + "".join(rng.choice("abcdefghijklmnop ") for _ in range(110)) for _ in range(60)]
+    lines += [x[:-6] + "zzzzzz" for x in lines[:20]]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.removed_lines(documents(spark, rows)).collect()}
+    want = {k[0]: v for k, v in brute_removed(rows).items()}
+    assert got == want and sum(map(bool, want.values())) == 20
+
+
+def test_texts_of_with_a_full_and_a_wide_bitmap(spark, monkeypatch):
+    rng = random.Random(16)
+    lines = [prose(rng, 12) for _ in range(200)]
+    docs = documents(spark, [(i, "\n".join(lines[i : i + 20])) for i in range(0, 200, 10)])
+    key = F.unhex(F.md5("norm"))
+    asked = spark.createDataFrame([(x,) for x in lines[::7]], "norm string").select(key.alias("key")).select(line_dedup.node_of().alias("node"))
+    for bits in (64, 1 << 16):
+        monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
+        got = line_dedup.texts_of(docs, asked).select("norm", (F.col("key") == key).alias("same")).collect()
+        assert sorted(r["norm"] for r in got) == sorted(lines[::7]) and all(r["same"] for r in got)
