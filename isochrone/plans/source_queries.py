@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.spark import shared_dir
 from ..operators import backtest as B
 from ..operators import transforms as T
+from ..sources import catalogue as C
 from ..sources import ingest as I
 from ..sources import landing as L
 from ..sources import layers as Y
@@ -421,3 +422,56 @@ def result_sink(spark, sf):
         part = L.scan_series(spark, f"{root}/{fmt}", fmt, "run long, sharpe double").select(F.lit(fmt).alias("fmt"), "run", "sharpe")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("index_rows", n)
+
+
+# --- reading by name --------------------------------------------------------------------------
+
+
+def catalogue_specs(spark, sf):
+    """Per supplier a stored close, its returns over one and two days, their difference, and a volatility."""
+    key = F.col("s_suppkey").cast("string")
+    none = F.lit(None)
+
+    def specs(suffix, layer, transformation=none, source=none, sources=none, window=none, annualised=none):
+        return S.table(spark, sf, "supplier").select(
+            F.concat(F.lit("S"), key, F.lit(suffix)).alias("name"), F.lit(layer).alias("layer"),
+            (F.when(F.col("s_suppkey") % 3 == 0, "ALPHA").otherwise("Beta") if layer == "raw" else none).cast("string").alias("source"),
+            none.cast("string").alias("series_id"), (F.concat(F.lit("S"), key) if layer == "raw" else none).cast("string").alias("ticker"),
+            F.lit("daily").alias("frequency"), F.lit("daily").alias("source_frequency"), transformation.cast("string").alias("transformation"),
+            source.cast("string").alias("source_variable"), sources.cast("array<string>").alias("sources"), window.cast("int").alias("window"), annualised.cast("boolean").alias("annualised"))
+
+    of = lambda suffix: F.concat(F.lit("S"), key, F.lit(suffix))
+    parts = [specs("_CLOSE", "raw"), specs("_RET", "transformed", F.lit("log_return"), of("_CLOSE"), window=F.lit(1)), specs("_RET2", "transformed", F.lit("log_return"), of("_CLOSE"), window=F.lit(2)),
+        specs("_GAP", "transformed", F.lit("difference"), sources=F.array(of("_RET"), of("_RET2"))), specs("_VOL", "transformed", F.lit("rolling_vol"), of("_GAP"), window=F.col("s_suppkey") % 3 + 4, annualised=F.lit(True))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_CHAIN = [("c", "SELECT *, CAST(ticker[2:] AS BIGINT) AS k FROM st WHERE ts BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"),
+    ("r", "SELECT k, ts, ln(close / lag(close) OVER w) AS r1, ln(close / lag(close, 2) OVER w) AS r2 FROM c WINDOW w AS (PARTITION BY k ORDER BY ts)"),
+    ("g", "SELECT k, ts, r1, r1 - r2 AS d FROM r"),
+    ("v", "SELECT k, ts, r1, d, CASE k % 3 " + " ".join(f"WHEN {i} THEN CASE WHEN count(d) OVER w{i} = {i + 4} THEN stddev_samp(d) OVER w{i} END" for i in range(3)) + " END * sqrt(252) AS vol FROM g WINDOW " + ", ".join(f"w{i} AS (PARTITION BY k ORDER BY ts ROWS BETWEEN {i + 3} PRECEDING AND CURRENT ROW)" for i in range(3))),
+    ("u", "SELECT 'S' || k || '_GAP' AS asset, ts, d AS x FROM v UNION ALL SELECT 'S' || k || '_VOL', ts, vol FROM v UNION ALL SELECT 'S' || k || '_CLOSE', ts, close FROM c"),
+    ("p", "SELECT asset, CAST(date_trunc('month', ts) AS DATE) AS q, max_by(x, ts) AS x FROM u WHERE x IS NOT NULL GROUP BY 1, 2"),
+    ("s", "SELECT asset, min(q) AS lo FROM p GROUP BY 1"), ("m", "SELECT asset, CAST(unnest(generate_series(lo, DATE '1998-12-31', INTERVAL 1 MONTH)) AS DATE) AS q FROM s")]
+
+
+@query("catalogue_read", ctes("supp_d", STORE_SERIES, *_CHAIN) + f"SELECT m.asset, {sday('last_day(m.q)', 'ts')}, {rnd_sql('p.x')} AS value FROM m LEFT JOIN p USING (asset, q)")
+def catalogue_read(spark, sf):
+    """Monthly values of stored closes, of differences of their returns, and of volatilities of these: a chain of
+    three transformations, computed in a first read and found in the derived layer by the second."""
+    store = new_store(spark)
+    names = C.Catalogue(spark, store, catalogue_specs(spark, sf), store_series(spark, sf))
+    wanted = names.specs.filter("name LIKE '%GAP' OR name LIKE '%VOL' OR name LIKE '%CLOSE'")
+    names.get(wanted, "1996-01-01", "1998-12-31")
+    return edge(names.get(wanted, "1996-01-01", "1998-12-31", "monthly"), "asset", "ts", "value")
+
+
+@query("fetch_or_load", ctes("supp_d", STORE_SERIES, *_BOUNDS[:1]) + f"SELECT DISTINCT st.source, st.ticker, {sday('st.ts', 'ts')}, st.close FROM st JOIN rq ON st.ticker = rq.ticker AND st.source = rq.source AND st.ts BETWEEN rq.a AND rq.b")
+def fetch_or_load(spark, sf):
+    """Rows of every supplier's request: one source is stored, the other only landed."""
+    store, series = new_store(spark), store_series(spark, sf)
+    store.write_raw(series.filter("source = 'alpha'"))
+    return edge(I.fetch_or_load(store, series, requests(spark, sf)), "source", "ticker", "ts", "close", exact=("close",))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions.frequency import publication_lag_col
-from ..functions.spark import materialise
+from ..functions.spark import materialise, require_none
 from ..operators.clean import clean_series
 from .layers import LayerStore
 
@@ -77,3 +77,26 @@ def incremental_ingest(store: LayerStore, landing: DataFrame, requests: DataFram
         .when(F.col("_cleaned"), "stored").otherwise("raw_only")
     )
     return checked.join(guard, KEY, "left").join(kept, KEY, "left").select(*requests.columns, status.alias("status"))
+
+
+def fetch_or_load(
+    store: LayerStore, landing: DataFrame, requests: DataFrame, layer: str = "raw", force_refresh: bool = False, fill_limit: int = 3, strict: bool = False
+) -> DataFrame:
+    """Rows of the wanted layer for ``requests(source, ticker, frequency, start, end)``, stored first where they
+    are not yet: all requests in one pass, a row once however many requests it answers.
+
+    A request that cannot be served (nothing landed, a refused replacement, in the adjusted layer a series that
+    cleaning refused) gives no rows; with ``strict`` it is an error that names the series.
+    """
+    if layer not in ("raw", "adjusted"):
+        raise ValueError(f"rows are served from the raw or the adjusted layer, not from {layer!r}.")
+    served = materialise(incremental_ingest(store, landing, requests, force_refresh, fill_limit), "served")
+    if strict:
+        refused = ["no_data", "rejected", *(["raw_only"] if layer == "adjusted" else [])]
+        require_none(served.filter(F.col("status").isin(refused)).select(*KEY, "status"), "series that cannot be served")
+    if not store.exists(layer):
+        return landing.limit(0)
+    rows = store.read(layer, version=CLEAN_VERSION if layer == "adjusted" else None)
+    asked = requests.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("start").alias("_start"), F.col("end").alias("_end"))
+    inside = [F.col(k) == F.col(f"_{k}") for k in KEY] + [F.col("ts") >= F.col("_start"), F.col("ts") < F.date_add("_end", 1)]
+    return rows.join(asked, inside, "left_semi")
