@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import frequency as Q
+from ..functions.spark import materialise
+from ..operators import combine as W
 from ..operators import evaluate as E
 from ..operators import panel as P
 from ..operators import reports as RP
@@ -390,3 +392,65 @@ def signal_metrics_single(spark, sf):
 def cross_ic_unbounded(spark, sf):
     """Rank correlation per date without any bound on the cross-section."""
     return edge(cross_ic(momentum_pairs(spark, sf), ["horizon", "ts"], "signal", "fwd"), "ts", "ic")
+
+
+# --- weights of signals -----------------------------------------------------------------------
+
+FORMATIONS = list(range(1, 9))
+PAST = dict(window=24, lag=2, shrink=0.5, least=12)
+
+
+def formation_signals(spark, sf):
+    """Eight signals: past returns over one to eight months, all known a month later."""
+    n = {"_lag": F.lag("value", 1), **{f"m{f}": F.lag("value", 1 + f) for f in FORMATIONS}}
+    rows = with_windows(lagged_monthly(spark, sf), ["asset"], lambda w: {k: c.over(w) for k, c in n.items()}, before=9)
+    each = F.explode(F.array(*[F.struct(F.lit(f"m{f}").alias("signal"), (F.try_divide(F.col("_lag"), F.col(f"m{f}")) - 1).alias("value")) for f in FORMATIONS])).alias("_s")
+    return rows.select("ts", "asset", each).select("_s.signal", "ts", "asset", "_s.value")
+
+
+def formation_ic(spark, sf):
+    fwd = E.forward_return(E.log_returns_panel(_prices(spark, sf)), [1])
+    named = formation_signals(spark, sf).withColumnRenamed("signal", "config")
+    return materialise(E.ic_by_date(E.paired(named, fwd), ["config"], _suppliers(spark, sf)).withColumnRenamed("config", "signal"), "formation-ic")
+
+
+def _weights_sql() -> list[tuple[str, str]]:
+    """The trailing moments of the IC, then the eliminations column by column."""
+    k = len(FORMATIONS)
+    lag = "lag(value, {}) OVER (PARTITION BY asset ORDER BY ts)"
+    returns = " UNION ALL ".join(f"SELECT 'm{f}' AS signal, ts, asset, {div_sql(lag.format(1), lag.format(1 + f))} - 1 AS v FROM lm_x" for f in FORMATIONS)
+    steps = [*LAGGED, ("fs", returns), *forward_sql([1]), ("fp", "SELECT s.signal AS sg, s.ts, s.asset, s.v AS signal, f.fwd FROM fs s JOIN fwd f ON f.ts = s.ts AND f.asset = s.asset WHERE s.v IS NOT NULL AND f.fwd IS NOT NULL"),
+        ("fr", f"SELECT sg, ts, {rank_sql('sg, ts', 'signal')} AS a, {rank_sql('sg, ts', 'fwd')} AS b FROM fp"), ("fi", f"SELECT sg, ts, {rank_corr_sql('a', 'b')} AS ic FROM fr GROUP BY 1, 2")]
+    xs = [f"x{i}" for i in range(k)]
+    steps.append(("wd", "SELECT ts, " + ", ".join(f"max(ic) FILTER (sg = 'm{f}') AS x{i}" for i, f in enumerate(FORMATIONS)) + " FROM fi GROUP BY ts"))
+    steps.append(("wk", "SELECT ts, " + ", ".join(f"CASE WHEN {' + '.join(xs)} IS NOT NULL THEN {x} END AS {x}" for x in xs) + " FROM wd"))
+    frame = f"(ORDER BY ts ROWS BETWEEN {PAST['window'] + PAST['lag'] - 1} PRECEDING AND {PAST['lag']} PRECEDING)"
+    steps.append(("sm", "SELECT ts, count(x0) OVER w AS n, " + ", ".join([f"sum(x{i}) OVER w AS s{i}" for i in range(k)] + [f"sum(x{i} * x{j}) OVER w AS p{i}_{j}" for i in range(k) for j in range(k)]) + f" FROM wk WINDOW w AS {frame}"))
+    cov = lambda i, j: f"(p{i}_{j} - s{i} * s{j} / n) / nullif(n - 1, 0)"
+    shrunk = [f"{cov(i, j)}{'' if i == j else ' * ' + repr(1 - PAST['shrink']) + '::DOUBLE'} AS c{i}_{j}" for i in range(k) for j in range(k)]
+    means = [f"s{i} / nullif(n, 0) AS c{i}_{k}" for i in range(k)]
+    steps.append(("e0", "SELECT ts, n, " + ", ".join([f"s{i} / nullif(n, 0) / nullif(sqrt({cov(i, i)}), 0) AS icir{i}" for i in range(k)] + shrunk + means) + " FROM sm"))
+    for p in range(k):
+        scaled = lambda j, p=p: f"CASE WHEN c{p}_{p} > 0 THEN c{p}_{j} / c{p}_{p} END"
+        cells = [f"{scaled(j)} AS c{i}_{j}" if i == p else f"c{i}_{j} - c{i}_{p} * ({scaled(j)}) AS c{i}_{j}" for i in range(k) for j in range(k + 1)]
+        steps.append((f"e{p + 1}", "SELECT ts, n, " + ", ".join([f"icir{i}" for i in range(k)] + cells) + f" FROM e{p}"))
+    gross = {"icir": " + ".join(f"abs(icir{i})" for i in range(k)), "penalised": " + ".join(f"abs(c{i}_{k})" for i in range(k))}
+    raw = {"icir": "icir{i}", "penalised": f"c{{i}}_{k}"}
+    rows = [f"SELECT '{m}' AS method, 'm{f}' AS signal, ts, CASE WHEN n >= {PAST['least']} AND {gross[m]} > 0 THEN {raw[m].format(i=i)} / ({gross[m]}) ELSE {1 / k!r} END AS weight FROM e{k}" for m in gross for i, f in enumerate(FORMATIONS)]
+    return [*steps, ("wt", " UNION ALL ".join([*rows, *[f"SELECT 'equal', 'm{f}', ts, {1 / k!r} FROM e{k}" for f in FORMATIONS]]))]
+
+
+@query("signal_weights", ctes("supp_m", "supp_m_x", *_weights_sql()) + f"SELECT method, signal, {sday()}, {rnd_sql('weight')} AS weight FROM wt")
+def signal_weights(spark, sf):
+    ic, names, out = formation_ic(spark, sf), [f"m{f}" for f in FORMATIONS], None
+    for method in W.METHODS:
+        part = W.signal_weights(ic, names, method, **PAST).withColumn("method", F.lit(method))
+        out = part if out is None else out.unionByName(part)
+    return edge(out, "method", "signal", "ts", "weight")
+
+
+@query("weighted_combination", ctes("supp_m", "supp_m_x", *_weights_sql()) + f"SELECT {sday('s.ts', 'ts')}, s.asset, {rnd_sql('sum(s.v * w.weight)')} AS value FROM fs s JOIN wt w ON w.ts = s.ts AND w.signal = s.signal AND w.method = 'penalised' GROUP BY s.ts, s.asset")
+def weighted_combination(spark, sf):
+    """Eight momentum signals weighed by what they predicted in the two years before."""
+    weights = W.signal_weights(formation_ic(spark, sf), [f"m{f}" for f in FORMATIONS], **PAST)
+    return edge(W.weighted_combination(formation_signals(spark, sf), weights), "ts", "asset", "value")
