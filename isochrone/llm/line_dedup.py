@@ -331,12 +331,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; documents that had words and lose them all go."""
     per = removed_lines(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "removed")
-    own = docs.select(carried(docs), "doc_id", "text", F.xxhash64(text_of()).alias("own_hash"))
+    # the text travels once, inside the row
+    own = docs.select(carried(docs), "doc_id", F.xxhash64(text_of()).alias("own_hash"))
     joined = own.join(per, own["doc_id"].eqNullSafe(per["gone_id"]) & (own["own_hash"] == per["gone_hash"]), "left")
-    parts = F.split("text", "\n", -1)
+    text = F.col("row").getField("text")
+    parts = F.split(text, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "removed")
     same = F.col("removed").isNull()
-    joined = joined.withColumn("new_text", F.when(same, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")))
+    joined = joined.withColumn("new_text", F.when(same, text).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")))
     joined = joined.where(same | (F.size(split_words(F.col("new_text"))) > 0))
     out = {c: F.col("row").getField(c) for c in docs.columns}
     out["text"] = F.col("new_text")
