@@ -120,11 +120,13 @@ def asof_ffill_down(spark, sf):
     return edge(P.asof_ffill(S.nation_m(spark, sf), START, "1999-03-31", "daily"), "ts", "asset", "value", exact=("value",))
 
 
-@query("difference", ctes("nation_d", ("l", "SELECT ts, value FROM nation_d WHERE asset = 'NATION_3'"), ("r", "SELECT ts, value FROM nation_d WHERE asset = 'NATION_7'")) +
-    f"SELECT {sday('coalesce(l.ts, r.ts)', 'ts')}, l.value - r.value + 0.0 AS value FROM l FULL JOIN r ON l.ts = r.ts")
+# every nation less the one with the next number
+@query("difference", ctes("nation_d", ("nx", "SELECT 'NATION_' || ((CAST(asset[8:] AS INT) + 24) % 25) AS asset, ts, value FROM nation_d")) +
+    f"SELECT coalesce(l.asset, r.asset) AS asset, {sday('coalesce(l.ts, r.ts)', 'ts')}, l.value - r.value + 0.0 AS value FROM nation_d l FULL JOIN nx r ON l.ts = r.ts AND l.asset = r.asset")
 def difference(spark, sf):
     d = S.nation_d(spark, sf)
-    return edge(P.difference(d.filter("asset = 'NATION_3'"), d.filter("asset = 'NATION_7'")), exact=("value",))
+    before = F.concat(F.lit("NATION_"), ((F.substring("asset", 8, 9).cast("int") + 24) % 25).cast("string"))
+    return edge(P.difference(d, d.withColumn("asset", before), ["asset", "ts"]), exact=("value",))
 
 
 @query("publication_lag", ctes("prio_d", ("b", "SELECT asset, ts, value, CASE WHEN isodow(ts) > 5 THEN ts - (isodow(ts) - 5)::INT ELSE ts END AS f FROM prio_d"),
@@ -184,11 +186,10 @@ def signal_combine(spark, sf):
     return edge(P.signal_combine(both, 2), "ts", "asset", "value", exact=("value",))
 
 
-@query("instrument_union", "SELECT s_nationkey AS asset, min(s_suppkey) AS first_mention FROM supplier GROUP BY 1")
+@query("instrument_union", "SELECT s_nationkey AS asset, min(s_suppkey % 7) AS signal_order, arg_min(s_suppkey, (s_suppkey % 7, s_suppkey)) AS first_mention FROM supplier GROUP BY 1")
 def instrument_union(spark, sf):
     declared = S.table(spark, sf, "supplier").select((F.col("s_suppkey") % 7).alias("signal_order"), F.col("s_suppkey").alias("position"), F.col("s_nationkey").alias("asset"))
-    ordered = P.instrument_union(declared.withColumn("signal_order", F.lit(0)))
-    return ordered.select("asset", F.col("position").alias("first_mention"))
+    return P.instrument_union(declared).select("asset", "signal_order", F.col("position").alias("first_mention"))
 
 
 @query("instrument_prices", ctes("nation_d") + f"SELECT {sday()}, asset, value + 0.0 AS value FROM nation_d WHERE asset IN (SELECT n_name FROM nation WHERE n_regionkey = 2)")

@@ -149,11 +149,16 @@ def normalise_zscore(spark, sf):
     return edge(G.normalise_zscore(S.supp_m(spark, sf), 12), "ts", "asset", "value")
 
 
-@query("signal_causality", "SELECT CAST(NULL AS VARCHAR) AS ts, CAST(NULL AS BIGINT) AS asset, CAST(NULL AS DOUBLE) AS value WHERE false")
+@query("signal_causality", ctes("supp_d", ("nx", "SELECT asset, ts, lead(ts) OVER w AS later, lead(value) OVER w AS v FROM supp_d WINDOW w AS (PARTITION BY asset ORDER BY ts)"),
+    ("lk", "SELECT * FROM nx WHERE ts <= DATE '1999-06-30' AND later > DATE '1999-06-30'")) +
+    f"SELECT 'peeking' AS signal, {sday()}, asset, {rnd_sql('x')} AS value FROM (SELECT ts, asset, v AS x FROM lk UNION ALL SELECT ts, asset, v * 2 + 1 FROM lk) q")
 def signal_causality(spark, sf):
-    """Look-ahead audit of the momentum signal: no row may come out."""
-    n = _suppliers(spark, sf)
-    return edge(G.look_ahead_rows(lambda d: G.momentum_signal(d, 6, 1, n, bound=n), S.supp_d(spark, sf), "1999-06-30"), "ts", "asset", "value")
+    """Look-ahead audit: no row of the momentum signal may come out, and for the control, which takes the next value
+    of its series, the last row of every series before the cut must, as it was and as it became."""
+    n, cut, data = _suppliers(spark, sf), "1999-06-30", S.supp_d(spark, sf)
+    honest = G.look_ahead_rows(lambda d: G.momentum_signal(d, 6, 1, n, bound=n), data, cut).withColumn("signal", F.lit("momentum"))
+    peeking = G.look_ahead_rows(lambda d: with_windows(d, ["asset"], lambda w: {"value": F.lead("value", 1).over(w)}, after=1), data, cut).withColumn("signal", F.lit("peeking"))
+    return edge(honest.unionByName(peeking), "signal", "ts", "asset", "value")
 
 
 # --- scorecard parts --------------------------------------------------------------------------
@@ -322,7 +327,7 @@ _LAGGED_SIGNAL = ("sg", "SELECT 'base' AS signal_name, ts, asset, value FROM msi
 
 
 @query("metric_delta", scorecard_sql([*momentum_sql(), _LAGGED_SIGNAL], [1, 3], extra=[]) .replace("SELECT * FROM card", "") +
-    "SELECT b.horizon, round(abs(v.ic_mean - b.ic_mean), 5) + 0.0 AS delta_ic, v.n_observations - b.n_observations AS delta_n FROM card b JOIN card v ON v.horizon = b.horizon AND b.signal_name = 'base' AND v.signal_name = 'lagged'")
+    "SELECT b.horizon, round(abs(v.ic_mean - b.ic_mean), 5) + 0.0 AS delta_ic, round(abs(v.icir - b.icir), 5) + 0.0 AS delta_icir, v.n_observations - b.n_observations AS delta_n FROM card b JOIN card v ON v.horizon = b.horizon AND b.signal_name = 'base' AND v.signal_name = 'lagged'")
 def metric_delta(spark, sf):
     """Baseline signal against the same signal published one month later."""
     signal, prices, n = momentum(spark, sf), _prices(spark, sf), _suppliers(spark, sf)
@@ -330,7 +335,7 @@ def metric_delta(spark, sf):
     both = signal.withColumn("signal_name", F.lit("base")).unionByName(late.withColumn("signal_name", F.lit("lagged")))
     card = edge(E.signal_metrics_panel(both, prices, [1, 3], "monthly", ["signal_name"], n))
     delta = E.metric_delta(card.filter("signal_name = 'base'"), card.filter("signal_name = 'lagged'"), ["horizon"])
-    return edge(delta, "horizon", "delta_ic", "delta_n", digits=5)
+    return edge(delta, "horizon", "delta_ic", "delta_icir", "delta_n", digits=5)
 
 
 _CUSTOM = ctes("supp_m_x", *momentum_sql(), ("lr", "SELECT ts, asset, CASE WHEN lag(value) OVER w <> 0 THEN value / lag(value) OVER w - 1 END AS r FROM supp_m_x WINDOW w AS (PARTITION BY asset ORDER BY ts)"),
