@@ -1,13 +1,15 @@
 """Licence scan by a positional index of rare words.
 
 1. Every text is one array of words; ``occurrences`` keeps the places of words that licence templates
-   use, and the number of words: a few numbers per text that has any.
-2. The document frequencies of those words, over all texts, give their IDF. Each template is indexed
+   use, and the number of words: a few numbers per text that has any. Words common in prose are kept only
+   within ``NEAR`` places of another word of the vocabulary, as far as key phrases use them.
+2. The document frequencies of the vocabulary, over all texts, give its IDF. Each template is indexed
    under the two rarest words of its mandatory key phrase, so no text that has the phrase can be missed.
    Every place of the rarest word, less its position in the template, is a start where the template may
    stand; it is kept if the second word stands at its own relative position.
-3. Such starts are verified on the occurrences around them: the share of the template's words found in
-   place is the score, and a label needs the whole key phrase in place.
+3. Such starts are verified on the occurrences around them: the whole key phrase in place, common words
+   included, gives the label, however much of the notice around it stands there; the share of the
+   template's words found in place is the score.
 
 The index (templates, postings) is a constant of the program. All steps are expressions of one row but
 the document frequencies, which are counted map-side to at most one row per template word and task: no
@@ -54,11 +56,16 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", "use copy modify and or distribute this software"),
+    ("gpl-3.0", "gnu general public license as published by the free software foundation either version 3 of the license", "free software foundation either version 3 of the license"),
+    ("gpl-2.0", "gnu general public license as published by the free software foundation either version 2 of the license", "free software foundation either version 2 of the license"),
+    ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
 )
-#: Words too common in prose to be worth a place in the index, unless a phrase needs them.
-COMMON = frozenset("a and any are for in is of or the this to use with without by".split())
-#: Share of a template's words that must stand in place.
-SCORE = 0.8
+#: Words too common in prose to be worth a place in the index, unless a base phrase needs them.
+COMMON = frozenset("a and any are as at be by for from in into is may no of or the this to use will with without you".split())
+#: How far a common word of a key phrase is from a word of the vocabulary in the same phrase, at most.
+NEAR = 2
 
 
 def _vocabulary() -> list[str]:
@@ -70,9 +77,17 @@ def _vocabulary() -> list[str]:
 VOCABULARY = _vocabulary()
 
 
-def _places(text: str) -> list[tuple[int, str]]:
-    """Positions of the indexed words of a template."""
-    return [(i, w) for i, w in enumerate(text.split()) if w in set(VOCABULARY)]
+#: Common words that key phrases need.
+CONNECTING = sorted({w for _, _, k in TEMPLATES for w in k.split()} - set(VOCABULARY))
+
+
+def places(text: str, key: str) -> list[tuple[int, str, bool]]:
+    """Position, word, and whether the key phrase holds it: all words of the key phrase and the words of
+    the vocabulary around it."""
+    words, inside = text.split(), key.split()
+    at = next(i for i in range(len(words)) if words[i : i + len(inside)] == inside)
+    keyed = range(at, at + len(inside))
+    return [(i, w, i in keyed) for i, w in enumerate(words) if i in keyed or w in VOCABULARY]
 
 
 def _entries(places: list[tuple[int, str]]) -> str:
@@ -80,17 +95,19 @@ def _entries(places: list[tuple[int, str]]) -> str:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, hits: array of (pos, w) of the words in the vocabulary."""
+    """doc_id, n_words, hits: array of (pos, w) of the words in the vocabulary and, next to them, of the
+    common words of key phrases."""
     require(docs, "doc_id", "text")
     parts = F.split(F.lower(text_of()), SEPARATORS, -1)
     # a separator at the start leaves one empty part there, one at the end leaves one there
     rows = docs.select("doc_id", parts.alias("parts"))
     rows = rows.withColumn("skip", F.when(F.get("parts", F.lit(0)) == "", 1).otherwise(0))
     rows = rows.withColumn("empty_end", F.when((F.size("parts") > 1) & (F.element_at("parts", -1) == ""), 1).otherwise(0))
-    vocabulary = ", ".join("'" + w + "'" for w in VOCABULARY)
+    vocabulary, connecting = (", ".join("'" + w + "'" for w in words) for words in (VOCABULARY, CONNECTING))
+    near = " OR ".join(f"get(parts, i {d:+d}) IN ({vocabulary})" for d in range(-NEAR, NEAR + 1) if d)
     return rows.select(
         "doc_id", (F.size("parts") - F.col("skip") - F.col("empty_end")).cast("long").alias("n_words"),
-        F.expr(f"filter(transform(parts, (w, i) -> CASE WHEN w IN ({vocabulary}) THEN struct(i - skip AS pos, w AS w) END), x -> x IS NOT NULL)").alias("hits"),
+        F.expr(f"filter(transform(parts, (w, i) -> CASE WHEN w IN ({vocabulary}) OR w IN ({connecting}) AND ({near}) THEN struct(i - skip AS pos, w AS w) END), x -> x IS NOT NULL)").alias("hits"),
     )
 
 
@@ -100,6 +117,7 @@ def inverse_frequencies(hits: DataFrame) -> dict[str, float]:
 
     total = hits.count()
     words = hits.where(F.size("hits") > 0).select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("w"))
+    words = words.where(F.col("w").isin(VOCABULARY))
     found = {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count("*").alias("n")).collect()}
     return {w: math.log((1 + total) / (1 + found.get(w, 0))) for w in VOCABULARY}
 
@@ -116,12 +134,11 @@ def scan(hits: DataFrame, idf: dict[str, float]) -> DataFrame:
     postings: dict[str, list[str]] = {}
     contents, required = [], []
     for t, (_, text, key) in enumerate(TEMPLATES):
-        words, inside = text.split(), key.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(inside)] == inside)
-        keyed = [(i, w) for i, w in _places(text) if at <= i < at + len(inside)]
-        (p, w), (p2, w2) = sorted(keyed, key=lambda x: (-idf[x[1]], x[1]))[:2]
+        all_places = [(i, w) for i, w, _ in places(text, key)]
+        keyed = [(i, w) for i, w, in_key in places(text, key) if in_key]
+        (p, w), (p2, w2) = sorted(((i, w) for i, w in keyed if w in idf), key=lambda x: (-idf[x[1]], x[1]))[:2]
         postings.setdefault(w, []).append(f"struct({t} AS t, {p} AS p, '{w2}' AS w2, {p2} AS p2)")
-        contents.append(f"{t}, {_entries(_places(text))}")
+        contents.append(f"{t}, {_entries(all_places)}")
         required.append(f"{t}, {_entries(keyed)}")
     index = "map(" + ", ".join(f"'{w}', array({', '.join(e)})" for w, e in sorted(postings.items())) + ")"
     looked_up = ", ".join(f"'{w}'" for w in sorted(postings))
@@ -133,7 +150,7 @@ def scan(hits: DataFrame, idf: dict[str, float]) -> DataFrame:
     near = "transform(c.near, h -> struct(h.pos - c.s AS p, h.w AS w))"
     rows = rows.withColumn("matches", F.expr(f"""array_distinct(filter(transform(starts, c -> struct(c.t AS t, c.s AS s,
         size(array_intersect(element_at(map({', '.join(contents)}), c.t), {near})) / size(element_at(map({', '.join(contents)}), c.t)) AS share,
-        size(array_except(element_at(map({', '.join(required)}), c.t), {near})) = 0 AS keyed)), m -> m.keyed AND m.share >= {SCORE}))"""))
+        size(array_except(element_at(map({', '.join(required)}), c.t), {near})) = 0 AS keyed)), m -> m.keyed))"""))
     return rows.select("doc_id", "n_words", *[f"base_{i}" for i in range(len(PHRASES))], "matches")
 
 

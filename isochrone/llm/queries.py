@@ -174,9 +174,7 @@ def _licence_sql() -> str:
     base = ", ".join(f"({b}, '{label}', {len(p.split())}, {i}, '{w}')" for b, (p, label) in enumerate(licences.PHRASES) for i, w in enumerate(p.split()))
     rows = []
     for t, (label, text, key) in enumerate(licences.TEMPLATES):
-        words, inside = text.split(), key.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(inside)] == inside)
-        rows += [f"({t}, '{label}', {i}, '{w}', {int(at <= i < at + len(inside))})" for i, w in enumerate(words) if w in licences.VOCABULARY]
+        rows += [f"({t}, '{label}', {i}, '{w}', {int(in_key)})" for i, w, in_key in licences.places(text, key)]
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b(b, label, size, p, w) AS (VALUES {base}),
@@ -186,7 +184,7 @@ base AS (SELECT row_id, b.b, any_value(label) AS label, pos - p AS s FROM h JOIN
 based AS (SELECT row_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY row_id),
 sizes AS (SELECT t, count(*) AS n, sum(k) AS keys FROM t GROUP BY t),
 found AS (SELECT row_id, t.t, any_value(label) AS label, count(*) AS hit, sum(k) AS keyed FROM h JOIN t USING (w) GROUP BY row_id, t.t, pos - p),
-kept AS (SELECT row_id, label, hit / n AS share FROM found JOIN sizes USING (t) WHERE keyed = keys AND hit / n >= {licences.SCORE}::DOUBLE),
+kept AS (SELECT row_id, label, hit / n AS share FROM found JOIN sizes USING (t) WHERE keyed = keys),
 own AS (SELECT row_id, list(DISTINCT label) AS labels, max(share) AS share FROM kept GROUP BY row_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(based.labels), ','), '') AS base_labels,

@@ -121,6 +121,22 @@ def test_licences_equal_brute_force(spark):
     assert licences.scan_documents(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_whole_key_phrase_gives_the_label(spark):
+    labelled = {
+        "Apache License Version 2.0": "apache,apache-2.0", "see http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+        "GNU General Public License version 3": "gpl,gpl-3.0", "CC BY-NC 4.0": "cc-by,cc-by-nc", "CC BY-SA 4.0": "cc-by,cc-by-sa", "CC BY 4.0": "cc-by,cc-by-4.0",
+        "licensed under the MIT license": "mit,mit-reference", "Free Software Foundation, either version 2 of the License, or later": "gpl-2.0",
+        "Redistribution and use in source and binary forms": "bsd", "redistribution X Y source Z binary forms": "", "redistribution and use in source or binary forms": "",
+        "in no event will the authors be held liable": "zlib", "in no event will some authors be held liable": "", "a mit license": "mit",
+    }
+    rows = [(i, t) for i, t in enumerate(labelled)] + [(100 + i, f"before it\n{t} and after") for i, t in enumerate(labelled)]
+    got = {r["doc_id"]: r["labels"] for r in licences.scan_documents(documents(spark, rows)).collect()}
+    assert [got[i] for i in range(len(labelled))] == list(labelled.values()) == [got[100 + i] for i in range(len(labelled))]
+    for _, text, key in licences.TEMPLATES:  # what ``occurrences`` keeps has every common word of a key phrase
+        keyed = [(i, w) for i, w, in_key in licences.places(text, key) if in_key]
+        assert all(w in licences.VOCABULARY or any(0 < abs(i - j) <= licences.NEAR and v in licences.VOCABULARY for j, v in keyed) for i, w in keyed)
+
+
 def test_imatch_edits_and_likeness(spark, monkeypatch):
     monkeypatch.setattr(imatch, "BLOCK_ROWS", 7)  # several blocks on a small table
     rng = random.Random(6)
