@@ -3,17 +3,19 @@
 The score of a document is linear in features of its text, and the probability that one document is
 preferred over another is the logistic function of the difference of their scores. The weights minimise
 that logistic loss, with an L2 term, over pairs of a better and a worse labelled document: no intercept,
-because only differences count. The score is then cut at a quantile of the labelled documents' scores,
-the share of low-quality ones, so about as many documents are rejected as the labels reject.
+because only differences count. The score is then cut at a quantile of the scores of all labelled documents
+that are not held out, the share of low-quality ones, so about as many are rejected as the labels reject.
 
 Features are DataFrame expressions of one row, so every text is measured whole, in its own task, and
-scoring is one more expression: no shuffle of documents at all. The fit sees a bounded sample of labelled
-rows (``SAMPLE`` per class, those with the smallest hash of ``doc_id``), a few numbers each, and runs in
-the driver on at most ``PAIRS`` pairs; its cost does not depend on the input.
+scoring is one more expression: no shuffle of documents at all. Labelled documents are reduced to one row
+per label, id and features, a few numbers each, and written once. The fit sees a bounded sample of those
+(``SAMPLE`` per class, each class on its own, those with the smallest hash) and runs in the driver on at
+most ``PAIRS`` pairs; its cost does not depend on the input. The quantile is taken over all of them.
 
 Defined results: a NULL or empty text has no words and all its shares are 0; it gets a score like any
-other. Repeated rows are scored alike. Labels without a document or with a NULL label or ``doc_id``
-teach nothing; a ``doc_id`` labelled twice counts twice. Without labels of both kinds all weights are 0
+other. Repeated rows are scored alike and teach once, so an id with very many rows cannot push a class
+out of the fit. Labels without a document or with a NULL label or ``doc_id`` teach nothing; a repeated
+label counts once, contrary labels of an id count in both classes. Without labels of both kinds all weights are 0
 and every document stands at the threshold. An empty table gives an empty result. Other columns, also
 columns named like a feature, are not read.
 """
@@ -26,15 +28,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import require, stored
 from .quality_rules import measure
 
 SAMPLE = 10_000
 PAIRS = 200_000
 #: The score of a document at the quantile.
 CUT = 0.3
-#: Of the share of low-quality labels, how much is rejected: a little less, in favour of clean documents.
-REJECT = 0.985
+#: Relative precision of the rank of the quantile.
+RANKS = 100_000
 
 #: Feature name -> SQL over the measurements of ``quality_rules.measure``.
 FEATURES = {
@@ -110,29 +112,31 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
     return w / scale
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """quality and features of every labelled document that is not held out: one row per id, label and
+    features, combined map-side, so that the rows of a hot id are few when they leave their task."""
+    require(docs, "doc_id", "text")
+    require(labels, "doc_id", "quality")
+    usable = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality")).where("label_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("label_id"))).distinct()
+    texts = docs.select("doc_id", "text").join(usable, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
+    return features(texts, keep=("doc_id", "quality")).distinct()
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the labelled documents that are not held out."""
-    require(labels, "doc_id", "quality")
-    usable = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality")).where("label_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("label_id")))
-    count = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    picked = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("label_id"), "label_id").limit(sample) for q in (0, 1)]
-    # at most 2 * sample rows of two numbers: small enough to send to every executor
-    chosen = F.broadcast(picked[0].union(picked[1]))
-    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
-    rows = features(texts, keep=("doc_id", "quality")).orderBy("quality", "doc_id", *FEATURES).limit(4 * sample).toPandas()
-    x, y = rows[list(FEATURES)].to_numpy("float64"), rows["quality"].to_numpy()
-    weights = fit_pairs(x, y)
+    rows = stored(labelled_features(docs, labels), "classifier-rows")
+    order = [F.xxhash64("doc_id", *FEATURES), F.col("doc_id"), *[F.col(f) for f in FEATURES]]
+    picked = [rows.where(F.col("quality") == q).orderBy(*order).limit(sample).toPandas() for q in (0, 1)]
+    x = np.concatenate([p[list(FEATURES)].to_numpy("float64").reshape(-1, len(FEATURES)) for p in picked])
+    weights = fit_pairs(x, np.repeat([0, 1], [len(p) for p in picked]))
+    model = Model(tuple(weights.tolist()), 0.0)
     if not weights.any():
-        return Model(tuple(weights.tolist()), 0.0)
-    # the sample has the classes in another proportion than the labels: weigh them back
-    raw = x @ weights
-    each = np.where(y == 1, count[1] / max((y == 1).sum(), 1), count[0] / max((y == 0).sum(), 1))
-    order = np.argsort(raw, kind="stable")
-    below = np.cumsum(each[order])
-    at = int(np.searchsorted(below, REJECT * count[0] / (count[0] + count[1]) * below[-1]))
-    at = min(max(at, 0), len(order) - 1)
-    threshold = (raw[order[max(at - 1, 0)]] + raw[order[at]]) / 2
-    return Model(tuple(weights.tolist()), float(threshold))
+        return model
+    raw = stored(rows.select("quality", model.raw().alias("raw")), "classifier-raw")
+    low = raw.agg(F.avg(1 - F.col("quality"))).first()[0]
+    below = raw.agg(F.percentile_approx("raw", low, RANKS)).first()[0]
+    above = raw.where(F.col("raw") > below).agg(F.min("raw")).first()[0]
+    return Model(model.weights, (below + (below if above is None else above)) / 2)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -5,6 +5,7 @@ import html
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -36,6 +37,39 @@ def test_classifier_separates_held_out_documents(spark):
     assert quality_classifier.score(docs.limit(0), model).count() == 0
 
 
+def brute_model(rows, labels, model):
+    """Quantile of the raw scores over all labelled rows that are not held out, and scores, in Python."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    raw = lambda f: sum(f[n] * w for n, w in zip(quality_classifier.FEATURES, model.weights, strict=True))
+    known = sorted({(raw(f), i, q) for i, f in rows for j, q in labels if i == j and not held(i)})
+    low = sum(q == 0 for _, _, q in known)
+    cut = known[max(low, 1) - 1][0]
+    above = min((r for r, _, _ in known if r > cut), default=cut)
+    shift = (cut + above) / 2 - np.log(0.3 / 0.7)
+    return (cut + above) / 2, [1 / (1 + np.exp(-(raw(f) - shift))) for _, f in rows]
+
+
+def test_classifier_threshold_covers_all_labels_and_hot_ids_keep_both_classes(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(1, 161):
+        text = prose(rng, rng.randint(20, 60))
+        bad = i % 3 == 0
+        rows.append((i, text.replace(" ", " # ", 8) if bad else text))
+        labels.append((i, 0 if bad else 1))
+    hot = next(i for i, q in labels if q == 0 and zlib.crc32(str(i).encode()) % 5)
+    rows += [(hot, "| " * rng.randint(1, 99) + prose(rng, 20)) for _ in range(60)] + [(hot, "aa")] * 40
+    docs = documents(spark, rows)
+    model = quality_classifier.fit(docs, spark.createDataFrame(labels * 2, "doc_id long, quality int"), sample=10)
+    assert any(model.weights)
+    measured = [(r["doc_id"], r.asDict()) for r in quality_classifier.features(docs).collect()]
+    threshold, scores = brute_model(measured, labels, model)
+    assert model.threshold == pytest.approx(threshold)
+    got = quality_classifier.score(docs, model).collect()
+    assert sorted((r["doc_id"], round(r["score"], 9)) for r in got) == sorted((i, round(s, 9)) for (i, _), s in zip(measured, scores, strict=True))
+    assert {r["predicted"] for r in got} == {0, 1}
+
+
 def test_pair_fit_orders_by_preference():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
