@@ -133,33 +133,34 @@ def op1(spark, sf_dir):
 
 
 def _url_sql() -> str:
-    """Rules, links and the rounds of propagation as one query."""
+    """Rules, links and the rounds of propagation, far beyond convergence, as one query."""
     fits = lambda text: f"((host = '{text[: text.index('/')]}' OR ends_with(host, '.{text[: text.index('/')]}')) AND starts_with(path, '{text[text.index('/'):]}'))"
     longest = sorted(url_filter.RULES, key=lambda r: -len(r[1]))
     rule = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in longest) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{v}'" for v, t in longest) + " END"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    d, threshold = url_filter.DAMPING, url_filter.THRESHOLD
-    rounds = ["r0 AS (SELECT kind, host, seed AS rank FROM seeds)"]
-    for i in range(url_filter.ROUNDS):
-        rounds.append(f"""r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(part) AS rank FROM (
-          SELECT kind, dst AS host, share * rank * {d}::DOUBLE AS part FROM shares JOIN r{i} r USING (kind) WHERE r.host = src
-          UNION ALL SELECT kind, host, seed FROM seeds) q GROUP BY kind, host)""")
+    d, threshold, tolerance = url_filter.DAMPING, url_filter.THRESHOLD, url_filter.TOLERANCE
+    host, path = lower.format("regexp_extract({rest}, '^[^/?#]*', 0, 's')"), "regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1, 's')"
     return rf"""
-WITH u AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, html, {lower.format("regexp_extract(rest, '^[^/?#]*', 0, 's')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
+WITH RECURSIVE u AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, {host.format(rest="rest")} AS host, {path.format(rest="rest")} AS path FROM u),
 j AS MATERIALIZED (SELECT page_id, html, host, path, {rule} AS rule, {verdict} AS rule_verdict FROM p),
-hosts AS (SELECT host, count(*) AS pages, count(*) FILTER (rule_verdict = 'allow') AS allowed, count(*) FILTER (rule_verdict = 'block') AS blocked FROM j WHERE host <> '' GROUP BY host),
-l AS (SELECT host AS src, {lower.format("substr(link, 4)")} AS dst, count(*) AS n FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*[a-z]+(://[^/?#"''\s>]+)', 1)) AS link FROM j) q GROUP BY ALL),
-a AS (SELECT host AS src, regexp_replace(host, '^[^.]*\.', '') AS dst FROM hosts),
-b AS (SELECT src, dst, n FROM l UNION ALL SELECT src, dst, 1 FROM a UNION ALL SELECT dst, src, 1 FROM a),
-edges AS (SELECT src, dst, sum(n) AS n FROM b WHERE src <> dst AND src IN (SELECT host FROM hosts) AND dst IN (SELECT host FROM hosts) GROUP BY ALL),
+pl AS (SELECT host AS src, substr(link, 4) AS rest FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*[a-z]+(://[^"''\s>]+)', 1)) AS link FROM j) q),
+l AS MATERIALIZED (SELECT src, {host.format(rest="rest")} AS host, {path.format(rest="rest")} AS path, count(*) AS n FROM pl GROUP BY ALL),
+own AS (SELECT host, count(*) AS pages, count(*) FILTER (rule_verdict = 'allow') AS allowed, count(*) FILTER (rule_verdict = 'block') AS blocked FROM j WHERE host <> '' GROUP BY host),
+seen AS (SELECT host, {verdict} AS rule_verdict FROM (SELECT DISTINCT host, path FROM l) q WHERE host <> '' AND host NOT IN (SELECT host FROM own)),
+hosts AS MATERIALIZED (SELECT * FROM own UNION ALL SELECT host, 0, count(*) FILTER (rule_verdict = 'allow'), count(*) FILTER (rule_verdict = 'block') FROM seen GROUP BY host),
+up AS (SELECT host AS src, unnest(list_transform(range(2, len(w) + 1), lambda i: array_to_string(w[i:], '.'))) AS dst FROM (SELECT host, string_split(host, '.') AS w FROM hosts) q),
+a AS (SELECT src, arg_max(dst, length(dst)) AS dst FROM up WHERE dst IN (SELECT host FROM hosts) GROUP BY src),
+b AS (SELECT src, host AS dst, n FROM l UNION ALL SELECT src, dst, 1 FROM a UNION ALL SELECT dst, src, 1 FROM a),
+edges AS (SELECT src, dst, sum(n) AS n FROM b WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
 flow AS (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
 seeds AS MATERIALIZED (SELECT 'trust' AS kind, host, allowed::DOUBLE AS seed FROM hosts UNION ALL SELECT 'distrust', host, blocked::DOUBLE FROM hosts),
 shares AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM flow),
-{", ".join(rounds)},
-final AS (SELECT host, sum(CASE kind WHEN 'trust' THEN rank ELSE 0 END) AS trust, sum(CASE kind WHEN 'distrust' THEN rank ELSE 0 END) AS distrust FROM r{url_filter.ROUNDS} GROUP BY host)
-SELECT page_id, j.host, path, rule, coalesce(rule_verdict, CASE WHEN round(distrust - trust - {threshold}::DOUBLE * pages, 6) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+steps AS (SELECT 0 AS i, kind, host, seed AS part FROM seeds UNION ALL
+  SELECT steps.i + 1, steps.kind, dst, sum(share * part * {d}::DOUBLE) FROM steps JOIN shares ON shares.kind = steps.kind AND shares.src = steps.host WHERE steps.i < 250 AND part > 0 GROUP BY steps.i, steps.kind, dst),
+final AS (SELECT host, sum(CASE kind WHEN 'trust' THEN part ELSE 0 END) AS trust, sum(CASE kind WHEN 'distrust' THEN part ELSE 0 END) AS distrust FROM steps GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(rule_verdict, CASE WHEN distrust - trust - {threshold}::DOUBLE * pages > {tolerance}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN (SELECT * FROM hosts JOIN final USING (host)) h ON j.host = h.host
 """
 
