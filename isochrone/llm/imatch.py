@@ -12,7 +12,10 @@
 
 Texts meet the lexicon inside their task; only the kept terms (64-bit hashes) are grouped per row.
 
-Defined results: NULL text is empty; empty texts share the fingerprint of nothing; rows without
+4. A text with words, none of them in the lexicon, has nothing to compare: its fingerprint is a marked hash
+   of the whole text, so it agrees with equal texts only.
+
+Defined results: NULL text is empty; texts without a word share the fingerprint of nothing; rows without
 ``doc_id`` come last in the order; rows with equal ``doc_id`` are ordered by their text, so repeated
 rows follow each other; an empty table gives an empty result; other columns are not read.
 """
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require, split_words, stored, text_of
+from .common import SPACE_CHARS, require, split_words, stored, text_of
 
 LOW, HIGH = 0.001, 0.2
 #: Randomised lexicons: how many for each power of two by which they are thinned out.
@@ -63,7 +66,7 @@ def hashes_of(terms: Column) -> Column:
 def fingerprints(texts: DataFrame, kept: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """For rows with a unique ``key``: per text column the hashes, named like it with ``_hashes``.
 
-    Rows without any kept term in any of the texts are left out; all their hashes are 0.
+    Rows without any kept term in any of the texts are left out; a text without any has hashes of 0.
     """
     each = F.array(*[F.struct(F.lit(i).alias("kind"), _terms(F.col(c)).alias("terms")) for i, c in enumerate(columns)])
     exploded = texts.select(*key, F.explode(each).alias("t")).select(*key, "t.kind", F.explode("t.terms").alias("term"))
@@ -73,8 +76,13 @@ def fingerprints(texts: DataFrame, kept: DataFrame, key: list[str], columns: lis
     return gathered.select(*key, *[hashes_of(F.col(f"terms_{i}")).alias(f"{c}_hashes") for i, c in enumerate(columns)])
 
 
-def empty_hashes() -> Column:
-    return F.array(*[F.lit(0).cast("long")] * (len(SUBSETS) + 1))
+def outside_hash(text: Column) -> Column:
+    """What stands for a text none of whose words are in the lexicon; 0 for a text without words."""
+    return F.when(F.btrim(text, F.lit(SPACE_CHARS)) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(text, F.lit("outside")))
+
+
+def outside_hashes(outside: Column) -> Column:
+    return F.array(outside, *[F.lit(0).cast("long")] * len(SUBSETS))
 
 
 def printed(hashes: Column) -> Column:
@@ -106,14 +114,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.col("text_hash"), F.col("text")]
     inside = Window.partitionBy("block").orderBy(*order)
     rows = rows.withColumn("block", where.cast("int"))
-    # one text per block, at most MOST_BLOCKS + 1: the first of the block after each, for the last the first
+    # one text per block: the first of the block after each, for the last the first
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not("doc_id").alias("down"), "text_hash", "text"))
     firsts = rows.groupBy("block").agg(first.alias("first")).select(F.col("block").alias("first_block"), F.col("first.text").alias("first_text"))
     around = Window.orderBy(F.col("first_block").desc())
     every = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = stored(firsts.select(F.col("first_block").alias("block"), F.coalesce(F.lead("first_text").over(around), F.first("first_text").over(every)).alias("block_next")), "imatch-firsts")
     marked = rows.withColumns({"next_text": F.lead("text").over(inside), "place": F.row_number().over(inside)})
-    return marked.join(F.broadcast(following), "block").select("block", "place", "doc_id", "text", F.coalesce("next_text", "block_next").alias("next_text"))
+    # both sides are partitioned by block; whole texts have no size bound, so no broadcast is asked for
+    return marked.join(following, "block").select("block", "place", "doc_id", "text", F.coalesce("next_text", "block_next").alias("next_text"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -129,9 +138,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = with_next(docs)
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     prints = fingerprints(rows, kept, ["block", "place"], ["text", "edited"])
-    facts = rows.select("block", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    facts = rows.select("block", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), outside_hash(F.col("text")).alias("text_outside"), outside_hash(F.col("edited")).alias("edited_outside"))
     whole = facts.join(prints, ["block", "place"], "left")
-    whole = whole.select("block", "place", "doc_id", "n_chars", "edited_sha256", F.coalesce("text_hashes", empty_hashes()).alias("hashes"), F.coalesce("edited_hashes", empty_hashes()).alias("edited_hashes"))
+    hashes = {c: F.when(F.element_at(f"{c}_hashes", 1) != 0, F.col(f"{c}_hashes")).otherwise(outside_hashes(F.col(f"{c}_outside"))) for c in ("text", "edited")}
+    whole = whole.select("block", "place", "doc_id", "n_chars", "edited_sha256", hashes["text"].alias("hashes"), hashes["edited"].alias("edited_hashes"))
     whole = stored(whole, "imatch-prints")
     inside = Window.partitionBy("block").orderBy("place")
     ahead = whole.withColumn("next_hashes", F.lead("hashes").over(inside))

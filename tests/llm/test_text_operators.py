@@ -205,6 +205,38 @@ def test_imatch_edits_and_likeness(spark, monkeypatch):
     assert imatch.fingerprint_documents(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_imatch_hashes_and_likeness_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(3, 25))) for i in range(1, 61)]
+    # words that all documents have are outside the band; so are those of the last texts, but for equal ones
+    rows = [(i, t + " everywhere") for i, t in rows] + [(70, "everywhere"), (71, "everywhere everywhere"), (72, "everywhere"), (73, ""), (74, " "), (75, None)]
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r for r in imatch.fingerprint_documents(docs).withColumn("near", imatch.likeness(F.col("hashes"), F.col("next_hashes"))).withColumn("print", imatch.printed(F.col("hashes"))).collect()}
+    assert len({got[i]["print"] for i in (70, 71)}) == 2 and got[70]["print"] == got[72]["print"]
+    assert got[71]["near"] == 0.0 and got[73]["near"] == 0.0 and got[74]["near"] == got[75]["near"] == 1.0
+    assert len({got[i]["print"] for i in (73, 74, 75)}) == 1
+    found = {}
+    for _, t in rows:
+        for w in set(words(t)):
+            found[w] = found.get(w, 0) + 1
+    kept = {w for w, n in found.items() if imatch.LOW * len(rows) <= n <= imatch.HIGH * len(rows)}
+    assert "everywhere" not in kept and len(kept) > 20
+    # the hash function itself is Spark's: terms, subsets and their hashes are recomputed from its values
+    vocabulary = spark.createDataFrame([(w,) for w in kept], "w string").withColumn("t", F.xxhash64("w"))
+    member = vocabulary.select("w", "t", *[(F.expr(f"xxhash64(t, {imatch.SEED + i})") % (1 << level) == 0).alias(f"m{i}") for i, level in enumerate(imatch.SUBSETS)])
+    member = {r["w"]: (r["t"], [r[f"m{i}"] for i in range(len(imatch.SUBSETS))]) for r in member.collect()}
+    inside = [(i, sorted(member[w][0] for w in set(words(t)) & kept), [sorted(member[w][0] for w in set(words(t)) & kept if member[w][1][k]) for k in range(len(imatch.SUBSETS))]) for i, t in rows]
+    wanted = spark.createDataFrame([(i, [full, *subsets]) for i, full, subsets in inside], "doc_id long, sets array<array<long>>")
+    wanted = {r["doc_id"]: r["h"] for r in wanted.select("doc_id", F.transform("sets", lambda x: F.when(F.size(x) > 0, F.xxhash64(x)).otherwise(0)).alias("h")).collect()}
+    order = sorted((i for i, _ in rows), reverse=True)
+    for k, i in enumerate(order):
+        if any(wanted[i]):
+            assert got[i]["hashes"] == wanted[i]
+        a, b = got[i]["hashes"], got[order[(k + 1) % len(order)]]["hashes"]
+        either = [x == y for x, y in zip(a, b, strict=True) if x or y]
+        assert got[i]["next_hashes"] == b and got[i]["near"] == pytest.approx(1.0 if a == b else sum(either) / len(either))
+
+
 @pytest.fixture(scope="module")
 def trees():
     return html_extraction.model(200)
