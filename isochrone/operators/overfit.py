@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import missing_if_not_finite, normal_cdf, ratio
@@ -21,6 +22,8 @@ EULER_GAMMA = 0.5772
 EULER_E = 2.718
 PROBABILITY_FLOOR = 1e-12
 HASH_DIGITS = 8
+#: Combinations that one row expands to.
+COMBINATION_BLOCK = 512
 
 
 def sample_moments(returns: DataFrame, keys: list[str], ret: str = "ret") -> DataFrame:
@@ -59,15 +62,50 @@ def deflated_sharpe(returns: DataFrame, n_trials: int | None = None, ret: str =
     return m.withColumn("dsr", dsr)
 
 
-def cscv_combinations(n_chunks: int, limit: int | None = None, seed: int = 0) -> list[tuple[int, ...]]:
-    """Training-chunk combinations in lexicographic order: all of them, or a seeded sample of ``limit``
-    when the caller asks for one. Depends on the settings only."""
+def _halves(n_chunks: int) -> int:
     if n_chunks < 2 or n_chunks % 2:
         raise ValueError(f"{n_chunks} chunks cannot be halved: an even number from 2 on is needed")
-    every = list(itertools.combinations(range(n_chunks), n_chunks // 2))
-    if limit is None or len(every) <= limit:
-        return every
-    return [every[i] for i in sorted(random.Random(seed).sample(range(len(every)), limit))]
+    return n_chunks // 2
+
+
+def cscv_combinations(n_chunks: int, limit: int | None = None, seed: int = 0) -> list[tuple[int, ...]]:
+    """Training-chunk combinations in lexicographic order: all of them, or a seeded sample of ``limit``
+    when the caller asks for one. Depends on the settings only; ``chosen_combinations`` says which."""
+    every = itertools.combinations(range(n_chunks), _halves(n_chunks))
+    chosen = chosen_combinations(n_chunks, limit, seed)
+    if isinstance(chosen, int):
+        return list(every)
+    wanted = set(chosen)
+    return [c for i, c in enumerate(every) if i in wanted]
+
+
+def chosen_combinations(n_chunks: int, limit: int | None = None, seed: int = 0) -> int | list[int]:
+    """The number of combinations when all are evaluated, else the sorted ranks of the seeded sample."""
+    total = math.comb(n_chunks, _halves(n_chunks))
+    if limit is None or total <= limit:
+        return total
+    return sorted(random.Random(seed).sample(range(total), limit))
+
+
+def mask_of_rank(rank: Column, n_chunks: int) -> Column:
+    """Bit mask (the first chunk is the highest bit) of the combination with this lexicographic rank.
+
+    Combinations that hold the next chunk come first, and there are binomially many of them: a smaller
+    rank takes the chunk, a larger one is lowered by their number and passes it over.
+    """
+    half = _halves(n_chunks)
+    table = F.array(*[F.array(*[F.lit(math.comb(n_chunks - 1 - c, k - 1) if k else 0).cast("long") for k in range(half + 1)]) for c in range(n_chunks)])
+
+    def pass_chunk(state, chunk):
+        holding = F.element_at(F.element_at(table, chunk + 1), state["left"] + 1)
+        taken = state["rank"] < holding
+        return F.struct(
+            F.when(taken, state["rank"]).otherwise(state["rank"] - holding).alias("rank"),
+            (state["left"] - taken.cast("int")).alias("left"), (state["mask"] * 2 + taken.cast("int")).alias("mask"),
+        )
+
+    start = F.struct(rank.cast("long").alias("rank"), F.lit(half).alias("left"), F.lit(0).cast("long").alias("mask"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n_chunks - 1)), start, pass_chunk, lambda s: s["mask"])
 
 
 def complete_rows(returns: DataFrame) -> DataFrame:
@@ -85,8 +123,7 @@ def chunk_moments(returns: DataFrame, n_chunks: int) -> DataFrame:
     The returns are reduced to one row per (configuration, chunk) in one pass; everything after works on
     the arrays. Refuses fewer than two configurations or two rows per chunk.
     """
-    if n_chunks < 2 or n_chunks % 2:
-        raise ValueError(f"{n_chunks} chunks cannot be halved: an even number from 2 on is needed")
+    _halves(n_chunks)
     complete = complete_rows(returns)
     calendar = materialise(indexed_calendar(complete), "calendar")
     rows = calendar.count()
@@ -108,21 +145,34 @@ def chunk_moments(returns: DataFrame, n_chunks: int) -> DataFrame:
     return moments
 
 
-def combination_sharpes(moments: DataFrame, combos: DataFrame, n_chunks: int) -> DataFrame:
+def combination_sharpes(moments: DataFrame, n_chunks: int, limit: int | None = None) -> DataFrame:
     """In- and out-of-sample Sharpe of every configuration under every combination.
 
-    A combination is a bit mask of training chunks. Every configuration expands its own masks in its own
-    task; ``combos(combo, mask)``, as many rows as the settings have combinations, numbers them.
+    Every configuration numbers its own combinations, in blocks, and finds their masks from the numbers: no table of combinations is made, sent or joined. The sums over chunks are plain arithmetic.
     """
-    half = n_chunks // 2
-    masks = moments.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(2**n_chunks - 1)))).filter(F.bit_count("mask") == half)
-    numbered = masks.join(F.broadcast(combos), "mask")
+    chosen = chosen_combinations(n_chunks, limit)
+    total = chosen if isinstance(chosen, int) else len(chosen)
+    tasks = int(moments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat = moments.select("config", "m", *[F.get("chunks", F.lit(c))[v].alias(f"{v}{c}") for c in range(n_chunks) for v in ("n", "s", "q")])
+    # a row per block of combinations is sent, and expands where it arrives
+    blocks = flat.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((total - 1) // COMBINATION_BLOCK)))).repartition(tasks)
+    first = F.col("block") * COMBINATION_BLOCK
+    ranks = F.array(*[F.lit(i) for i in chosen]) if not isinstance(chosen, int) else None
+
+    def with_mask(combo):
+        rank = combo if ranks is None else F.element_at(ranks, combo + 1)
+        return F.struct(combo.alias("combo"), mask_of_rank(rank, n_chunks).alias("mask"))
+
+    # exploded with its mask, which is found once
+    numbers = F.transform(F.sequence(first, F.least(first + COMBINATION_BLOCK, F.lit(total)) - 1), with_mask)
+    masked = blocks.select("*", F.inline(numbers))
 
     def side(name, flag):
-        test = f"(shiftright(mask, {n_chunks - 1} - x.chunk) & 1) = {flag}"
-        return F.expr(f"aggregate(filter(chunks, x -> {test}), struct(0D AS n, 0D AS s, 0D AS q), (a, x) -> struct(a.n + x.n AS n, a.s + x.s AS s, a.q + x.q AS q))").alias(name)
+        held = [F.shiftright("mask", n_chunks - 1 - c).bitwiseAND(F.lit(1)) == flag for c in range(n_chunks)]
+        sums = [sum((F.when(h, F.col(f"{v}{c}")).otherwise(0.0) for c, h in enumerate(held)), F.lit(0.0)).alias(v) for v in ("n", "s", "q")]
+        return F.struct(*sums).alias(name)
 
-    sides = numbered.select("combo", "config", "m", side("is", 1), side("oos", 0))
+    sides = masked.select("combo", "config", "m", side("is", 1), side("oos", 0))
 
     def sharpe(name):
         n, s, q = (F.col(f"{name}.{c}") for c in ("n", "s", "q"))
@@ -133,12 +183,6 @@ def combination_sharpes(moments: DataFrame, combos: DataFrame, n_chunks: int) ->
     return sides.select("combo", "config", sharpe("is").alias("is_sharpe"), sharpe("oos").alias("oos_sharpe"))
 
 
-def combos_frame(spark: SparkSession, n_chunks: int, limit: int | None = None) -> DataFrame:
-    """``(combo, mask)``: the first chunk is the highest bit. A parameter table."""
-    rows = [(i, sum(1 << (n_chunks - 1 - c) for c in combo)) for i, combo in enumerate(cscv_combinations(n_chunks, limit))]
-    return spark.createDataFrame(rows, "combo int, mask int")
-
-
 def best_config(scores: DataFrame, by: list[str], score: str, config: str = "config") -> DataFrame:
     """Configuration with the highest score, the first one on ties."""
     first = F.min_by(F.struct(config, score), F.struct(-F.col(score), F.col(config))).alias("_best")
@@ -149,8 +193,9 @@ def best_config(scores: DataFrame, by: list[str], score: str, config: str = "con
 
 def cscv_paths(returns: DataFrame, n_chunks: int = 16, limit: int | None = None, bound: int | None = None) -> DataFrame:
     """Per combination: the in-sample winner, its out-of-sample Sharpe and the median of all."""
-    spark = returns.sparkSession
-    scores = materialise(combination_sharpes(chunk_moments(returns, n_chunks), combos_frame(spark, n_chunks, limit), n_chunks), "sharpes")
+    moments = chunk_moments(returns, n_chunks)
+    scores = materialise(combination_sharpes(moments, n_chunks, limit), "sharpes")
+    bound = moments.count() if bound is None else bound  # a combination has one row per configuration
     winner = best_config(scores, ["combo"], "is_sharpe")
     chosen = winner.withColumnRenamed("best_config", "config").join(scores.select("combo", "config", "oos_sharpe"), ["combo", "config"])
     median = median_within(scores, ["combo"], "oos_sharpe", "config", "median_oos", bound)

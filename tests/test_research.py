@@ -239,6 +239,15 @@ def test_deflated_sharpe(spark):
         O.expected_max_sharpe(0)
 
 
+def test_masks_number_combinations_in_order(spark):
+    for n, limit in ((2, None), (6, None), (8, 9), (12, 40)):
+        masks = [sum(1 << (n - 1 - c) for c in combo) for combo in O.cscv_combinations(n, limit)]
+        ranks = O.chosen_combinations(n, limit)
+        ranks = list(range(ranks)) if isinstance(ranks, int) else ranks
+        df = spark.createDataFrame([(r,) for r in ranks], "r int").select("r", O.mask_of_rank(F.col("r"), n).alias("mask"))
+        assert [r.mask for r in df.orderBy("r").collect()] == masks
+
+
 def test_pbo_alternating_configs(spark, series):
     rng = np.random.default_rng(0)
     a = np.concatenate([np.full(10, 0.01 if k % 2 else -0.01) for k in range(16)]) + rng.normal(0, 1e-4, 160)
