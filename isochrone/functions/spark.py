@@ -57,6 +57,13 @@ def write_shared(df: DataFrame, name: str) -> str:
     return path
 
 
+def delete_shared(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``write_shared`` made, on whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_shared(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """A table of the shared folder, or None when it has been cleared away."""
     try:
