@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.spark import write_shared
+from ..functions.spark import delete_shared, write_shared
 
 #: White space in the word rules: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -16,10 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back, so that no lost executor brings back the
-    work before it."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
+    work before it. ``into`` notes the folder for ``discard``."""
+    path = write_shared(df, name)
+    if into is not None:
+        into.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Delete stored tables. Only for tables that nothing will read again, a lost executor's work
+    included: whatever was computed from them is stored itself."""
+    while folders:
+        delete_shared(spark, folders.pop())
 
 
 def text_of(column: str = "text") -> Column:

@@ -4,7 +4,8 @@ Edges stay in tables. A large-star step links every node's larger neighbours to
 sees, a small-star step does the same for its smaller neighbours; each step is an aggregation of minima
 (combined before the shuffle, so a hub costs one row per task) and one equi-join that Spark may split.
 Once nothing changes every node points at the smallest node of its component. The number of rounds grows
-with the logarithm of the component size; every round is written to the shared folder.
+with the logarithm of the component size; every round is written to the shared folder, and the round
+before it is deleted once the next is complete.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,18 +28,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", into: list[str] | None = None) -> DataFrame:
     """(node, component) of every node of an undirected edge table, ``component`` its smallest node.
+    ``into`` notes the folder of the last round.
 
     Self loops, repeated edges and NULL ends are ignored; nodes without any edge are not returned.
     """
-    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}").distinct(), "components")
+    folders: list[str] = []
+    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}").distinct(), "components", folders)
     mark = _mark(now)
     while mark[0]:
-        now = stored(_small_star(_large_star(now)), "components")
+        now = stored(_small_star(_large_star(now)), "components", folders)
         was, mark = mark, _mark(now)
+        discard(edges.sparkSession, [folders.pop(0)])
         if was == mark:
             break
+    if into is not None:
+        into.extend(folders)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, require, split_words, stored, text_of
+from .common import carried, discard, require, split_words, stored, text_of
 from .components import connected_components
 from .set_links import open_members, pairs_across, sizes_allow
 
@@ -168,7 +168,7 @@ def sketched_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-def placed_lines(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+def placed_lines(sketched: DataFrame, used: list[str]) -> tuple[DataFrame, DataFrame]:
     """(bucket, head, last, twice) of every bucket that several lines share, and (bucket, node) of those that
     more than two sketches are in.
 
@@ -177,9 +177,9 @@ def placed_lines(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     lines = sketched.where("buckets IS NOT NULL").select(node_of().alias("node"), F.explode("buckets").alias("bucket"))
     ends = lines.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count("*").alias("n"))
-    shared = stored(ends.where("head < last").select("bucket", "head", "last", (F.col("n") == 2).alias("twice")), "line-buckets")
-    many = stored(shared.where("NOT twice").select("bucket", "head"), "line-many")
-    return shared, stored(lines.join(many, "bucket").distinct(), "line-places")
+    shared = stored(ends.where("head < last").select("bucket", "head", "last", (F.col("n") == 2).alias("twice")), "line-buckets", used)
+    many = stored(shared.where("NOT twice").select("bucket", "head"), "line-many", used)
+    return shared, stored(lines.join(many, "bucket").distinct(), "line-places", used)
 
 
 def node_of() -> Column:
@@ -272,60 +272,68 @@ def worth_reading(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs.where(sizes_allow(F.col("runs_a"), F.col("runs_b"), SIMILARITY) & likely).select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, name: str, used: list[str]) -> DataFrame:
     """Those of the distinct pairs (a, b) of nodes that are near-equal, with their keys."""
-    pairs = stored(pairs, f"{name}-pairs")
-    asked = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{name}-asked")
-    texts = stored(texts_of(docs, asked), f"{name}-texts")
+    own: list[str] = []
+    pairs = stored(pairs, f"{name}-pairs", own)
+    asked = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{name}-asked", own)
+    texts = stored(texts_of(docs, asked), f"{name}-texts", own)
     left = texts.select(F.col("node").alias("a"), F.col("key").alias("key_a"), F.col("norm").alias("norm_a"))
     right = texts.select(F.col("node").alias("b"), F.col("key").alias("key_b"), F.col("norm").alias("norm_b"))
     both = pairs.join(left, "a").join(right, "b")
-    return stored(both.where(near_equal(F.col("norm_a"), F.col("norm_b"))).select("a", "b", "key_a", "key_b"), f"{name}-links")
+    links = stored(both.where(near_equal(F.col("norm_a"), F.col("norm_b"))).select("a", "b", "key_a", "key_b"), f"{name}-links", used)
+    discard(docs.sparkSession, own)
+    return links
 
 
-def line_components(docs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(key, component) of the lines that have near-equal ones."""
-    shared, places = placed_lines(sketched)
+def line_components(docs: DataFrame, sketched: DataFrame, used: list[str]) -> DataFrame:
+    """(key, component) of the lines that have near-equal ones. ``used`` notes the folders it is read from."""
+    shared, places = placed_lines(sketched, used)
     first = shared.where("twice").select(F.col("last").alias("a"), F.col("head").alias("b"))
-    first = stored(first.union(places.where("node <> head").select("node", "head")).distinct(), "line-first")
-    members = stored(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), "line-members")
+    first = stored(first.union(places.where("node <> head").select("node", "head")).distinct(), "line-first", used)
+    members = stored(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), "line-members", used)
     facts = sketched.where("buckets IS NOT NULL").select(node_of().alias("node"), "runs", "marks").join(members, "node", "left_semi")
-    facts = stored(facts.dropDuplicates(["node"]), "line-facts")
-    linked = verified(docs, worth_reading(first, facts), "line-star")
-    rest = stored(open_members(places.select("bucket", "node"), connected_components(linked), ["bucket"]), "line-rest")
+    facts = stored(facts.dropDuplicates(["node"]), "line-facts", used)
+    linked = verified(docs, worth_reading(first, facts), "line-star", used)
+    rest = stored(open_members(places.select("bucket", "node"), connected_components(linked, into=used), ["bucket"]), "line-open", used)
     sizes = rest.groupBy("bucket").agg((F.count("*") > SMALL_BUCKET).alias("large"))
-    rest = stored(rest.join(sizes, "bucket").join(facts, "node"), "line-rest")
+    rest = stored(rest.join(sizes, "bucket").join(facts, "node"), "line-rest", used)
     one, two = (rest.where("NOT large").select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "runs", "marks")]) for side in "ab")
     likely = sizes_allow(F.col("runs_a"), F.col("runs_b"), SIMILARITY) & (agreeing("marks_a", "marks_b") >= LEAST_AGREEING)
     direct = one.join(two, "bucket").where((F.col("component_a") < F.col("component_b")) & likely)
     direct = direct.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
     large = rest.where("large").select("bucket", "node", "component")
-    asked = stored(large.select("node").distinct(), "line-large")
-    sets = stored(texts_of(docs, asked).select("node", run_numbers("norm").alias("elements")), "line-sets") if not asked.isEmpty() else None
+    asked = stored(large.select("node").distinct(), "line-large", used)
+    sets = stored(texts_of(docs, asked).select("node", run_numbers("norm").alias("elements")), "line-sets", used) if not asked.isEmpty() else None
     across = direct if sets is None else direct.union(worth_reading(pairs_across(large, sets, ["bucket"], SIMILARITY), facts)).distinct()
-    more = verified(docs, across.join(first, ["a", "b"], "left_anti"), "line-rest")
+    more = verified(docs, across.join(first, ["a", "b"], "left_anti"), "line-rest", used)
     links = linked.select("key_a", "key_b").union(more.select("key_a", "key_b"))
-    return connected_components(links, "key_a", "key_b").select(F.col("node").alias("key"), "component")
+    return connected_components(links, "key_a", "key_b", used).select(F.col("node").alias("key"), "component")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_lines, removed: per document with lines that are not blank, the numbers
-    (from 0) of those to go, in order."""
-    sketched = stored(sketched_lines(docs), "line-sketches")
+    (from 0) of those to go, in order. What lies between the texts and this table is deleted."""
+    spark, used, sketches = docs.sparkSession, [], []
+    sketched = stored(sketched_lines(docs), "line-sketches", sketches)
     spots = sketched.select("doc_id", "text_hash", "line_no", "key")
-    groups = line_components(docs, sketched)
+    groups = line_components(docs, sketched, used)
     no_id, id_of = F.col("doc_id").isNull().alias("no_id"), F.col("doc_id")
     spot = F.struct(no_id, id_of, "text_hash", "line_no")
     # only lines that occur again, or resemble another, can go
     again = spots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(None).cast("binary").alias("component"))
-    marked = stored(again.union(groups), "line-marked").groupBy("key").agg(F.max("component").alias("component")).select("key", F.coalesce("component", "key").alias("component"))
-    own = stored(spots.join(marked, "key").select("component", spot.alias("spot")), "line-spots")
+    marks = stored(again.union(groups), "line-marked", sketches)
+    discard(spark, used)
+    marked = marks.groupBy("key").agg(F.max("component").alias("component")).select("key", F.coalesce("component", "key").alias("component"))
+    own = stored(spots.join(marked, "key").select("component", spot.alias("spot")), "line-spots", sketches)
     heads = own.groupBy("component").agg(F.min("spot").alias("head"))
     gone = own.join(heads, "component").where("spot <> head").select("spot.*").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     per = sketched.select("doc_id", "text_hash", "n_lines").distinct()
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "removed")
     joined = per.join(gone, per["doc_id"].eqNullSafe(gone["gone_id"]) & (per["text_hash"] == gone["gone_hash"]), "left")
-    return joined.select("doc_id", "text_hash", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    out = stored(joined.select("doc_id", "text_hash", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")), "line-removed")
+    discard(spark, sketches)
+    return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
