@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -64,6 +65,30 @@ def delete_shared(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file complete or not at all; False when the path is taken.
+
+    The file is made under another name and renamed without overwriting, so of two writers one gets it
+    (where the file system renames atomically, as HDFS does).
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    target = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path))
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    no_overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, no_overwrite)
+    except Py4JJavaError as e:
+        fs.delete(draft, False)
+        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    return True
+
+
 def read_shared(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """A table of the shared folder, or None when it has been cleared away."""
     try:

@@ -39,7 +39,12 @@ def coverage_check(ranges: DataFrame, requests: DataFrame) -> DataFrame:
 def superset_guard(old: DataFrame, new: DataFrame) -> DataFrame:
     """Whether each new range may replace the stored one: ``accepted`` when it contains it (or
     nothing is stored yet). Both inputs are ``(key..., ts, ...)``."""
-    have = old.groupBy(*KEY).agg(F.min("ts").alias("old_start"), F.max("ts").alias("old_end"))
+    return superset_of_ranges(series_ranges(old), new)
+
+
+def superset_of_ranges(ranges: DataFrame, new: DataFrame) -> DataFrame:
+    """``superset_guard`` where the stored ranges are known, ``(key..., cached_start, cached_end)``."""
+    have = ranges.select(*KEY, F.col("cached_start").alias("old_start"), F.col("cached_end").alias("old_end"))
     come = new.groupBy(*KEY).agg(F.min("ts").alias("new_start"), F.max("ts").alias("new_end"))
     contains = (F.col("new_start") <= F.col("old_start")) & (F.col("new_end") >= F.col("old_end"))
     return come.join(have, KEY, "left").withColumn("accepted", F.coalesce(contains, F.lit(True)))
@@ -52,12 +57,9 @@ def incremental_ingest(store: LayerStore, landing: DataFrame, requests: DataFram
     Returns one status per request: ``covered``, ``stored``, ``rejected`` (not a superset),
     ``raw_only`` (cleaning refused the series) or ``no_data``.
     """
-    have = store.exists("raw")
-    stored = store.read("raw") if have else None
-    if force_refresh or not have:
-        checked = requests.withColumn("covered", F.lit(False))
-    else:
-        checked = coverage_check(series_ranges(stored), requests)
+    # what is stored, from the manifest: the layer itself is not read
+    ranges = materialise(store.series("raw").select(*KEY, F.col("first").alias("cached_start"), F.col("last").alias("cached_end")), "ranges")
+    checked = requests.withColumn("covered", F.lit(False)) if force_refresh else coverage_check(ranges, requests)
     # decisions are written down before the layers they were read from change
     checked = materialise(checked, "coverage")
     wanted = checked.filter(~F.col("covered")).select(*KEY, "start", "end")
@@ -65,8 +67,7 @@ def incremental_ingest(store: LayerStore, landing: DataFrame, requests: DataFram
     # a landed row is taken once, however many overlapping requests ask for it
     inside = [F.col(k) == F.col(f"_{k}") for k in KEY] + [F.col("ts") >= F.col("_start"), F.col("ts") <= F.col("_end")]
     fetched = materialise(landing.join(asked, inside, "left_semi"), "fetched")
-    guard = superset_guard(stored if have else fetched.limit(0), fetched)
-    guard = materialise(guard.select(*KEY, "accepted"), "guard")
+    guard = materialise(superset_of_ranges(ranges, fetched).select(*KEY, "accepted"), "guard")
     accepted = fetched.join(guard.filter("accepted").select(*KEY), KEY, "left_semi")
     store.replace_raw(accepted)
     cleaned = materialise(clean_series(accepted, fill_limit, keys=KEY), "cleaned")

@@ -1,18 +1,30 @@
 """Layered tables: immutable raw, versioned adjusted, replaceable derived.
 
-One partitioned dataset per layer holds all series; ``source``, ``frequency`` (and ``version``)
-are folders, the ticker is a column. Inside them series are spread over hash buckets, so replacing
-a few series rewrites only their buckets and not a whole source. Writes rebalance by folder, so a
-dominant one is written by several tasks.
+A layer is a list of generations. Every write puts its series into a generation folder of its own
+(``source``, ``frequency``, ``version`` and a hash bucket are folders inside, the ticker is a column), adds
+their first and last time and row count to the manifest, and becomes visible by one small commit file that
+carries the next number. No stored file is ever changed: replacing a series means that a later generation
+has it too, and its newest generation counts. So a write that fails leaves the layer as it was, readers
+keep what they planned, and of two writers that start from the same state the second is refused
+(``ConflictError``) and can try again on the new state.
+
+What is stored is known from the manifest, one row per written series: refusing a known series, coverage
+and the inventory never read the layer. Only generations that hold replaced series are joined with the
+manifest when they are read; ``clean_up`` deletes those of which nothing is left.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.spark import require_none
+from ..functions.spark import delete_shared, require_none, write_once
 
 # Error conditions of a path that does not exist or holds no files yet.
 ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
@@ -28,116 +40,203 @@ SERIES_KEY = {
 }
 
 
+class ConflictError(RuntimeError):
+    """Another write was committed since this one read the state of the layer."""
+
+
+@dataclass
+class _State:
+    """What the commits of a layer say: a few names per write, never anything per series."""
+
+    last: int
+    generations: list[str]
+    replaced: set[str]
+    schema: T.StructType
+
+
 def _check_close(df: DataFrame) -> None:
     if "close" not in df.columns:
         raise ValueError("a stored series needs a 'close' column.")
 
 
+def _merged(old: T.StructType, new: T.StructType) -> T.StructType:
+    """Columns of both; a column keeps its type, or the write is refused."""
+    for field in new.fields:
+        if field.name in old.names and old[field.name].dataType != field.dataType:
+            raise ValueError(f"column {field.name!r} is stored as {old[field.name].dataType.simpleString()}, not {field.dataType.simpleString()}.")
+    return T.StructType([*old.fields, *[f for f in new.fields if f.name not in old.names]])
+
+
 class LayerStore:
     """Raw, adjusted and derived series under one root folder."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def _bucketed(self, df: DataFrame, layer: str) -> DataFrame:
-        name = F.col("name" if layer == "derived" else "ticker")
-        return df.withColumn("bucket", F.pmod(F.hash(name), F.lit(self.buckets)))
-
-    def _stored(self, layer: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(layer))
-
     def path(self, layer: str) -> str:
         if layer not in LAYERS:
             raise ValueError(f"unknown layer {layer!r}.")
         return f"{self.root}/{layer}"
 
-    def exists(self, layer: str) -> bool:
-        """Whether the layer has been written. Any other failure to read it is passed on: taking it
-        for an empty layer would lose the series that a replacement has to keep."""
+    def _state(self, layer: str) -> _State:
+        """Any failure but a missing folder is passed on: a broken layer must not look like an empty one."""
         try:
-            self._stored(layer)
+            files = self.spark.read.text(f"{self.path(layer)}/commits", wholetext=True).collect()
         except AnalysisException as e:
-            if e.getCondition() in ABSENT:
-                return False
+            if e.getCondition() not in ABSENT:
+                raise
+            files = []
+        commits = sorted((json.loads(f.value) for f in files), key=lambda c: c["number"])
+        gone = {g for c in commits for g in c["deleted"]}
+        schema = T.StructType([])
+        for c in commits:
+            schema = _merged(schema, T.StructType.fromJson(c["schema"]))
+        generations = [c["generation"] for c in commits if c["generation"] and c["generation"] not in gone]
+        return _State(commits[-1]["number"] if commits else -1, generations, {g for c in commits for g in c["replaces"]} - gone, schema)
+
+    def _commit(self, layer: str, state: _State, generation: str | None = None, replaces: list[str] = (), deleted: list[str] = (), schema: T.StructType | None = None) -> None:
+        number = state.last + 1
+        body = {"number": number, "generation": generation, "replaces": sorted(replaces), "deleted": sorted(deleted), "schema": (schema or T.StructType([])).jsonValue()}
+        if not write_once(self.spark, f"{self.path(layer)}/commits/{number:012d}", json.dumps(body)):
+            raise ConflictError(f"the {layer} layer has changed since this write began.")
+
+    def _scan(self, layer: str, part: str, generations: list[str], schema: T.StructType) -> DataFrame:
+        """The ``data`` or ``manifest`` of some generations, whose name is a column."""
+        if not generations:
+            return self.spark.createDataFrame([], schema)
+        folder = f"{self.path(layer)}/{part}"
+        return self.spark.read.schema(schema).option("basePath", folder).parquet(*[f"{folder}/generation={g}" for g in generations])
+
+    def _manifest(self, layer: str, state: _State, only: list[str] | None = None) -> DataFrame:
+        key = [T.StructField(k, state.schema[k].dataType if k in state.schema.names else T.StringType()) for k in SERIES_KEY[layer]]
+        ts = state.schema["ts"].dataType if "ts" in state.schema.names else T.DateType()
+        rest = [T.StructField("bucket", T.IntegerType()), T.StructField("first", ts), T.StructField("last", ts), T.StructField("row_count", T.LongType())]
+        return self._scan(layer, "manifest", state.generations if only is None else only, T.StructType([*key, *rest, T.StructField("generation", T.StringType())]))
+
+    def _live(self, layer: str, state: _State) -> DataFrame:
+        """The manifest row of every series in its newest generation; names of generations sort by commit."""
+        facts = F.struct("generation", "bucket", "first", "last", "row_count")
+        newest = self._manifest(layer, state).groupBy(*SERIES_KEY[layer]).agg(F.max_by(facts, "generation").alias("_s"))
+        return newest.select(*SERIES_KEY[layer], "_s.*")
+
+    def exists(self, layer: str) -> bool:
+        """Whether the layer has been written."""
+        return bool(self._state(layer).generations)
+
+    def series(self, layer: str) -> DataFrame:
+        """One row per stored series: its key, ``first``, ``last`` and ``row_count``, from the manifest alone."""
+        return self._live(layer, self._state(layer)).drop("generation", "bucket")
+
+    def _write(self, df: DataFrame, layer: str, replace: bool) -> None:
+        _check_close(df)
+        state, key, folders = self._state(layer), SERIES_KEY[layer], LAYERS[layer]
+        schema = _merged(state.schema, df.schema)
+        generation = f"{state.last + 1:012d}-{uuid.uuid4().hex}"
+        at = {part: f"{self.path(layer)}/{part}/generation={generation}" for part in ("data", "manifest")}
+        bucket = F.pmod(F.hash("name" if layer == "derived" else "ticker"), F.lit(self.buckets))
+        try:
+            df.withColumn("bucket", bucket).hint("rebalance", *folders).write.partitionBy(*folders).parquet(at["data"])
+            # what the files hold, not what a second run of the plan would give
+            stored = self.spark.read.schema(T.StructType([*df.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(at["data"])
+            ranges = stored.groupBy(*key, "bucket").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("row_count"))
+            ranges.write.parquet(at["manifest"])
+            new = self._manifest(layer, _State(state.last, [generation], set(), schema))
+            require_none(new.filter(" OR ".join(f"{k} IS NULL" for k in key)).select(*key), f"{layer} series without a full key")
+            replaces = self._overlap(layer, state, new, replace)
+            if new.isEmpty():
+                self._drop(at)
+                return
+            self._commit(layer, state, generation, replaces, schema=df.schema)
+        except BaseException:
+            self._drop(at)
             raise
-        return True
 
-    def _write(self, df: DataFrame, layer: str, mode: str) -> None:
-        folders = LAYERS[layer]
-        (
-            df.hint("rebalance", *folders).write.mode(mode).partitionBy(*folders)
-            .option("partitionOverwriteMode", "dynamic").parquet(self.path(layer))
-        )
+    def _overlap(self, layer: str, state: _State, new: DataFrame, replace: bool) -> list[str]:
+        """Names of the generations from which the new series take over; without ``replace`` there must be none."""
+        if not state.generations:
+            return []
+        known = self._live(layer, state).join(new.select(*SERIES_KEY[layer]), SERIES_KEY[layer], "left_semi")
+        if not replace:
+            require_none(known.select(*SERIES_KEY[layer]), f"{layer} series already exist")
+            return []
+        return [r.generation for r in known.select("generation").distinct().toLocalIterator()]
+
+    def _drop(self, folders: dict[str, str]) -> None:
+        for folder in folders.values():
+            delete_shared(self.spark, folder)
 
     def write_raw(self, df: DataFrame) -> None:
         """Append new series; a series that is already stored is refused."""
-        _check_close(df)
-        key, df = SERIES_KEY["raw"], self._bucketed(df, "raw")
-        if self.exists("raw"):
-            new = df.select(*key, "bucket").distinct()
-            require_none(new.join(self._stored("raw"), [*key, "bucket"], "left_semi").select(*key), "raw series already exist")
-        self._write(df, "raw", "append")
-
-    def _replace(self, df: DataFrame, layer: str) -> None:
-        """Replace exactly the given series; others in the same folders are kept."""
-        _check_close(df)
-        key, df = SERIES_KEY[layer], self._bucketed(df, layer)
-        if self.exists(layer):
-            stored = self._stored(layer)
-            touched = df.select(*LAYERS[layer]).distinct()
-            kept = stored.join(touched, LAYERS[layer], "left_semi").join(df.select(*key).distinct(), key, "left_anti")
-            df = df.unionByName(kept, allowMissingColumns=True)
-        self._write(df, layer, "overwrite")
+        self._write(df, "raw", replace=False)
 
     def replace_raw(self, df: DataFrame) -> None:
         """Only for callers that have checked the replacement (see ``ingest.superset_guard``)."""
-        self._replace(df, "raw")
+        self._write(df, "raw", replace=True)
 
     def write_adjusted(self, df: DataFrame, version: int) -> None:
         if version < 0:
             raise ValueError("version must be >= 0.")
-        self._replace(df.withColumn("version", F.lit(version)), "adjusted")
+        self._write(df.withColumn("version", F.lit(version)), "adjusted", replace=True)
 
     def write_derived(self, df: DataFrame) -> None:
-        self._replace(df, "derived")
+        self._write(df, "derived", replace=True)
+
+    def clean_up(self, layer: str) -> list[str]:
+        """Delete the generations of which every series has been replaced, and return their names. For times
+        without readers: a plan made before may still name their files."""
+        state = self._state(layer)
+        held = {r.generation for r in self._live(layer, state).select("generation").distinct().toLocalIterator()}
+        dead = [g for g in state.generations if g not in held]
+        if dead:
+            # committed first: whatever fails later, no reader asks for the folders again
+            self._commit(layer, state, deleted=dead)
+        for g in dead:
+            self._drop({part: f"{self.path(layer)}/{part}/generation={g}" for part in ("data", "manifest")})
+        return dead
 
     def read(
         self, layer: str, where: Column | None = None, version: int | str | None = None, series: str | None = None
     ) -> DataFrame:
         """Rows of a layer. ``where`` prunes folders and is pushed into the scan; ``series`` (a ticker,
-        or the name of a derived series) reads only its bucket; in the adjusted layer ``version`` is a
-        number or ``"latest"``."""
-        df = self._stored(layer)
+        or the name of a derived series) reads only its generations and buckets; in the adjusted layer
+        ``version`` is a number or ``"latest"``."""
+        state, key = self._state(layer), SERIES_KEY[layer]
+        if not state.generations:
+            raise LookupError(f"the {layer} layer holds nothing.")
+        live, generations, places = self._live(layer, state), state.generations, F.lit(True)
         if series is not None:
-            name = "name" if layer == "derived" else "ticker"
-            bucket = F.pmod(F.hash(F.lit(series)), F.lit(self.buckets))
-            df = df.filter((F.col("bucket") == bucket) & (F.col(name) == series))
-        df = df.drop("bucket")
+            name = F.col("name" if layer == "derived" else "ticker")
+            # a row per generation and bucket of one series
+            held = live.filter(name == series).select("generation", "bucket").distinct().collect()
+            generations = sorted({r.generation for r in held})
+            places = F.col("bucket").isin(sorted({r.bucket for r in held})) & (name == series)
+        schema = T.StructType([*state.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("generation", T.StringType())])
+        df = self._scan(layer, "data", [g for g in generations if g not in state.replaced], schema)
+        old = [g for g in generations if g in state.replaced]
+        if old:
+            df = df.unionByName(self._scan(layer, "data", old, schema).join(live.select(*key, "generation"), [*key, "generation"], "left_semi"))
+        df = df.filter(places).select(*state.schema.names)
         df = df if where is None else df.filter(where)
         if version == "latest":
-            newest = latest_version(df)
-            return df.join(newest.withColumnRenamed("latest_version", "version"), ["source", "ticker", "frequency", "version"], "left_semi")
+            newest = latest_version(live).withColumnRenamed("latest_version", "version")
+            return df.join(newest, ["source", "ticker", "frequency", "version"], "left_semi")
         return df if version is None else df.filter(F.col("version") == version)
 
     def read_derived(self, name: str, frequency: str) -> DataFrame:
-        df = self.read("derived", F.col("frequency") == frequency, series=name)
-        if df.isEmpty():
+        df = self.read("derived", F.col("frequency") == frequency, series=name) if self.exists("derived") else None
+        if df is None or df.isEmpty():
             raise LookupError(f"no derived series {name}_{frequency}")
         return df
 
     def list_available(self, layer: str | None = None) -> DataFrame:
-        """Inventory of all series with their row counts, sorted."""
+        """Inventory of all series with their row counts, sorted; read from the manifests."""
         out = None
         for name in [layer] if layer else LAYERS:
-            if not self.exists(name):
-                continue
-            df = self._stored(name)
+            df = self.series(name)
             source = F.col("name") if name == "derived" else F.col("source")
             ticker = F.lit(None).cast("string") if name == "derived" else F.col("ticker")
             version = F.col("version").cast("int") if name == "adjusted" else F.lit(None).cast("int")
-            part = df.groupBy(F.lit(name).alias("layer"), source.alias("source"), ticker.alias("ticker"), "frequency", version.alias("version")).agg(
-                F.count(F.lit(1)).alias("row_count")
-            )
+            part = df.select(F.lit(name).alias("layer"), source.alias("source"), ticker.alias("ticker"), "frequency", version.alias("version"), "row_count")
             out = part if out is None else out.unionByName(part)
         return out.orderBy("layer", "source", "ticker", "frequency", "version")
 

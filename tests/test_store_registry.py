@@ -197,3 +197,52 @@ def test_derived_cache_hits_only_when_covering(spark, store, series):
     assert not hit and rows.count() == 41 and len(calls) == 2
     stale = R.stale_derived(spark.createDataFrame([("V", "old"), ("V", "new"), ("Z", "q")], "name string, spec_hash string"), spark.createDataFrame([("V", "new")], "name string, spec_hash string"))
     assert [(r.name, r.spec_hash) for r in stale.collect()] == [("V", "old")]
+
+
+def test_failed_write_loses_nothing(spark, store):
+    a = _series(spark, "SPY", date(2024, 1, 1), date(2024, 1, 10)).unionByName(_series(spark, "TLT", date(2024, 1, 1), date(2024, 1, 10)))
+    store.write_raw(a)
+    broken = a.filter("ticker = 'SPY'").withColumn("close", F.when(F.col("ts") < date(2024, 1, 9), 1.0).otherwise(F.raise_error(F.lit("lost")).cast("double")))
+    with pytest.raises(Exception, match="lost"):
+        store.replace_raw(broken)
+    assert {(r.ticker, r.close, r.n) for r in store.read("raw").groupBy("ticker", "close").agg(F.count("*").alias("n")).collect()} == {("SPY", 100.0, 8), ("TLT", 100.0, 8)}
+    with pytest.raises(ValueError, match="full key"):
+        store.replace_raw(a.withColumn("ticker", F.lit(None).cast("string")))
+    with pytest.raises(ValueError, match="stored as double"):
+        store.replace_raw(a.withColumn("close", F.lit("1")))
+    assert store.list_available("raw").count() == 2
+
+
+def test_second_writer_is_refused(spark, store):
+    a = _series(spark, "SPY", date(2024, 1, 1), date(2024, 1, 10))
+    store.write_raw(a)
+    before = store._state("raw")
+    store.replace_raw(a.withColumn("close", F.lit(2.0)))
+    other = Y.LayerStore(spark, store.root, buckets=5)
+    other._state = lambda layer: before
+    with pytest.raises(Y.ConflictError):
+        other.replace_raw(a.withColumn("close", F.lit(3.0)))
+    del other._state
+    assert {r.close for r in store.read("raw").collect()} == {2.0}
+    other.replace_raw(a.withColumn("close", F.lit(3.0)))
+    # bucket counts may differ between writers: the manifest knows each series' own
+    assert [r.close for r in store.read("raw", series="SPY").collect()] == [3.0] * 8
+    assert len(store.clean_up("raw")) == 2 and store.clean_up("raw") == []
+    assert [r.close for r in store.read("raw").collect()] == [3.0] * 8
+    with pytest.raises(ValueError, match="already exist"):
+        store.write_raw(a)
+
+
+def test_replacing_reads_manifest_and_new_files_only(spark, store):
+    store.write_raw(_series(spark, "SPY", date(2024, 1, 1), date(2024, 1, 10)))
+    store.write_raw(_series(spark, "TLT", date(2024, 1, 1), date(2024, 1, 10), source="fred"))
+    data = f"{store.path('raw')}/data"
+    files = set(spark.read.parquet(data).inputFiles())
+    held = store.series("raw")
+    assert {(r.ticker, r.first, r.last, r.row_count) for r in held.collect()} == {("SPY", date(2024, 1, 1), date(2024, 1, 10), 8), ("TLT", date(2024, 1, 1), date(2024, 1, 10), 8)}
+    assert not any("/data/" in f for f in held.inputFiles())
+    store.replace_raw(_series(spark, "SPY", date(2023, 12, 1), date(2024, 1, 10)).withColumn("extra", F.lit(1)))
+    assert files < set(spark.read.parquet(data).inputFiles())
+    got = {(r.ticker, r.extra, r.n) for r in store.read("raw").groupBy("ticker", "extra").agg(F.count("*").alias("n")).collect()}
+    assert got == {("SPY", 1, 29), ("TLT", None, 8)}
+    assert {f.split("generation=")[1][:12] for f in store.read("raw", series="TLT").inputFiles()} == {"000000000001"}
