@@ -12,6 +12,9 @@ from ..functions.numeric import logit
 from .cross import rank_within
 from .series import with_positions
 
+#: Decimals to which Sharpes are compared: paths that share their rows differ by the order of summation only.
+TIE_DECIMALS = 9
+
 
 def indexed_calendar(df: DataFrame) -> DataFrame:
     """Distinct dates with their 0-based index ``pos``."""
@@ -106,10 +109,11 @@ def cpcv_summary(paths: DataFrame, sharpe: str = "oos_sharpe") -> DataFrame:
 
 def pbo_rank_logit(paths: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Share of paths whose in-sample rank beats their out-of-sample rank on the logit scale; one
-    half when fewer than two paths have both Sharpes."""
+    half when fewer than two paths have both Sharpes. Sharpes equal to ``TIE_DECIMALS`` are tied."""
     keys = scope or ["_all"]
     both = paths if scope else paths.withColumn("_all", F.lit(1))
     finite = both.filter("is_sharpe is not null and oos_sharpe is not null and abs(is_sharpe) < double('inf') and abs(oos_sharpe) < double('inf')")
+    finite = finite.withColumns({c: F.round(c, TIE_DECIMALS) for c in ("is_sharpe", "oos_sharpe")})
     ranked = rank_within(rank_within(finite, keys, "is_sharpe", "_ri"), keys, "oos_sharpe", "_ro")
     sized = ranked.join(finite.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
 

@@ -298,6 +298,14 @@ def test_pbo_rank_logit_short(spark):
     assert FD.pbo_rank_logit(spark.createDataFrame(rows, df.schema)).collect()[0].pbo == 0.5
 
 
+def test_pbo_rank_logit_ties(spark):
+    """Sharpes that differ by the order of summation only are tied, whichever way the noise goes."""
+    shape = "path int, is_sharpe double, oos_sharpe double"
+    for noise in (1e-14, -1e-14):
+        rows = [(i, 2.0 + i * noise, float(3 - i)) for i in range(3)]
+        assert math.isclose(FD.pbo_rank_logit(spark.createDataFrame(rows, shape)).collect()[0].pbo, 1 / 3)
+
+
 def test_reports(series):
     n = 300
     days = series({"x": [0.0005 + 0.002 * math.sin(i) for i in range(n)]}).select("ts", F.col("value").alias("gross"), (F.col("value") - 5e-5).alias("net")).withColumn("run", F.lit(1))
