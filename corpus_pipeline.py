@@ -21,7 +21,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash links, then MinHash for what fingerprints miss, verified
+    at a similarity of 0.8 or more on runs of five words."""
     ship_package(spark)
     return near_documents.unique_documents(docs)
 

@@ -1,19 +1,19 @@
-"""Near-duplicate documents: Jaccard similarity of word shingles, candidates by MinHash.
+"""Near-duplicate documents: Jaccard similarity of word shingles, candidates by SimHash, then MinHash.
 
 Two documents are near-duplicates when the Jaccard similarity of their sets of ``SHINGLE`` consecutive
 words is at least ``SIMILARITY``; letters A-Z are lowered and white space is collapsed before.
 
-1. Candidates. Each text is hashed in its task to ``BANDS`` buckets of ``ROWS`` minima, each minimum under a
-   multiplication of its own. A pair at the threshold shares no bucket with a probability of
-   (1 - 0.8 ** 4) ** 20 = 0.003 %. Texts of equal words are one node from here on.
-2. Verification. Each member of a bucket is compared with the bucket's smallest, exactly, on the full sets
-   of shingles: linear in the bucket. Components follow from the verified links.
-3. Rest. Members of buckets that are still in different components are paired through their rarest shingles
+1. SimHash. Each text is hashed in its task to the fingerprint of ``simhash``; the vantage-point search links
+   those at most two bits apart. Texts of equal words are one node from here on.
+2. Verification of these links, exactly, on the full sets of shingles. Components follow.
+3. MinHash for what fingerprints miss (at this similarity most differ in more bits than a tree over Hamming space
+   can route; figures in the README): ``BANDS`` buckets of ``ROWS`` minima, each minimum under a multiplication of
+   its own. A pair at the threshold shares no bucket with a probability of (1 - 0.8 ** 4) ** 20 = 0.003 %. Each
+   member of a bucket that is not yet in the component of the bucket's smallest is compared with it: linear in
+   the bucket.
+4. Rest. Members of buckets that are still in different components are paired through their rarest shingles
    (``set_links``), which loses no pair and never forms all pairs of a bucket.
-4. Of each component the row with the smallest (doc_id, text) stays.
-
-SimHash isn't used here: at this similarity its fingerprints differ in so many bits that no tree over
-Hamming space can route them (figures in the README).
+5. Of each component the row with the smallest (doc_id, text) stays.
 
 Defined results: a NULL text is empty, and all texts without words are one group; a text of fewer words
 than a shingle is one shingle; rows without ``doc_id`` come last in their group and are told apart by
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from .common import carried, require, split_words, stored, text_of
 from .components import connected_components
 from .set_links import open_members, pairs_across, similar, sizes_allow
+from .simhash import fingerprint_links, fingerprint_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -107,19 +108,40 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.join(left, "a").join(right, "b").where(near).select("a", "b")
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes ``(node, fp)`` that connect all whose fingerprints are linked: every node with
+    the smallest of its fingerprint, and these over the links of the vantage-point search."""
+    points = stored(prints.groupBy("fp").agg(F.min("node").alias("head")), "near-points")
+    same = prints.join(points, "fp").where("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
+    found = fingerprint_links(points)
+    for fp, name in (("a", "x"), ("b", "y")):
+        found = found.join(points.select(F.col("fp").alias(fp), F.col("head").alias(name)), fp)
+    return same.union(found.select("x", "y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) that (node, component) has not connected."""
+    for side in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+    return pairs.where("c_a IS NULL OR c_b IS NULL OR c_a <> c_b").select("a", "b")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """(node, component) of the texts that have near-duplicates of other words."""
-    hashed = docs.select(node().alias("node"), _buckets(text_of()).alias("buckets")).dropDuplicates(["node"])
-    placed = stored(hashed.select("node", F.posexplode("buckets").alias("band", "bucket")), "near-buckets")
+    hashed = stored(docs.select(node().alias("node"), fingerprint_of(text_of()).alias("fp"), _buckets(text_of()).alias("buckets")).dropDuplicates(["node"]), "near-hashes")
+    close = stored(fingerprint_pairs(hashed.select("node", "fp")), "near-fingerprints")
+    placed = hashed.select("node", F.posexplode("buckets").alias("band", "bucket"))
     heads = placed.groupBy("band", "bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last")
     star = stored(placed.join(heads, ["band", "bucket"]), "near-star")
-    members = star.select("node").distinct()
+    members = star.select("node").union(close.select("a")).union(close.select("b")).distinct()
     texts = docs.select(node().alias("node"), text_of().alias("text")).join(members, "node", "left_semi").dropDuplicates(["node"])
     sets = stored(texts.select("node", shingles(F.col("text")).alias("elements")), "near-shingles")
-    first = star.where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
-    linked = stored(verified(first, sets), "near-links")
+    alike = stored(verified(close, sets), "near-alike")
+    pairs = star.where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+    first = stored(apart(pairs, connected_components(alike)), "near-first")
+    linked = stored(alike.union(verified(first, sets)), "near-links")
     rest = stored(open_members(star.select("band", "bucket", "node"), connected_components(linked), ["band", "bucket"]), "near-rest")
-    untested = pairs_across(rest, sets, ["band", "bucket"], SIMILARITY).join(first.distinct(), ["a", "b"], "left_anti")
+    untested = pairs_across(rest, sets, ["band", "bucket"], SIMILARITY).join(first, ["a", "b"], "left_anti")
     return connected_components(linked.union(verified(untested, sets)))
 
 

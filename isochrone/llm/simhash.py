@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,11 @@ def _fingerprint(texts: pd.Series) -> pd.Series:
     return pd.Series(values.view("int64"))
 
 
+def fingerprint_of(text: Column) -> Column:
+    """The 64 bits of a text as a signed number."""
+    return _fingerprint(text)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp: the 64 bits as a signed number."""
     require(docs, "doc_id", "text")

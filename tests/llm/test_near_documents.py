@@ -66,6 +66,26 @@ def test_pipeline_stage_removes_planted_copies(spark, tmp_path):
     assert kept[2] == set(range(30))
 
 
+def test_fingerprints_link_what_no_bucket_holds(spark, monkeypatch):
+    """SimHash comes first: copies within two bits are found without any MinHash bucket, and verified."""
+    from pyspark.sql import functions as F
+
+    from isochrone.llm.simhash import fingerprint
+
+    rng = random.Random(8)
+    base = [prose(rng, 600) for _ in range(30)]
+    copies = [edited(rng, x, 1) for x in base]
+    close = [i for i in range(30) if (fingerprint(base[i].encode()) ^ fingerprint(copies[i].encode())).bit_count() <= 2]
+    assert len(close) >= 10
+    # one phrase over and over gives the fingerprint, the rest the shingles: linked, but not similar
+    loud = [("a b c " * 400 + prose(rng, 300)) for _ in range(2)]
+    assert (fingerprint(loud[0].encode()) ^ fingerprint(loud[1].encode())).bit_count() <= 2
+    rows = [(i, base[i]) for i in close] + [(100 + i, copies[i]) for i in close] + [(200, loud[0]), (201, loud[1])]
+    monkeypatch.setattr(near_documents, "_buckets", lambda text: F.array(F.xxhash64(text)))
+    kept = {r["doc_id"] for r in near_documents.unique_documents(documents(spark, rows)).collect()}
+    assert kept == {*close, 200, 201}
+
+
 def test_signature_misses_few_pairs_at_the_threshold():
     import numpy as np
 
