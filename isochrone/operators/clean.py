@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
-from ..functions.spark import require_none
-from .series import rolling_mean, rolling_std, running, with_windows
+from ..functions.spark import is_date, require_none
+from .series import running, trailing_moments, with_windows
 
 # Fixed values of the cleaning policy.
 MAX_FILL_ROWS = 3
@@ -71,6 +71,9 @@ def _complete(filled: DataFrame, value: str, keys: list[str], error: str | None)
     if error:
         require_none(open_rows, error)
         return filled
+    if is_date(filled, "ts"):  # a series is small then and lies in one place after the fill: no second pass
+        missing = F.count_if(F.col(value).isNull()).over(Window.partitionBy(*keys))
+        return filled.withColumn("_missing", missing).filter("_missing = 0").drop("_missing")
     return filled.join(open_rows, keys, "left_anti")
 
 
@@ -78,13 +81,9 @@ def flag_outliers(
     df: DataFrame, window: int = OUTLIER_WINDOW, sigma: float = OUTLIER_SIGMA, value: str = "close", keys: list[str] | None = None
 ) -> DataFrame:
     """|x - rolling mean| / rolling std above ``sigma``; the window includes the row itself."""
-    x = F.col(value)
-
-    def build(w):
-        z = ratio(F.abs(x - rolling_mean(x, w, window)), rolling_std(x, w, window))
-        return {"is_outlier": F.coalesce(z > sigma, F.lit(False))}
-
-    return with_windows(df, keys or ["asset"], build, before=window - 1)
+    moved = trailing_moments(df, keys or ["asset"], value, window, "_mean", "_std")
+    z = ratio(F.abs(F.col(value) - F.col("_mean")), F.col("_std"))
+    return moved.withColumn("is_outlier", F.coalesce(z > sigma, F.lit(False))).drop("_mean", "_std")
 
 
 def clean_series(

@@ -129,6 +129,38 @@ def carry_forward(df: DataFrame, keys: list[str], columns: list[str], ts: str =
     return out.select(*[F.col(f"_f_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def trailing_moments(df: DataFrame, keys: list[str], value: str, rows: int, mean: str, std: str, ts: str = "ts") -> DataFrame:
+    """Add mean and deviation of the last ``rows`` rows, missing until all of them are present.
+
+    For long windows: the series is cut into parts of ``rows`` rows, so a window is the end of one part and the
+    start of the next. Both are running moments, merged around their means; the work per row does not grow with
+    the window, as that of a sliding frame does. A constant window has the deviation zero.
+    """
+    x, n = F.col(value), F.lit(rows)
+    placed = df if "pos" in df.columns else with_positions(df, keys, ts)
+    part = Window.partitionBy(*keys, "_part")
+
+    def moments(w: WindowSpec) -> Column:
+        count = F.count(x).over(w)
+        return F.struct(count.alias("n"), F.avg(x).over(w).alias("mean"), (F.var_pop(x).over(w) * count).alias("m2"), F.min(x).over(w).alias("low"), F.max(x).over(w).alias("high"))
+
+    ends = placed.withColumn("_part", F.floor(F.col("pos") / n)).withColumns({
+        "_head": moments(part.orderBy("pos").rowsBetween(_START, 0)), "_tail": moments(part.orderBy(F.desc("pos")).rowsBetween(_START, 0)),
+    })
+    # the last row of a part has its whole window in that part
+    earlier = with_windows(ends, keys, lambda w: {"_tail": F.when((F.col("pos") + 1) % n != 0, F.lag("_tail", rows - 1).over(w))}, before=rows - 1, ts=ts)
+    a, b = F.coalesce("_tail.n", F.lit(0)), F.col("_head.n")
+    gap = F.when(a > 0, F.col("_head.mean") - F.col("_tail.mean")).otherwise(0.0)
+    m2 = F.coalesce("_tail.m2", F.lit(0.0)) + F.col("_head.m2") + gap * gap * a * b / n
+    flat = F.least("_tail.low", "_head.low") == F.greatest("_tail.high", "_head.high")
+    full = a + b >= rows
+    out = earlier.withColumns({
+        mean: F.when(full, F.col("_head.mean") - gap * a / n),
+        std: F.when(full & flat, 0.0).when(full, F.sqrt(m2 / (n - 1))),
+    }).drop("_part", "_head", "_tail")
+    return out if "pos" in df.columns else out.drop("pos")
+
+
 # Columns for use inside ``with_windows``.
 
 

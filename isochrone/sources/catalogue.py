@@ -105,12 +105,14 @@ class Catalogue:
         wanted = self._wanted(names)
         plan = self.plan(wanted)
         plan = plan.withColumns({"_start": self._first_day(start, frequency), "_end": F.lit(end).cast("date")})
-        values, level = self._raw(plan.filter("level = 0"), force_refresh), 1
+        levels = [self._raw(plan.filter("level = 0"), force_refresh)]
         while True:
-            own = plan.filter(F.col("level") == level)
+            own = plan.filter(F.col("level") == len(levels))
             if own.isEmpty():
                 break
-            values, level = values.unionByName(self._computed(own, values, force_refresh)), level + 1
+            levels.append(self._computed(own, plan, levels, force_refresh))
+        # only levels that hold a wanted name are read
+        values = self._of_levels(levels, plan.join(wanted, "name", "left_semi"))
         chosen = values.join(wanted.toDF("asset"), "asset", "left_semi")
         if frequency is None:
             return chosen.filter((F.col("ts") >= F.lit(start).cast("date")) & (F.col("ts") < F.date_add(F.lit(end).cast("date"), 1)))
@@ -140,19 +142,30 @@ class Catalogue:
         named = series.join(routed, ["source", "ticker", "frequency"]).filter("ts >= start AND ts < date_add(end, 1)")
         return materialise(named.select(F.col("name").alias("asset"), "ts", "value"), "level-0")
 
-    def _computed(self, plan: DataFrame, values: DataFrame, force_refresh: bool) -> DataFrame:
+    @staticmethod
+    def _of_levels(levels: list[DataFrame], plan: DataFrame) -> DataFrame:
+        """Rows of those levels at which the plan has names; the driver sees the level numbers."""
+        held = sorted(r["level"] for r in plan.select("level").distinct().collect())
+        return reduce(DataFrame.unionByName, [levels[i] for i in held]) if held else levels[0].limit(0)
+
+    def _inputs(self, levels: list[DataFrame], plan: DataFrame, specs: DataFrame) -> DataFrame:
+        """Rows of the levels from which the specs are computed."""
+        sources = self.edges.join(specs.select(F.col("name").alias("src")), "src", "left_semi").select(F.col("dst").alias("name")).distinct()
+        return self._of_levels(levels, plan.join(sources, "name", "left_semi"))
+
+    def _computed(self, plan: DataFrame, whole: DataFrame, levels: list[DataFrame], force_refresh: bool) -> DataFrame:
         """Rows of the variables of one level: what the derived layer has for the range, and the rest computed."""
         plan = plan.withColumn("_id", F.col("derived_id"))
         todo, kept = plan, None
         if not force_refresh and self.store.exists("derived"):
-            have = self.store.read("derived").select(F.col("name").alias("_id"), "ts", F.col("close").alias("value"), "range_start", "range_end")
+            have = self.store.read("derived", among=plan.select(F.col("_id").alias("name")).distinct()).select(F.col("name").alias("_id"), "ts", F.col("close").alias("value"), "range_start", "range_end")
             hit = plan.join(have, "_id").filter("range_start <= _start AND range_end >= _end AND ts >= _start AND ts < date_add(_end, 1)")
             kept = materialise(hit.select(F.col("name").alias("asset"), "ts", "value"), "derived-hits")
             todo = plan.join(kept.select(F.col("asset").alias("name")).distinct(), "name", "left_anti")
         parts = []
         for p in todo.select(*PARAMETERS).distinct().collect():
             same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(p[c])) for c in PARAMETERS])
-            parts.append(self._transformed(todo.filter(same), values, p.asDict()))
+            parts.append(self._transformed(todo.filter(same), self._inputs(levels, whole, todo.filter(same)), p.asDict()))
         if not parts:
             return kept
         rows = reduce(DataFrame.unionByName, parts).join(todo.select(F.col("name").alias("asset"), "_id", "frequency", "_start", "_end"), "asset")

@@ -68,11 +68,11 @@ def incremental_ingest(store: LayerStore, landing: DataFrame, requests: DataFram
     inside = [F.col(k) == F.col(f"_{k}") for k in KEY] + [F.col("ts") >= F.col("_start"), F.col("ts") <= F.col("_end")]
     fetched = materialise(landing.join(asked, inside, "left_semi"), "fetched")
     guard = materialise(superset_of_ranges(ranges, fetched).select(*KEY, "accepted"), "guard")
-    accepted = fetched.join(guard.filter("accepted").select(*KEY), KEY, "left_semi")
+    # every fetched series has its row in the guard; those refused are the fewer
+    accepted = fetched.join(guard.filter("NOT accepted").select(*KEY), KEY, "left_anti")
     store.replace_raw(accepted)
-    cleaned = materialise(clean_series(accepted, fill_limit, keys=KEY), "cleaned")
-    store.write_adjusted(cleaned, CLEAN_VERSION)
-    kept = cleaned.select(*KEY, F.lit(True).alias("_cleaned")).distinct()
+    written = store.write_adjusted(clean_series(accepted, fill_limit, keys=KEY), CLEAN_VERSION)
+    kept = written.select(*KEY, F.lit(True).alias("_cleaned"))
     status = (
         F.when(F.col("covered"), "covered").when(F.col("accepted").isNull(), "no_data").when(~F.col("accepted"), "rejected")
         .when(F.col("_cleaned"), "stored").otherwise("raw_only")
@@ -97,7 +97,7 @@ def fetch_or_load(
         require_none(served.filter(F.col("status").isin(refused)).select(*KEY, "status"), "series that cannot be served")
     if not store.exists(layer):
         return landing.limit(0)
-    rows = store.read(layer, version=CLEAN_VERSION if layer == "adjusted" else None)
+    rows = store.read(layer, version=CLEAN_VERSION if layer == "adjusted" else None, among=requests.select(*KEY).distinct())
     asked = requests.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("start").alias("_start"), F.col("end").alias("_end"))
     inside = [F.col(k) == F.col(f"_{k}") for k in KEY] + [F.col("ts") >= F.col("_start"), F.col("ts") < F.date_add("_end", 1)]
     return rows.join(asked, inside, "left_semi")

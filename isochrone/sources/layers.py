@@ -127,7 +127,8 @@ class LayerStore:
         """One row per stored series: its key, ``first``, ``last`` and ``row_count``, from the manifest alone."""
         return self._live(layer, self._state(layer)).drop("generation", "bucket")
 
-    def _write(self, df: DataFrame, layer: str, replace: bool) -> None:
+    def _write(self, df: DataFrame, layer: str, replace: bool) -> DataFrame:
+        """Stores the rows and returns the manifest of what was written, one row per series."""
         _check_close(df)
         state, key, folders = self._state(layer), SERIES_KEY[layer], LAYERS[layer]
         schema = _merged(state.schema, df.schema)
@@ -145,8 +146,9 @@ class LayerStore:
             replaces = self._overlap(layer, state, new, replace)
             if new.isEmpty():
                 self._drop(at)
-                return
+                return self.spark.createDataFrame([], new.schema)
             self._commit(layer, state, generation, replaces, schema=df.schema)
+            return new
         except BaseException:
             self._drop(at)
             raise
@@ -173,10 +175,11 @@ class LayerStore:
         """Only for callers that have checked the replacement (see ``ingest.superset_guard``)."""
         self._write(df, "raw", replace=True)
 
-    def write_adjusted(self, df: DataFrame, version: int) -> None:
+    def write_adjusted(self, df: DataFrame, version: int) -> DataFrame:
+        """The written series are returned, as their manifest."""
         if version < 0:
             raise ValueError("version must be >= 0.")
-        self._write(df.withColumn("version", F.lit(version)), "adjusted", replace=True)
+        return self._write(df.withColumn("version", F.lit(version)), "adjusted", replace=True)
 
     def write_derived(self, df: DataFrame) -> None:
         self._write(df, "derived", replace=True)
@@ -195,11 +198,12 @@ class LayerStore:
         return dead
 
     def read(
-        self, layer: str, where: Column | None = None, version: int | str | None = None, series: str | None = None
+        self, layer: str, where: Column | None = None, version: int | str | None = None, series: str | None = None, among: DataFrame | None = None
     ) -> DataFrame:
         """Rows of a layer. ``where`` prunes folders and is pushed into the scan; ``series`` (a ticker,
-        or the name of a derived series) reads only its generations and buckets; in the adjusted layer
-        ``version`` is a number or ``"latest"``."""
+        or the name of a derived series) reads only its generations and buckets; ``among`` (columns of the series
+        key) leaves out generations that hold none of these series, its own rows are not filtered; in the adjusted
+        layer ``version`` is a number or ``"latest"``."""
         state, key = self._state(layer), SERIES_KEY[layer]
         if not state.generations:
             raise LookupError(f"the {layer} layer holds nothing.")
@@ -210,11 +214,18 @@ class LayerStore:
             held = live.filter(name == series).select("generation", "bucket").distinct().collect()
             generations = sorted({r.generation for r in held})
             places = F.col("bucket").isin(sorted({r.bucket for r in held})) & (name == series)
+        if among is not None:
+            # names of generations, one per write
+            held = live.join(among, among.columns, "left_semi").select("generation").distinct().toLocalIterator()
+            asked = {r.generation for r in held}
+            generations = [g for g in generations if g in asked]
         schema = T.StructType([*state.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("generation", T.StringType())])
         df = self._scan(layer, "data", [g for g in generations if g not in state.replaced], schema)
         old = [g for g in generations if g in state.replaced]
         if old:
-            df = df.unionByName(self._scan(layer, "data", old, schema).join(live.select(*key, "generation"), [*key, "generation"], "left_semi"))
+            # the series that later generations have: usually few, and none of them large
+            stale = self._manifest(layer, state, old).select(*key, "generation").join(live.select(*key, "generation"), [*key, "generation"], "left_anti")
+            df = df.unionByName(self._scan(layer, "data", old, schema).join(stale, [*key, "generation"], "left_anti"))
         df = df.filter(places).select(*state.schema.names)
         df = df if where is None else df.filter(where)
         if version == "latest":

@@ -139,3 +139,29 @@ def test_gross_limit(spark, bound):
     df = spark.createDataFrame([(0, 0, 3.0), (0, 1, -1.0), (1, 0, 0.5), (1, 1, 0.5), (2, 0, 0.0), (2, 1, 0.0)], "ts int, asset int, weight double")
     got = {(r.ts, r.asset): r.weight for r in gross_limit(df, 2.0, bound=bound).collect()}
     assert got == {(0, 0): 1.5, (0, 1): -0.5, (1, 0): 0.5, (1, 1): 0.5, (2, 0): 0.0, (2, 1): 0.0}
+
+
+def test_trailing_moments_do_not_slide(spark):
+    """Equal to the sliding frame, and no sliding frame in the plan."""
+    import random
+
+    from isochrone.operators.clean import flag_outliers
+    from isochrone.operators.series import rolling_mean, rolling_std, trailing_moments, with_windows
+
+    rng = random.Random(4)
+    values = [(a, i, None if rng.random() < 0.02 else 0.1 if 40 <= i < 60 else 1e6 + rng.random()) for a, n in (("x", 90), ("y", 7), ("z", 8)) for i in range(n)]
+    rows = spark.createDataFrame(values, "asset string, i int, value double")
+    for kind in ("date", "timestamp"):
+        df = rows.selectExpr("asset", f"CAST(date_add(DATE '2024-01-01', i) AS {kind.upper()}) AS ts", "value")
+        x = F.col("value")
+        got = trailing_moments(df, ["asset"], "value", 8, "m", "s")
+        both = with_windows(got, ["asset"], lambda w: {"rm": rolling_mean(x, w, 8), "rs": rolling_std(x, w, 8)}, before=7)
+        found = both.collect()
+        assert len(found) == len(values) and got.columns == [*df.columns, "m", "s"]
+        assert sum(r["m"] is not None for r in found) > 40
+        for r in found:
+            assert (r["m"] is None) == (r["rm"] is None) and (r["s"] is None) == (r["rs"] is None)
+            if r["m"] is not None:
+                assert abs(r["m"] - r["rm"]) <= 1e-12 * abs(r["rm"]) and abs(r["s"] - r["rs"]) <= 1e-7 * r["rs"]
+        plan = flag_outliers(df, value="value")._jdf.queryExecution().executedPlan().toString()
+        assert "RowFrame, -251" not in plan.replace("-251, -251", "")
