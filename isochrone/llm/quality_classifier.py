@@ -112,19 +112,28 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
     return w / scale
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """quality and features of every labelled document that is not held out: one row per id, label and
-    features, combined map-side, so that the rows of a hot id are few when they leave their task."""
-    require(docs, "doc_id", "text")
+def labelled_rows(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """quality and features of every labelled document that is not held out, from the features of all: one row per
+    id, label and features, combined map-side, so that the rows of a hot id are few when they leave their task."""
     require(labels, "doc_id", "quality")
     usable = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality")).where("label_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("label_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(usable, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
-    return features(texts, keep=("doc_id", "quality")).distinct()
+    return measured.join(usable, F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", *FEATURES).distinct()
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labelled_rows`` of documents. Texts are measured before the join: they never travel."""
+    require(docs, "doc_id", "text")
+    return labelled_rows(features(docs), labels)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the labelled documents that are not held out."""
-    rows = stored(labelled_features(docs, labels), "classifier-rows")
+    return fit_rows(labelled_features(docs, labels), sample)
+
+
+def fit_rows(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+    """``fit`` on labelled features."""
+    rows = stored(labelled, "classifier-rows")
     order = [F.xxhash64("doc_id", *FEATURES), F.col("doc_id"), *[F.col(f) for f in FEATURES]]
     picked = [rows.where(F.col("quality") == q).orderBy(*order).limit(sample).toPandas() for q in (0, 1)]
     x = np.concatenate([p[list(FEATURES)].to_numpy("float64").reshape(-1, len(FEATURES)) for p in picked])
@@ -141,5 +150,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of every row."""
-    scored = features(docs).withColumn("score", model.score())
+    return score_rows(features(docs), model)
+
+
+def score_rows(measured: DataFrame, model: Model) -> DataFrame:
+    """``score`` on features."""
+    scored = measured.withColumn("score", model.score())
     return scored.select("doc_id", "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Learn and score; texts are measured once for both."""
+    require(docs, "doc_id", "text")
+    measured = stored(features(docs), "classifier-features")
+    return score_rows(measured, fit_rows(labelled_rows(measured, labels), sample))

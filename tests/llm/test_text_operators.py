@@ -326,3 +326,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r[0] for r in clean} <= lines and not lines & set(range(200, 205))
     assert {r[0] for r in clean} <= unique <= lines and mixed <= unique
     assert {r["doc_id"] for r in docs.collect()} == mixed
+
+
+def test_labelled_texts_do_not_travel(spark, capsys):
+    """Whatever the sizes say, only measurements are shuffled to meet the labels."""
+    from isochrone.llm import quality_classifier
+
+    rng = random.Random(1)
+    docs = documents(spark, [(i, prose(rng, 30)) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    quality_classifier.labelled_features(docs.hint("merge"), labels.hint("merge")).explain("formatted")
+    plan = capsys.readouterr().out
+    moved = re.findall(r"Exchange\s*\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and not any("text#" in m for m in moved)
+    both = quality_classifier.classify(docs, labels).collect()
+    apart = quality_classifier.score(docs, quality_classifier.fit(docs, labels)).collect()
+    assert len(both) == 40 and sorted(map(tuple, both)) == sorted(map(tuple, apart))
