@@ -5,15 +5,18 @@ Jaccard similarity of their sets of ``GRAM`` consecutive characters is at least
 
 1. Sketch. Each document is split in its task; every line that the batch has not seen yet is sketched over
    the runs of ``GRAM`` characters at every position: ``BANDS * ROWS`` minima of their hashes, each under a
-   multiplication of its own, and the number of distinct runs. Lines that agree on all rows of a band share a
-   bucket; a pair at the threshold shares none with a probability of (1 - 0.8 ** 4) ** 13 = 0.1 %.
+   multiplication of its own, and the number of distinct runs. Its buckets: a line of fewer than ``SHORT`` runs has
+   those of lines that agree on all rows of a band (a pair at the threshold shares none with a probability of
+   (1 - 0.8 ** 4) ** 13 = 0.1 %); a longer one has its smallest window of 12 or 16 characters in each of ``BANDS``
+   bins. Edits that leave 0.8 of the runs leave windows: of 22,500 pairs just above the threshold, with changed, added or
+   rearranged characters, 2 share none (with bands throughout, 8).
 2. Verification. Each member of a bucket is compared with the bucket's first line, exactly, on the full
    sets of runs: linear in the bucket. Before any text is read, pairs go whose numbers of runs rule a link out
    (exact), or whose minima agree in so few places that a pair at the threshold would with a probability
    of 0.03 % (``LEAST_AGREEING``). Components follow from the links.
 3. Rest. Only buckets whose members are still in different components can hide a link. Up to ``SMALL_BUCKET``
    members are paired across components; those of larger buckets are paired through their rarest runs
-   (``set_links``), which loses no pair and never forms all pairs of a large bucket.
+   (``rarest_runs``), chosen in the tasks under one rough order of frequency: it loses no pair, and other runs are not shuffled.
 4. Every line of a component but its first occurrence, by (doc_id, line number), is removed.
 
 Sketch and verification run in NumPy and pandas inside Arrow batches: written with DataFrame functions the
@@ -29,22 +32,28 @@ anew) are carried as they are.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import carried, discard, require, split_words, stored, text_of
 from .components import connected_components
-from .set_links import open_members, pairs_across, sizes_allow
+from .set_links import SLACK, open_members, pairs_sharing, sizes_allow
 
 GRAM = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 13, 4
+#: Numbers of runs from which a line has buckets of windows of the first and of the second of ``WIDTHS``.
+SHORT, LONG = 20, 60
+WIDTHS = (12, 16)
+#: Bits of a bucket's and of a node's number: shuffled rows stay small, and chance agreements are rare and harmless.
+BUCKET_BITS, NODE_BITS = 44, 48
 #: Minima (their lowest four bits are kept) in which a pair must agree to be compared at all.
 LEAST_AGREEING = 32
 #: Members of a bucket that are paired directly.
@@ -53,12 +62,16 @@ SEED = 42
 #: Runs that are sketched at once (a longer line is a block of its own), and lines one output batch holds.
 BLOCK_RUNS = 1 << 17
 BATCH_LINES = 20_000
+#: Counters of runs (and how many travel in one row), and lines whose rarest runs one output batch holds.
+RUN_SLOTS, SLOT_BLOCK = 1 << 18, 1 << 12
+PICKED_LINES = 2_000
 #: Bits of the bitmap of lines whose texts are asked for: 4 MB.
 FILTER_BITS = 1 << 25
 
 _rng = np.random.default_rng(SEED)
 _CHARACTERS = _rng.integers(0, 2**63, GRAM, dtype="uint64") * np.uint64(2) + np.uint64(1)
 _MULTIPLIERS = _rng.integers(2**29, 2**31, BANDS * ROWS, dtype="uint32") * np.uint32(2) + np.uint32(1)
+_STEPS = np.random.default_rng(SEED + 1).integers(0, 2**63, 8, dtype="uint64") * np.uint64(2) + np.uint64(1)
 _MIX = _rng.integers(0, 2**63, (BANDS, ROWS), dtype="uint64") * np.uint64(2) + np.uint64(1)
 
 
@@ -81,40 +94,80 @@ def _run_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[inside[: len(h)]], np.cumsum(lengths - GRAM + 1) - (lengths - GRAM + 1)
 
 
+def _least_windows(h: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
+    """The smallest hash of the windows of ``width`` characters in each of ``BANDS`` bins, lines by bins; what falls into a
+    bin depends on the window only. An empty bin has the smallest of the whole line. ``h``, ``counts``: the runs of the
+    lines and their numbers."""
+    reach = width - GRAM
+    w = h[: len(h) - reach] * _STEPS[0]
+    for i, at in enumerate([*range(GRAM, reach, GRAM), reach], 1):
+        w += h[at : at + len(w)] * _STEPS[i]
+    # windows that start in the last runs of a line would reach into the next one
+    ends, inside = np.cumsum(counts), np.ones(len(h), bool)
+    for i in range(1, reach + 1):
+        inside[ends - i] = False
+    w = w[inside[: len(w)]]
+    w ^= w >> np.uint64(32)
+    w *= np.uint64(0x9E3779B97F4A7C15)
+    w ^= w >> np.uint64(29)
+    bins = (((w & np.uint64(0xFFFFFFFF)) * np.uint64(BANDS)) >> np.uint64(32)).view("int64")
+    bins += np.repeat(np.arange(0, len(counts) * BANDS, BANDS), counts - reach)
+    least = np.full(len(counts) * BANDS, np.iinfo("uint64").max, "uint64")
+    np.minimum.at(least, bins, w)
+    least = least.reshape(-1, BANDS)
+    return np.where(least == np.iinfo("uint64").max, least.min(axis=1, keepdims=True), least)
+
+
 def sketch(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of distinct runs of each line, its buckets (lines by bands), and four bits of each of its minima,
-    sixteen to a number."""
+    """Number of distinct runs of each line, its buckets (lines by twice ``BANDS``, some of them repeated), and four bits
+    of each of its minima, sixteen to a number."""
     h, starts = _run_hashes(lines)
+    counts = np.diff(starts, append=len(h))
     small = (h >> np.uint64(32)).astype("uint32")
     minima = np.empty((len(lines), BANDS * ROWS), "uint64")
     for i, m in enumerate(_MULTIPLIERS):
         minima[:, i] = np.minimum.reduceat(small * m, starts)
-    owner = np.repeat(np.arange(len(lines), dtype="uint64"), np.diff(starts, append=len(h)))
+    owner = np.repeat(np.arange(len(lines), dtype="uint64"), counts)
     keys = np.sort(owner << np.uint64(44) | h >> np.uint64(20))
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
+    sizes = np.add.reduceat(first, starts, dtype="int64")
+    # bands of minima, or windows of two widths: what a line has follows from its size, and near-equal lines have one in common
+    buckets = np.zeros((len(lines), 2, BANDS), "uint64")
     mixed = minima.reshape(-1, BANDS, ROWS) * _MIX
     mixed ^= mixed >> np.uint64(32)
-    buckets = np.bitwise_xor.reduce(mixed * _MIX[:, ::-1], axis=2)
     # a band is part of its bucket's name
-    buckets ^= np.arange(BANDS, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
+    bands = np.bitwise_xor.reduce(mixed * _MIX[:, ::-1], axis=2) ^ (np.arange(BANDS, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15))
+    short = sizes * SIMILARITY < SHORT
+    buckets[short, 0] = bands[short]
+    for place, width, own in ((1, WIDTHS[0], (sizes >= SHORT) & (sizes * SIMILARITY < LONG)), (0, WIDTHS[1], sizes >= LONG)):
+        if own.any():
+            kept = _least_windows(h[np.repeat(own, counts)], counts[own], width)
+            buckets[own, place] = (kept ^ np.uint64(width)) * np.uint64(0xD6E8FEB86659FD93)
+    for place, lacks in ((0, ~short & (sizes < LONG)), (1, (sizes < SHORT) | (sizes * SIMILARITY >= LONG))):
+        buckets[lacks, place] = buckets[lacks, 1 - place]
     few = np.zeros((len(lines), -(-BANDS * ROWS // 16) * 16), "uint64")
     # the minima are small numbers by nature; mixed, any four bits tell them apart
     few[:, : BANDS * ROWS] = (minima * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60))
     marks = np.bitwise_or.reduce(few.reshape(len(lines), -1, 16) << (np.arange(16, dtype="uint64") * np.uint64(4)), axis=2)
-    return np.add.reduceat(first, starts, dtype="int64"), buckets.view("int64"), marks.view("int64")
+    return sizes, (buckets.reshape(len(lines), -1) >> np.uint64(64 - BUCKET_BITS)).view("int64"), marks.view("int64")
 
 
-def _sketches(lines: list[str]) -> list[np.ndarray]:
-    """``sketch`` of any number of lines, block by block."""
-    parts, at = [sketch(["-"])], 0
+def _blocks(lines: list[str]) -> Iterator[list[str]]:
+    """The lines in blocks of up to ``BLOCK_RUNS`` characters, a longer line alone."""
+    at = 0
     while at < len(lines):
         end, runs = at, 0
         while end < len(lines) and (end == at or runs + len(lines[end]) <= BLOCK_RUNS):
             runs += len(lines[end])
             end += 1
-        parts.append(sketch(lines[at:end]))
+        yield lines[at:end]
         at = end
+
+
+def _sketches(lines: list[str]) -> list[np.ndarray]:
+    """``sketch`` of any number of lines, block by block."""
+    parts = [sketch(block) for block in ([["-"], *_blocks(lines)])]
     return [np.concatenate(x)[1:] for x in zip(*parts, strict=True)]
 
 
@@ -144,6 +197,7 @@ def sketched_lines(docs: DataFrame) -> DataFrame:
         place = {k: i for i, k in enumerate(news)}
         at = pa.array([s[0] for s in spots], pa.int64())
         fresh = [place.pop(s[3], None) for s in spots]
+        sketches[1] = [np.unique(x) for x in sketches[1]]
         columns = [batch.column(0).take(at), batch.column(1).take(at), *[pa.array([s[j] for s in spots], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.binary()))]]
         columns += [pa.array([None if i is None else x[i] for i in fresh], t) for x, t in zip(sketches, (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]
         return pa.RecordBatch.from_arrays(columns, names)
@@ -168,22 +222,21 @@ def sketched_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-def placed_lines(sketched: DataFrame, used: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(bucket, head, last, twice) of every bucket that several lines share, and (bucket, node) of those that
-    more than two sketches are in.
+def placed_lines(sketched: DataFrame, used: list[str]) -> DataFrame:
+    """bucket, node, head, many of the lines in every bucket that several lines share: its smallest line, and whether more
+    than two sketches are in it.
 
-    A node is the first 64 bits of a line's key; links name the whole keys, so two lines that agree in these
-    bits are still told apart. Most buckets hold two lines: these are their smallest and largest.
+    A node is the first bits of a line's key; links name the whole keys, so two lines that agree in these
+    bits are still told apart. The bucket rows travel once; a window reads them in order, however many one bucket has.
     """
     lines = sketched.where("buckets IS NOT NULL").select(node_of().alias("node"), F.explode("buckets").alias("bucket"))
-    ends = lines.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count("*").alias("n"))
-    shared = stored(ends.where("head < last").select("bucket", "head", "last", (F.col("n") == 2).alias("twice")), "line-buckets", used)
-    many = stored(shared.where("NOT twice").select("bucket", "head"), "line-many", used)
-    return shared, stored(lines.join(many, "bucket").distinct(), "line-places", used)
+    own = Window.partitionBy("bucket")
+    ends = lines.select("bucket", "node", F.min("node").over(own).alias("head"), F.max("node").over(own).alias("last"), (F.count("*").over(own) > 2).alias("many"))
+    return stored(ends.where("head < last").select("bucket", "node", "head", "many"), "line-places", used)
 
 
 def node_of() -> Column:
-    return F.conv(F.substring(F.hex("key"), 1, 16), 16, -10).cast("long")
+    return F.conv(F.substring(F.hex("key"), 1, NODE_BITS // 4), 16, 10).cast("long")
 
 
 def node_bits(nodes: DataFrame) -> bytes:
@@ -211,7 +264,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for text in batch.column(0).cast(pa.large_binary()):
                 for _, norm in normal_lines(text.as_py()):
                     key = hashlib.md5(norm, usedforsecurity=False).digest()
-                    at = int.from_bytes(key[:8], "big") % FILTER_BITS
+                    at = int.from_bytes(key[: NODE_BITS // 8], "big") % FILTER_BITS
                     if known[at >> 3] >> (at & 7) & 1:
                         own[key] = norm
                 if len(own) >= BATCH_LINES:
@@ -245,9 +298,56 @@ def near_equal(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="bool")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def run_numbers(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(_run_hashes([t])[0]).view("int64") for t in texts])
+def run_counts(texts: DataFrame) -> np.ndarray:
+    """How often the runs of the texts occur, added up over ``RUN_SLOTS`` slots of their hashes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(RUN_SLOTS, "int64")
+        for batch in batches:
+            for block in _blocks(batch.column(0).to_pylist()):
+                own += np.bincount(_slots(_run_hashes(block)[0]), minlength=RUN_SLOTS)
+        blocks = own.reshape(-1, SLOT_BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["block", "counts"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(SLOT_BLOCK, "int64")
+        for x in rows["counts"]:
+            total += np.frombuffer(x, "int64")
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "counts": [total.tobytes()]})
+
+    kind = "block int, counts binary"
+    out = np.zeros((RUN_SLOTS // SLOT_BLOCK, SLOT_BLOCK), "int64")
+    for part in texts.select("norm").mapInArrow(count, kind).groupBy("block").applyInPandas(add, kind).toLocalIterator():
+        out[part["block"]] = np.frombuffer(part["counts"], "int64")
+    return out.reshape(-1)
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(RUN_SLOTS)).astype("int64")
+
+
+def rarest_runs(texts: DataFrame) -> DataFrame:
+    """node, n, element: of each text the runs of which near-equal texts share one at least (see ``set_links``), in the order
+    of ``run_counts``. Any order that all texts have in common loses no pair; a rough one costs some pairs more. Runs that
+    occur once are left out. No other run leaves its task."""
+    counts = texts.sparkSession.sparkContext.broadcast(run_counts(texts))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, PICKED_LINES):
+                sizes, parts = [], []
+                for text in batch.column(1).slice(at, PICKED_LINES):
+                    h = np.unique(_run_hashes([text.as_py()])[0])
+                    n = often[_slots(h)]
+                    first = np.argsort(n, kind="stable")[: len(h) - math.ceil(SIMILARITY * len(h) - SLACK) + 1]
+                    parts.append(h[first[n[first] > 1]].view("int64"))
+                    sizes.append(len(h))
+                where = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+                node = batch.column(0).slice(at, PICKED_LINES).take(pa.array(where, pa.int64()))
+                yield pa.RecordBatch.from_arrays([node, pa.array(np.array(sizes, "int32")[where]), pa.array(np.concatenate(parts))], ["node", "n", "element"])
+
+    return texts.select("node", "norm").mapInArrow(pick, "node long, n int, element long")
 
 
 def agreeing(a: str, b: str) -> Column:
@@ -288,14 +388,13 @@ def verified(docs: DataFrame, pairs: DataFrame, name: str, used: list[str]) -> D
 
 def line_components(docs: DataFrame, sketched: DataFrame, used: list[str]) -> DataFrame:
     """(key, component) of the lines that have near-equal ones. ``used`` notes the folders it is read from."""
-    shared, places = placed_lines(sketched, used)
-    first = shared.where("twice").select(F.col("last").alias("a"), F.col("head").alias("b"))
-    first = stored(first.union(places.where("node <> head").select("node", "head")).distinct(), "line-first", used)
+    places = placed_lines(sketched, used)
+    first = stored(places.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "line-first", used)
     members = stored(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), "line-members", used)
     facts = sketched.where("buckets IS NOT NULL").select(node_of().alias("node"), "runs", "marks").join(members, "node", "left_semi")
     facts = stored(facts.dropDuplicates(["node"]), "line-facts", used)
     linked = verified(docs, worth_reading(first, facts), "line-star", used)
-    rest = stored(open_members(places.select("bucket", "node"), connected_components(linked, into=used), ["bucket"]), "line-open", used)
+    rest = stored(open_members(places.where("many").select("bucket", "node").distinct(), connected_components(linked, into=used), ["bucket"]), "line-open", used)
     sizes = rest.groupBy("bucket").agg((F.count("*") > SMALL_BUCKET).alias("large"))
     rest = stored(rest.join(sizes, "bucket").join(facts, "node"), "line-rest", used)
     one, two = (rest.where("NOT large").select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "runs", "marks")]) for side in "ab")
@@ -304,8 +403,12 @@ def line_components(docs: DataFrame, sketched: DataFrame, used: list[str]) -> Da
     direct = direct.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
     large = rest.where("large").select("bucket", "node", "component")
     asked = stored(large.select("node").distinct(), "line-large", used)
-    sets = stored(texts_of(docs, asked).select("node", run_numbers("norm").alias("elements")), "line-sets", used) if not asked.isEmpty() else None
-    across = direct if sets is None else direct.union(worth_reading(pairs_across(large, sets, ["bucket"], SIMILARITY), facts)).distinct()
+    across = direct
+    if not asked.isEmpty():
+        texts = stored(texts_of(docs, asked).select("node", "norm"), "line-large-texts", used)
+        rarest = stored(rarest_runs(texts), "line-rarest", used)
+        found = stored(pairs_sharing(large, rarest, ["bucket"], SIMILARITY), "line-across", used)
+        across = direct.union(worth_reading(found, facts)).distinct()
     more = verified(docs, across.join(first, ["a", "b"], "left_anti"), "line-rest", used)
     links = linked.select("key_a", "key_b").union(more.select("key_a", "key_b"))
     return connected_components(links, "key_a", "key_b", used).select(F.col("node").alias("key"), "component")

@@ -43,7 +43,12 @@ def pairs_across(members: DataFrame, sets: DataFrame, keys: list[str], similarit
     counted = elements.groupBy("element").agg(F.count("*").alias("often"))
     order = Window.partitionBy("node").orderBy("often", "element")
     first = elements.join(counted, "element").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(similarity * F.col("n") - SLACK) + 1)
-    placed = members.select(*keys, "node", "component").join(first.where("often > 1").select("node", "n", "element"), "node")
+    return pairs_sharing(members, first.where("often > 1").select("node", "n", "element"), keys, similarity)
+
+
+def pairs_sharing(members: DataFrame, first: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """``pairs_across`` from the first elements of the sets in a common order: ``first`` is node, n, element."""
+    placed = members.select(*keys, "node", "component").join(first, "node")
     one = placed.select(*keys, "element", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
     two = placed.select(*keys, "element", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
     both = one.join(two, [*keys, "element"]).where((F.col("cx") < F.col("cy")) & sizes_allow(F.col("nx"), F.col("ny"), similarity))

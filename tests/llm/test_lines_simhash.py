@@ -212,3 +212,36 @@ def test_texts_of_with_a_full_and_a_wide_bitmap(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
         got = line_dedup.texts_of(docs, asked).select("norm", (F.col("key") == key).alias("same")).collect()
         assert sorted(r["norm"] for r in got) == sorted(lines[::7]) and all(r["same"] for r in got)
+
+
+def test_rarest_runs_are_few_and_shared_by_near_lines(spark):
+    rng = random.Random(17)
+    pairs = []
+    while len(pairs) < 150:
+        a = " ".join(prose(rng, rng.randint(6, 60)).split())
+        b = edited(rng, a, rng.choice([1, 2]))
+        if a != b and near(a, b):
+            pairs.append((a, b))
+    texts = spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)], "node long, norm string")
+    own = {}
+    for r in line_dedup.rarest_runs(texts).collect():
+        own.setdefault(r["node"], set()).add(r["element"])
+    assert all(own.get(2 * i, set()) & own.get(2 * i + 1, set()) for i in range(len(pairs)))
+    runs = {2 * i + j: len(grams(x)) for i, p in enumerate(pairs) for j, x in enumerate(p)}
+    assert all(len(own.get(k, ())) <= n // 5 + 1 for k, n in runs.items())
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    import time
+
+    from isochrone.llm.common import CLEAN_UP, stored
+
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {x for x in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before, was = files(), spark.conf.get(CLEAN_UP, None)
+    table = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "step")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 7 and spark.conf.get(CLEAN_UP, None) == was
