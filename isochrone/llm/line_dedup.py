@@ -7,17 +7,21 @@ Jaccard similarity of their sets of ``GRAM`` consecutive characters is at least
    the runs of ``GRAM`` characters at every position: ``BANDS * ROWS`` minima of their hashes, each under a
    multiplication of its own, and the number of distinct runs. Its buckets: a line of fewer than ``SHORT`` runs has
    those of lines that agree on all rows of a band (a pair at the threshold shares none with a probability of
-   (1 - 0.8 ** 4) ** 13 = 0.1 %); a longer one has its smallest window of 12 or 16 characters in each of ``BANDS``
-   bins. Edits that leave 0.8 of the runs leave windows: of 22,500 pairs just above the threshold, with changed, added or
-   rearranged characters, 2 share none (with bands throughout, 8).
-2. Verification. Each member of a bucket is compared with the bucket's first line, exactly, on the full
-   sets of runs: linear in the bucket. Before any text is read, pairs go whose numbers of runs rule a link out
-   (exact), or whose minima agree in so few places that a pair at the threshold would with a probability
-   of 0.03 % (``LEAST_AGREEING``). Components follow from the links.
-3. Rest. Only buckets whose members are still in different components can hide a link. Up to ``SMALL_BUCKET``
-   members are paired across components; those of larger buckets are paired through their rarest runs
+   (1 - 0.8 ** 4) ** 13 = 0.1 %); a longer one has its smallest window of 12 or 18 characters in each of ``BANDS``
+   bins. Edits that leave 0.8 of the runs leave windows (figures in the README).
+2. Pairs. A line travels with one number, its sign: the logarithm of its number of runs and one bit of each minimum.
+   Members of a bucket of up to ``DIRECT`` rows are paired, those of a larger one are paired with its first line: linear in
+   the bucket. Only pairs whose signs allow a link become rows (a pair at the threshold is lost with a probability of
+   0.012 %, ``LEAST_SIGNS``), however many lines have a passage in common. The buckets are dealt out in ``PASSES``
+   passes, so that a part of their rows at a time is on disk.
+3. Verification. Before any text is read, pairs go whose numbers of runs rule a link out (exact), or whose minima agree in so
+   few places that a pair at the threshold would with a probability of 0.03 % (``LEAST_AGREEING``). The others are
+   compared exactly, on the full sets of runs. Components follow from the links.
+4. Rest. Only larger buckets whose members are still in different components can hide a link. Up to ``SMALL_BUCKET``
+   members are compared across components by their signs; those of larger buckets are paired through their rarest runs
    (``rarest_runs``), chosen in the tasks under one rough order of frequency: it loses no pair, and other runs are not shuffled.
-4. Every line of a component but its first occurrence, by (doc_id, line number), is removed.
+   Members of a bucket's largest component are not compared with each other.
+5. Every line of a component but its first occurrence, by (doc_id, line number), is removed.
 
 Sketch and verification run in NumPy and pandas inside Arrow batches: written with DataFrame functions the
 sketch alone took 2.6 times the whole budget (figures in the README). All else are DataFrame operations.
@@ -34,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,20 +49,24 @@ from pyspark.sql import types as T
 
 from .common import carried, discard, require, split_words, stored, text_of
 from .components import connected_components
-from .set_links import SLACK, open_members, pairs_sharing, sizes_allow
+from .set_links import SLACK, across_components, main_marked, open_members, pairs_sharing, sizes_allow
 
 GRAM = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 13, 4
 #: Numbers of runs from which a line has buckets of windows of the first and of the second of ``WIDTHS``.
-SHORT, LONG = 20, 60
-WIDTHS = (12, 16)
+SHORT, LONG = 20, 90
+WIDTHS = (12, 18)
 #: Bits of a bucket's and of a node's number: shuffled rows stay small, and chance agreements are rare and harmless.
 BUCKET_BITS, NODE_BITS = 44, 48
 #: Minima (their lowest four bits are kept) in which a pair must agree to be compared at all.
 LEAST_AGREEING = 32
-#: Members of a bucket that are paired directly.
-SMALL_BUCKET = 256
+#: Bits of the minima (one each) in which a pair must agree to become a row, and the most by which its logarithms may differ.
+LEAST_SIGNS, SIZE_STEPS = 38, 64
+#: Rows of a bucket that are paired at once; members that are compared across components by their signs.
+DIRECT, SMALL_BUCKET = 32, 1 << 14
+#: Parts of the buckets whose rows are on disk one after another.
+PASSES = 2
 SEED = 42
 #: Runs that are sketched at once (a longer line is a block of its own), and lines one output batch holds.
 BLOCK_RUNS = 1 << 17
@@ -153,6 +162,22 @@ def sketch(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes, (buckets.reshape(len(lines), -1) >> np.uint64(64 - BUCKET_BITS)).view("int64"), marks.view("int64")
 
 
+def signs(sizes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """One number a line: the lowest bit of each of its ``BANDS * ROWS`` minima, and above them the logarithm of its size."""
+    out = np.round(np.log2(sizes) * SIZE_STEPS).astype("uint64") << np.uint64(BANDS * ROWS)
+    for i in range(BANDS * ROWS):
+        out |= (marks[:, i // 16].view("uint64") >> np.uint64(4 * (i % 16)) & np.uint64(1)) << np.uint64(i)
+    return out.view("int64")
+
+
+def signs_allow(a: str, b: str) -> Column:
+    """Whether lines of these signs can be near-equal."""
+    bits = BANDS * ROWS
+    agree = bits - F.bit_count(F.col(a).bitwiseXOR(F.col(b)).bitwiseAND(F.lit((1 << bits) - 1)))
+    apart = F.abs(F.shiftrightunsigned(a, bits) - F.shiftrightunsigned(b, bits))
+    return (agree >= LEAST_SIGNS) & (apart <= math.ceil(-SIZE_STEPS * math.log2(SIMILARITY)) + 1)
+
+
 def _blocks(lines: list[str]) -> Iterator[list[str]]:
     """The lines in blocks of up to ``BLOCK_RUNS`` characters, a longer line alone."""
     at = 0
@@ -182,24 +207,25 @@ def normal_lines(data: bytes) -> list[tuple[int, bytes]]:
 
 
 def sketched_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_lines, line_no, key (16 bytes), runs, buckets, marks of every line that is not blank.
+    """doc_id, text_hash, n_lines, line_no, key (16 bytes), runs, buckets, marks, sign of every line that is not blank.
 
-    The last three are NULL where the same batch has the line before. A task keeps nothing between batches.
+    The last four are NULL where the same batch has the line before. A task keeps nothing between batches.
     """
     require(docs, "doc_id", "text")
     rows = docs.select("doc_id", text_of().alias("text"))
-    names = ["doc_id", "text_hash", "n_lines", "line_no", "key", "runs", "buckets", "marks"]
-    kinds = [T.LongType(), T.IntegerType(), T.IntegerType(), T.BinaryType(), T.IntegerType(), *[T.ArrayType(T.LongType())] * 2]
+    names = ["doc_id", "text_hash", "n_lines", "line_no", "key", "runs", "buckets", "marks", "sign"]
+    kinds = [T.LongType(), T.IntegerType(), T.IntegerType(), T.BinaryType(), T.IntegerType(), *[T.ArrayType(T.LongType())] * 2, T.LongType()]
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(n, k) for n, k in zip(names[1:], kinds, strict=True)]])
 
     def emit(batch, spots, news):
         sketches = _sketches([n.decode("utf-8", "surrogatepass") for n in news.values()])
+        sketches.append(signs(sketches[0], sketches[2]))
         place = {k: i for i, k in enumerate(news)}
         at = pa.array([s[0] for s in spots], pa.int64())
         fresh = [place.pop(s[3], None) for s in spots]
         sketches[1] = [np.unique(x) for x in sketches[1]]
         columns = [batch.column(0).take(at), batch.column(1).take(at), *[pa.array([s[j] for s in spots], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.binary()))]]
-        columns += [pa.array([None if i is None else x[i] for i in fresh], t) for x, t in zip(sketches, (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]
+        columns += [pa.array([None if i is None else x[i] for i in fresh], t) for x, t in zip(sketches, (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()), strict=True)]
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,17 +248,24 @@ def sketched_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-def placed_lines(sketched: DataFrame, used: list[str]) -> DataFrame:
-    """bucket, node, head, many of the lines in every bucket that several lines share: its smallest line, and whether more
-    than two sketches are in it.
+def placed_lines(sketched: DataFrame, part: int) -> DataFrame:
+    """bucket, a, b, sign over one of the ``PASSES`` parts of the buckets: pairs (a, b) of nodes that their signs allow, ``bucket``
+    NULL, in buckets of up to ``DIRECT`` rows; and each row of a larger one, ``b`` its smallest line if their signs allow it.
 
     A node is the first bits of a line's key; links name the whole keys, so two lines that agree in these
     bits are still told apart. The bucket rows travel once; a window reads them in order, however many one bucket has.
     """
-    lines = sketched.where("buckets IS NOT NULL").select(node_of().alias("node"), F.explode("buckets").alias("bucket"))
+    lines = sketched.where("buckets IS NOT NULL").select(node_of().alias("node"), "sign", "buckets")
+    lines = lines.select(F.explode("buckets").alias("bucket"), "node", "sign").where(F.pmod("bucket", F.lit(PASSES)) == part)
     own = Window.partitionBy("bucket")
-    ends = lines.select("bucket", "node", F.min("node").over(own).alias("head"), F.max("node").over(own).alias("last"), (F.count("*").over(own) > 2).alias("many"))
-    return stored(ends.where("head < last").select("bucket", "node", "head", "many"), "line-places", used)
+    ends = lines.select("*", F.min(F.struct("node", "sign")).over(own).alias("first"), F.max("node").over(own).alias("last"), F.count("*").over(own).alias("n"))
+    ends = ends.where("first.node < last")
+    one = ends.where(F.col("n") <= DIRECT).select("bucket", F.col("node").alias("a"), F.col("sign").alias("sign_a"))
+    two = lines.select("bucket", F.col("node").alias("b"), F.col("sign").alias("sign_b"))
+    pairs = one.join(two, "bucket").where((F.col("a") > F.col("b")) & signs_allow("sign_a", "sign_b"))
+    linked = F.when((F.col("node") > F.col("first.node")) & signs_allow("sign", "first.sign"), F.col("first.node"))
+    large = ends.where(F.col("n") > DIRECT).select("bucket", F.col("node").alias("a"), linked.alias("b"), "sign")
+    return large.union(pairs.select(F.lit(None).cast("long"), "a", "b", F.lit(None).cast("long")))
 
 
 def node_of() -> Column:
@@ -364,8 +397,11 @@ def agreeing(a: str, b: str) -> Column:
     return F.lit(BANDS * ROWS) - sum((differing(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(numbers)), F.lit(0))
 
 
-def worth_reading(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sizes and minima allow a link; ``facts`` is node, runs, marks."""
+def worth_reading(pairs: DataFrame, sketched: DataFrame, name: str, used: list[str]) -> DataFrame:
+    """Those of the pairs (a, b), a stored table, whose sizes and minima allow a link."""
+    members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    facts = sketched.where("buckets IS NOT NULL").select(node_of().alias("node"), "runs", "marks").join(members, "node", "left_semi")
+    facts = stored(facts.dropDuplicates(["node"]), name, used)
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(F.col("node").alias(side), F.col("runs").alias(f"runs_{side}"), F.col("marks").alias(f"marks_{side}")), side)
     likely = agreeing("marks_a", "marks_b") >= LEAST_AGREEING
@@ -388,28 +424,26 @@ def verified(docs: DataFrame, pairs: DataFrame, name: str, used: list[str]) -> D
 
 def line_components(docs: DataFrame, sketched: DataFrame, used: list[str]) -> DataFrame:
     """(key, component) of the lines that have near-equal ones. ``used`` notes the folders it is read from."""
-    places = placed_lines(sketched, used)
-    first = stored(places.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "line-first", used)
-    members = stored(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), "line-members", used)
-    facts = sketched.where("buckets IS NOT NULL").select(node_of().alias("node"), "runs", "marks").join(members, "node", "left_semi")
-    facts = stored(facts.dropDuplicates(["node"]), "line-facts", used)
-    linked = verified(docs, worth_reading(first, facts), "line-star", used)
-    rest = stored(open_members(places.where("many").select("bucket", "node").distinct(), connected_components(linked, into=used), ["bucket"]), "line-open", used)
+    parts = [stored(placed_lines(sketched, part), "line-places", used) for part in range(PASSES)]
+    places = reduce(DataFrame.union, parts)
+    first = stored(places.where("b IS NOT NULL").select("a", "b").distinct(), "line-first", used)
+    linked = verified(docs, worth_reading(first, sketched, "line-facts", used), "line-star", used)
+    groups = connected_components(linked, into=used)
+    members = places.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("node"), "sign").distinct()
+    rest = stored(open_members(members, groups, ["bucket"]), "line-open", used)
     sizes = rest.groupBy("bucket").agg((F.count("*") > SMALL_BUCKET).alias("large"))
-    rest = stored(rest.join(sizes, "bucket").join(facts, "node"), "line-rest", used)
-    one, two = (rest.where("NOT large").select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "runs", "marks")]) for side in "ab")
-    likely = sizes_allow(F.col("runs_a"), F.col("runs_b"), SIMILARITY) & (agreeing("marks_a", "marks_b") >= LEAST_AGREEING)
-    direct = one.join(two, "bucket").where((F.col("component_a") < F.col("component_b")) & likely)
-    direct = direct.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
-    large = rest.where("large").select("bucket", "node", "component")
+    rest = stored(main_marked(rest.join(sizes, "bucket"), ["bucket"]), "line-rest", used)
+    one, two = (rest.where("NOT large").select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "main", "sign")]) for side in "xy")
+    both = one.where("NOT main_x").join(two, "bucket").where(across_components() & signs_allow("sign_x", "sign_y"))
+    across = both.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
+    large = rest.where("large")
     asked = stored(large.select("node").distinct(), "line-large", used)
-    across = direct
     if not asked.isEmpty():
         texts = stored(texts_of(docs, asked).select("node", "norm"), "line-large-texts", used)
         rarest = stored(rarest_runs(texts), "line-rarest", used)
-        found = stored(pairs_sharing(large, rarest, ["bucket"], SIMILARITY), "line-across", used)
-        across = direct.union(worth_reading(found, facts)).distinct()
-    more = verified(docs, across.join(first, ["a", "b"], "left_anti"), "line-rest", used)
+        across = across.union(pairs_sharing(large.select("bucket", "node", "component", "sign"), rarest, ["bucket"], SIMILARITY, signs_allow("sign_x", "sign_y"))).distinct()
+    across = stored(across.join(first, ["a", "b"], "left_anti"), "line-across", used)
+    more = verified(docs, worth_reading(across, sketched, "line-facts", used), "line-more", used)
     links = linked.select("key_a", "key_b").union(more.select("key_a", "key_b"))
     return connected_components(links, "key_a", "key_b", used).select(F.col("node").alias("key"), "component")
 

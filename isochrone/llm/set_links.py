@@ -46,10 +46,23 @@ def pairs_across(members: DataFrame, sets: DataFrame, keys: list[str], similarit
     return pairs_sharing(members, first.where("often > 1").select("node", "n", "element"), keys, similarity)
 
 
-def pairs_sharing(members: DataFrame, first: DataFrame, keys: list[str], similarity: float) -> DataFrame:
-    """``pairs_across`` from the first elements of the sets in a common order: ``first`` is node, n, element."""
-    placed = members.select(*keys, "node", "component").join(first, "node")
-    one = placed.select(*keys, "element", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    two = placed.select(*keys, "element", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
-    both = one.join(two, [*keys, "element"]).where((F.col("cx") < F.col("cy")) & sizes_allow(F.col("nx"), F.col("ny"), similarity))
-    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def main_marked(members: DataFrame, keys: list[str]) -> DataFrame:
+    """``members`` (bucket keys, node, component) with ``main``, whether they are in their bucket's largest component."""
+    counts = members.groupBy(*keys, "component").agg(F.count("*").alias("members"))
+    largest = counts.groupBy(*keys).agg(F.max(F.struct("members", "component"))["component"].alias("largest"))
+    return members.join(largest, keys).withColumn("main", F.col("component") == F.col("largest")).drop("largest")
+
+
+def across_components() -> Column:
+    """Whether (x, y), x not in its bucket's largest component, are of two components; each pair holds in one order."""
+    return (F.col("component_x") != F.col("component_y")) & (F.col("main_y") | (F.col("component_x") < F.col("component_y")))
+
+
+def pairs_sharing(members: DataFrame, first: DataFrame, keys: list[str], similarity: float, also: Column | None = None) -> DataFrame:
+    """``pairs_across`` from the first elements of the sets in a common order: ``first`` is node, n, element. ``also`` is a
+    condition on the columns of ``members``, which end in ``_x`` and ``_y``. A component that fills a bucket costs no pairs."""
+    placed = main_marked(members, keys).join(first, "node")
+    one, two = (placed.select(*keys, "element", *[F.col(c).alias(f"{c}_{side}") for c in [*members.columns, "main", "n"] if c not in keys]) for side in "xy")
+    both = one.where("NOT main_x").join(two, [*keys, "element"]).where(across_components() & sizes_allow(F.col("n_x"), F.col("n_y"), similarity))
+    both = both if also is None else both.where(also)
+    return both.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
