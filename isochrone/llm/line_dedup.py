@@ -11,14 +11,14 @@ Jaccard similarity of their sets of ``GRAM`` consecutive characters is at least
    bins. Edits that leave 0.8 of the runs leave windows (figures in the README).
 2. Pairs. A line travels with one number, its sign: the logarithm of its number of runs and one bit of each minimum.
    Members of a bucket of up to ``DIRECT`` rows are paired, those of a larger one are paired with its first line: linear in
-   the bucket. Only pairs whose signs allow a link become rows (a pair at the threshold is lost with a probability of
+   the bucket (``HEADS`` orders take turns, so a large group of near copies is not held to one of its lines). Only pairs whose signs allow a link become rows (a pair at the threshold is lost with a probability of
    0.012 %, ``LEAST_SIGNS``), however many lines have a passage in common. The buckets are dealt out in ``PASSES``
    passes, so that a part of their rows at a time is on disk.
 3. Verification. Before any text is read, pairs go whose numbers of runs rule a link out (exact), or whose minima agree in so
    few places that a pair at the threshold would with a probability of 0.03 % (``LEAST_AGREEING``). The others are
    compared exactly, on the full sets of runs. Components follow from the links.
 4. Rest. Only larger buckets whose members are still in different components can hide a link. Up to ``SMALL_BUCKET``
-   members are compared across components by their signs; those of larger buckets are paired through their rarest runs
+   members are compared across components, by sizes and minima as in 3; those of larger buckets are paired through their rarest runs
    (``rarest_runs``), chosen in the tasks under one rough order of frequency: it loses no pair, and other runs are not shuffled.
    Members of a bucket's largest component are not compared with each other.
 5. Every line of a component but its first occurrence, by (doc_id, line number), is removed.
@@ -63,10 +63,12 @@ BUCKET_BITS, NODE_BITS = 44, 48
 LEAST_AGREEING = 32
 #: Bits of the minima (one each) in which a pair must agree to become a row, and the most by which its logarithms may differ.
 LEAST_SIGNS, SIZE_STEPS = 38, 64
-#: Rows of a bucket that are paired at once; members that are compared across components by their signs.
+#: Rows of a bucket that are paired at once; members that are compared across components by their minima.
 DIRECT, SMALL_BUCKET = 32, 1 << 14
-#: Parts of the buckets whose rows are on disk one after another.
-PASSES = 2
+#: Orders in which the first line of a larger bucket is found, and what turns a node's bits for each.
+HEADS, TURN = 4, 0x2B67A1C9D3E5
+#: Parts of the buckets whose rows are on disk one after another, and pairs to a text that are compared at a time.
+PASSES, PAIRS_A_TEXT = 2, 4
 SEED = 42
 #: Runs that are sketched at once (a longer line is a block of its own), and lines one output batch holds.
 BLOCK_RUNS = 1 << 17
@@ -249,23 +251,28 @@ def sketched_lines(docs: DataFrame) -> DataFrame:
 
 
 def placed_lines(sketched: DataFrame, part: int) -> DataFrame:
-    """bucket, a, b, sign over one of the ``PASSES`` parts of the buckets: pairs (a, b) of nodes that their signs allow, ``bucket``
-    NULL, in buckets of up to ``DIRECT`` rows; and each row of a larger one, ``b`` its smallest line if their signs allow it.
+    """bucket, node, a, b over one of the ``PASSES`` parts of the buckets: pairs (a, b) of nodes that their signs allow, ``bucket`` and
+    ``node`` NULL, in buckets of up to ``DIRECT`` rows; and each row of a larger one, a pair with its first line if their signs allow
+    it, else ``b`` is NULL.
 
     A node is the first bits of a line's key; links name the whole keys, so two lines that agree in these
     bits are still told apart. The bucket rows travel once; a window reads them in order, however many one bucket has.
     """
-    lines = sketched.where("buckets IS NOT NULL").select(node_of().alias("node"), "sign", "buckets")
-    lines = lines.select(F.explode("buckets").alias("bucket"), "node", "sign").where(F.pmod("bucket", F.lit(PASSES)) == part)
+    # nodes in a bucket's own order; all three branches read one shuffle, so they ask for the same plain columns, none NULL
+    turn = F.pmod(F.shiftright("bucket", 8), F.lit(HEADS)) * TURN
+    lines = sketched.where("buckets IS NOT NULL").select(node_of().alias("node"), "sign", "buckets").select(F.explode("buckets").alias("bucket"), "node", "sign")
+    lines = lines.where(F.pmod("bucket", F.lit(PASSES)) == part).select("bucket", F.col("node").bitwiseXOR(turn).alias("x"), "sign").where("x IS NOT NULL AND sign IS NOT NULL")
     own = Window.partitionBy("bucket")
-    ends = lines.select("*", F.min(F.struct("node", "sign")).over(own).alias("first"), F.max("node").over(own).alias("last"), F.count("*").over(own).alias("n"))
-    ends = ends.where("first.node < last")
-    one = ends.where(F.col("n") <= DIRECT).select("bucket", F.col("node").alias("a"), F.col("sign").alias("sign_a"))
-    two = lines.select("bucket", F.col("node").alias("b"), F.col("sign").alias("sign_b"))
-    pairs = one.join(two, "bucket").where((F.col("a") > F.col("b")) & signs_allow("sign_a", "sign_b"))
-    linked = F.when((F.col("node") > F.col("first.node")) & signs_allow("sign", "first.sign"), F.col("first.node"))
-    large = ends.where(F.col("n") > DIRECT).select("bucket", F.col("node").alias("a"), linked.alias("b"), "sign")
-    return large.union(pairs.select(F.lit(None).cast("long"), "a", "b", F.lit(None).cast("long")))
+    ends = lines.select("*", F.min("x").over(own).alias("y"), F.min_by("sign", "x").over(own).alias("sign_y"), F.max("x").over(own).alias("last"), F.count("*").over(own).alias("n")).where("y < last")
+    near = (F.col("x") > F.col("y")) & signs_allow("sign", "sign_y")
+    few = ends.where(F.col("n") <= DIRECT).select("bucket", "x", "sign")
+    pairs = few.join(few.select("bucket", F.col("x").alias("y"), F.col("sign").alias("sign_y")), "bucket").where(near)
+    large = ends.where(F.col("n") > DIRECT)
+    x, y = (F.col(c).bitwiseXOR(turn) for c in "xy")
+    large = large.select("bucket", x.alias("node"), F.when(near, F.greatest(x, y)).alias("a"), F.when(near, F.least(x, y)).alias("b"))
+    pairs = pairs.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    none = F.lit(None).cast("long")
+    return large.union(pairs.select(none, none, "a", "b"))
 
 
 def node_of() -> Column:
@@ -397,29 +404,39 @@ def agreeing(a: str, b: str) -> Column:
     return F.lit(BANDS * ROWS) - sum((differing(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(numbers)), F.lit(0))
 
 
-def worth_reading(pairs: DataFrame, sketched: DataFrame, name: str, used: list[str]) -> DataFrame:
-    """Those of the pairs (a, b), a stored table, whose sizes and minima allow a link."""
-    members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    facts = sketched.where("buckets IS NOT NULL").select(node_of().alias("node"), "runs", "marks").join(members, "node", "left_semi")
-    facts = stored(facts.dropDuplicates(["node"]), name, used)
+def facts_of(sketched: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, runs, marks of the nodes asked for."""
+    facts = sketched.where("buckets IS NOT NULL").select(node_of().alias("node"), "runs", "marks")
+    return facts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def minima_allow(a: str, b: str) -> Column:
+    """Whether the numbers of runs and the minima of two lines, in columns that end in ``a`` and ``b``, allow a link."""
+    return sizes_allow(F.col(f"runs_{a}"), F.col(f"runs_{b}"), SIMILARITY) & (agreeing(f"marks_{a}", f"marks_{b}") >= LEAST_AGREEING)
+
+
+def worth_reading(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and minima allow a link; ``facts`` is node, runs, marks."""
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(F.col("node").alias(side), F.col("runs").alias(f"runs_{side}"), F.col("marks").alias(f"marks_{side}")), side)
-    likely = agreeing("marks_a", "marks_b") >= LEAST_AGREEING
-    return pairs.where(sizes_allow(F.col("runs_a"), F.col("runs_b"), SIMILARITY) & likely).select("a", "b")
+    return pairs.where(minima_allow("a", "b")).select("a", "b")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, name: str, used: list[str]) -> DataFrame:
-    """Those of the distinct pairs (a, b) of nodes that are near-equal, with their keys."""
+    """Those of the distinct pairs (a, b) of nodes that are near-equal, with their keys. Both texts travel with a pair: of
+    a large group of lines that are nearly near-equal, up to ``PAIRS_A_TEXT`` pairs a text at a time."""
     own: list[str] = []
     pairs = stored(pairs, f"{name}-pairs", own)
     asked = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{name}-asked", own)
     texts = stored(texts_of(docs, asked), f"{name}-texts", own)
     left = texts.select(F.col("node").alias("a"), F.col("key").alias("key_a"), F.col("norm").alias("norm_a"))
     right = texts.select(F.col("node").alias("b"), F.col("key").alias("key_b"), F.col("norm").alias("norm_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    links = stored(both.where(near_equal(F.col("norm_a"), F.col("norm_b"))).select("a", "b", "key_a", "key_b"), f"{name}-links", used)
+    turns, links = max(1, math.ceil(pairs.count() / (PAIRS_A_TEXT * max(1, asked.count())))), []
+    for turn in range(turns):
+        both = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn).join(left, "a").join(right, "b")
+        links.append(stored(both.where(near_equal(F.col("norm_a"), F.col("norm_b"))).select("a", "b", "key_a", "key_b"), f"{name}-links", used))
     discard(docs.sparkSession, own)
-    return links
+    return reduce(DataFrame.union, links)
 
 
 def line_components(docs: DataFrame, sketched: DataFrame, used: list[str]) -> DataFrame:
@@ -427,23 +444,25 @@ def line_components(docs: DataFrame, sketched: DataFrame, used: list[str]) -> Da
     parts = [stored(placed_lines(sketched, part), "line-places", used) for part in range(PASSES)]
     places = reduce(DataFrame.union, parts)
     first = stored(places.where("b IS NOT NULL").select("a", "b").distinct(), "line-first", used)
-    linked = verified(docs, worth_reading(first, sketched, "line-facts", used), "line-star", used)
+    members = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    facts = stored(facts_of(sketched, members), "line-facts", used)
+    linked = verified(docs, worth_reading(first, facts), "line-star", used)
     groups = connected_components(linked, into=used)
-    members = places.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("node"), "sign").distinct()
-    rest = stored(open_members(members, groups, ["bucket"]), "line-open", used)
+    rest = stored(open_members(places.where("bucket IS NOT NULL").select("bucket", "node").distinct(), groups, ["bucket"]), "line-open", used)
     sizes = rest.groupBy("bucket").agg((F.count("*") > SMALL_BUCKET).alias("large"))
-    rest = stored(main_marked(rest.join(sizes, "bucket"), ["bucket"]), "line-rest", used)
-    one, two = (rest.where("NOT large").select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "main", "sign")]) for side in "xy")
-    both = one.where("NOT main_x").join(two, "bucket").where(across_components() & signs_allow("sign_x", "sign_y"))
+    facts = stored(facts_of(sketched, rest.select("node").distinct()), "line-facts", used)
+    rest = stored(main_marked(rest.join(sizes, "bucket"), ["bucket"]).join(facts, "node"), "line-rest", used)
+    one, two = (rest.where("NOT large").select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "main", "runs", "marks")]) for side in "xy")
+    both = one.where("NOT main_x").join(two, "bucket").where(across_components() & minima_allow("x", "y"))
     across = both.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
-    large = rest.where("large")
+    large = rest.where("large").select("bucket", "node", "component", "runs", "marks")
     asked = stored(large.select("node").distinct(), "line-large", used)
     if not asked.isEmpty():
         texts = stored(texts_of(docs, asked).select("node", "norm"), "line-large-texts", used)
         rarest = stored(rarest_runs(texts), "line-rarest", used)
-        across = across.union(pairs_sharing(large.select("bucket", "node", "component", "sign"), rarest, ["bucket"], SIMILARITY, signs_allow("sign_x", "sign_y"))).distinct()
-    across = stored(across.join(first, ["a", "b"], "left_anti"), "line-across", used)
-    more = verified(docs, worth_reading(across, sketched, "line-facts", used), "line-more", used)
+        across = across.union(pairs_sharing(large, rarest, ["bucket"], SIMILARITY, minima_allow("x", "y"))).distinct()
+    across = across.join(first, ["a", "b"], "left_anti")
+    more = verified(docs, across, "line-more", used)
     links = linked.select("key_a", "key_b").union(more.select("key_a", "key_b"))
     return connected_components(links, "key_a", "key_b", used).select(F.col("node").alias("key"), "component")
 

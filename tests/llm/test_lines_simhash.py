@@ -245,3 +245,53 @@ def test_shuffle_files_go_with_their_step(spark):
             break
         time.sleep(0.1)
     assert not left and table.count() == 7 and spark.conf.get(CLEAN_UP, None) == was
+
+
+def test_lines_with_a_common_passage_cost_no_pairs(spark, monkeypatch):
+    """1,200 lines that have a passage of half their length in common, not near-equal but for 40 pairs hidden among them."""
+    rng = random.Random(18)
+    passage = prose(rng, 30)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    lines = [f"{noise(len(passage) // 2)} {passage} {noise(len(passage) // 2)}" for _ in range(1200)]
+    lines += [x[:-6] + "zzzzzz" for x in lines[:40]]
+    rows, kept = {}, line_dedup.stored
+
+    def counting(df, name, into=None):
+        out = kept(df, name, into)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counting)
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.removed_lines(documents(spark, list(enumerate(lines)))).collect()}
+    assert {k for k, v in got.items() if v} == set(range(1200, 1240))
+    # a line has 13 buckets; all pairs of the passage would be 768,800
+    assert max(rows.values()) <= 13 * len(lines), rows
+
+
+def test_signs_allow_what_is_near(spark):
+    rng = random.Random(19)
+    pairs = []
+    while len(pairs) < 400:
+        a = " ".join(prose(rng, rng.randint(3, 60)).split())
+        b = edited(rng, a, 1)
+        if near(a, b):
+            pairs.append((a, b))
+    sides = [line_dedup.sketch([p[side] for p in pairs]) for side in (0, 1)]
+    sides = [line_dedup.signs(x[0], x[2]).tolist() for x in sides]
+    other = spark.createDataFrame([(sides[0][i], sides[1][i], sides[1][i - 1]) for i in range(len(pairs))], "x long, y long, z long")
+    got = other.select(line_dedup.signs_allow("x", "y").alias("near"), line_dedup.signs_allow("x", "x").alias("own"), line_dedup.signs_allow("x", "z").alias("far")).collect()
+    assert sum(r["near"] for r in got) >= 399 and all(r["own"] for r in got) and sum(r["far"] for r in got) <= 20
+
+
+def test_pairs_are_compared_in_turns(spark, monkeypatch):
+    rng = random.Random(20)
+    line = prose(rng, 40)
+    docs = documents(spark, [(i, edited(rng, line, 2)) for i in range(30)])
+    texts = sorted({" ".join(r["text"].split()) for r in docs.collect()})
+    names = spark.createDataFrame([(x,) for x in texts], "norm string").select("norm", F.unhex(F.md5("norm")).alias("key")).select("norm", line_dedup.node_of().alias("node"))
+    at = {r["node"]: r["norm"] for r in names.collect()}
+    pairs = [(a, b) for a in at for b in at if a > b]
+    monkeypatch.setattr(line_dedup, "PAIRS_A_TEXT", 6)
+    used = []
+    got = line_dedup.verified(docs, spark.createDataFrame(pairs, "a long, b long"), "turns", used)
+    assert {(r["a"], r["b"]) for r in got.collect()} == {p for p in pairs if near(at[p[0]], at[p[1]])} and len(used) > 1
